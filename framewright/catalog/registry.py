@@ -32,3 +32,14 @@ def r6(expr: str) -> str:
 def r4(expr: str) -> str:
     """Round in SQL to four digits without a negative zero."""
     return f"(round(({expr}) + 1e-7, 4) + 0.0)"
+
+
+def sql_uniform(key: str) -> str:
+    """``rng.uniform`` in SQL; ``key`` is the text expression of the joined parts."""
+    return f"(('0x' || substr(md5({key}), 1, 8))::UBIGINT::DOUBLE / 4294967296)"
+
+
+def sql_normal(key: str) -> str:
+    """``rng.normal`` in SQL."""
+    first, second = sql_uniform(f"{key} || ':a'"), sql_uniform(f"{key} || ':b'")
+    return f"(sqrt(-2.0 * ln(greatest({first}, 1e-12))) * cos(2.0 * pi() * {second}))"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framewright.catalog.registry import query, r4, r6
+from framewright.catalog.registry import query, r4, r6, sql_normal
 from framewright.operators import series as S
 from framewright.operators.scans import attach
 from framewright.plans import bindings as B
@@ -125,15 +125,6 @@ def smooth_short(spark, sf):
     return S.smooth_voiced(_f0(spark, sf), 64, 0.75).withColumn("f0", B.r6(F.col("f0")))
 
 
-def sql_uniform(key: str) -> str:
-    return f"(('0x' || substr(md5({key}), 1, 8))::UBIGINT::DOUBLE / 4294967296)"
-
-
-def sql_normal(key: str) -> str:
-    return (f"(sqrt(-2.0 * ln(greatest({sql_uniform(key + chr(32) + chr(124) * 2 + chr(32) + repr(':a'))}, 1e-12)))"
-            f" * cos(2.0 * pi() * {sql_uniform(key + ' || ' + repr(':b'))}))")
-
-
 def _noise_sql(divisor: str) -> str:
     noise = sql_normal("'7:' || f.utt_id || ':' || f.frame")
     return f"""{_FR},
