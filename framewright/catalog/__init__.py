@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ("series", "mixing", "pool")
+SECTIONS = ("series", "mixing", "pool", "segments")
 
 
 def load():

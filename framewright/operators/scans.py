@@ -42,9 +42,9 @@ def with_totals(
     rows = df.withColumn(_BLK, _block(pos, block))
     totals = (
         rows.groupBy(*keys)
-        .agg(*aggs, F.max(_BLK).alias("_last"))
-        .withColumn(_BLK, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last").cast("bigint"))))
-        .drop("_last")
+        .agg(*aggs, F.max(_BLK).alias("_last_blk"))
+        .withColumn(_BLK, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last_blk").cast("bigint"))))
+        .drop("_last_blk")
     )
     return rows.join(totals, [*keys, _BLK]).drop(_BLK)
 
@@ -53,11 +53,11 @@ def attach(df: DataFrame, table: DataFrame, keys, pos: str = "frame", block: int
     """Join a table with one row per key to the rows, spread over blocks like ``with_totals``."""
     keys = _cols(keys)
     rows = df.withColumn(_BLK, _block(pos, block))
-    spans = rows.groupBy(*keys).agg(F.max(_BLK).alias("_last"))
+    spans = rows.groupBy(*keys).agg(F.max(_BLK).alias("_last_blk"))
     spread = (
         table.join(spans, keys)
-        .withColumn(_BLK, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last").cast("bigint"))))
-        .drop("_last")
+        .withColumn(_BLK, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last_blk").cast("bigint"))))
+        .drop("_last_blk")
     )
     return rows.join(spread, [*keys, _BLK]).drop(_BLK)
 

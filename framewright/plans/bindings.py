@@ -217,15 +217,24 @@ WORDS = """words AS (
 
 def durations(spark: SparkSession, sf: str) -> DataFrame:
     """utt_id, pos, symbol_id, dur: symbols with a predicted duration."""
-    return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("utt_id"), F.col("l_linenumber").cast("bigint").alias("pos"),
-        (F.col("l_partkey") % 3).alias("symbol_id"),
-        (F.col("l_quantity").cast("bigint") % 5).alias("dur"))
+
+    def build():
+        items = table(spark, sf, "lineitem").select(
+            F.col("l_orderkey").alias("utt_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+            "l_extendedprice")
+        order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+        return number_rows(items, order, ["utt_id"], out="pos").select(
+            "utt_id", "pos", (F.col("l_partkey") % 3).alias("symbol_id"),
+            (F.col("l_quantity").cast("bigint") % 5).alias("dur"))
+
+    return _once(spark, sf, "durations", build)
 
 
 DURATIONS = """durations AS (
-  SELECT l_orderkey AS utt_id, l_linenumber::BIGINT AS pos, l_partkey % 3 AS symbol_id,
-         l_quantity::BIGINT % 5 AS dur, l_partkey, l_suppkey
+  SELECT l_orderkey AS utt_id,
+         row_number() OVER (PARTITION BY l_orderkey
+           ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos,
+         l_partkey % 3 AS symbol_id, l_quantity::BIGINT % 5 AS dur
   FROM lineitem)"""
 
 
