@@ -105,23 +105,23 @@ def running_last(
 
 
 def running_max(
-    df: DataFrame, keys, value: Column, out: str, pos: str, block: int = BLOCK
+    df: DataFrame, keys, values: dict[str, Column], pos: str, block: int = BLOCK
 ) -> DataFrame:
-    """Running maximum of ``value`` in ``pos`` order within each key."""
+    """Running maxima {out: value} in ``pos`` order within each key."""
     keys = _cols(keys)
-    rows = df.withColumn(_BLK, _block(pos, block)).withColumn("_val", value)
-    carry = (
-        rows.groupBy(*keys, _BLK).agg(F.max("_val").alias("_top"))
-        .withColumn("_carry", F.max("_top").over(
-            W.partitionBy(*keys).orderBy(_BLK).rowsBetween(W.unboundedPreceding, -1)))
-        .drop("_top")
-    )
+    rows = df.withColumn(_BLK, _block(pos, block))
+    for out, value in values.items():
+        rows = rows.withColumn(out, value)
+    before = W.partitionBy(*keys).orderBy(_BLK).rowsBetween(W.unboundedPreceding, -1)
+    carry = rows.groupBy(*keys, _BLK).agg(*[F.max(out).alias(out) for out in values]).select(
+        *keys, _BLK, *[F.max(out).over(before).alias(f"_c_{out}") for out in values])
     local = W.partitionBy(*keys, _BLK).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        rows.join(carry, [*keys, _BLK])
-        .withColumn(out, F.greatest(F.max("_val").over(local), F.col("_carry")))
-        .drop(_BLK, "_val", "_carry")
-    )
+    for out in values:
+        rows = rows.withColumn(out, F.max(out).over(local))
+    rows = rows.join(carry, [*keys, _BLK])
+    for out in values:
+        rows = rows.withColumn(out, F.greatest(out, f"_c_{out}")).drop(f"_c_{out}")
+    return rows.drop(_BLK)
 
 
 def with_neighbours(

@@ -180,14 +180,18 @@ def split_words(text: Column) -> Column:
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     """utt_id, seg, start, end, text, words, first_word."""
-    turns = table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("utt_id"), F.col("turn").alias("seg"), "text",
-        split_words(F.col("text")).alias("words"))
-    counted = running_sum(turns, "utt_id", F.size("words").cast("bigint"), "first_word",
-                          pos="seg", inclusive=False)
-    return counted.select(
-        "utt_id", "seg", (F.col("first_word") / 2.5).alias("start"),
-        ((F.col("first_word") + F.size("words")) / 2.5).alias("end"), "text", "words", "first_word")
+
+    def build():
+        turns = table(spark, sf, "conversations").select(
+            F.col("conv_id").alias("utt_id"), F.col("turn").alias("seg"), "text",
+            split_words(F.col("text")).alias("words"))
+        counted = running_sum(turns, "utt_id", F.size("words").cast("bigint"), "first_word",
+                              pos="seg", inclusive=False)
+        return counted.select(
+            "utt_id", "seg", (F.col("first_word") / 2.5).alias("start"),
+            ((F.col("first_word") + F.size("words")) / 2.5).alias("end"), "text", "words", "first_word")
+
+    return _once(spark, sf, "segments", build)
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
