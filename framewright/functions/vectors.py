@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(fn, **values: Column) -> Column:
+    """Evaluate the values once and hand them to ``fn`` as fields of one struct.
+
+    A column used inside a lambda is evaluated again for every element when the
+    optimizer merges projections; a lambda variable is not.
+    """
+    return F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), fn)[0]
+
+
 def vsum(v) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -24,12 +33,18 @@ def subtract(a, b) -> Column:
 
 def cosine(a, b) -> Column:
     """Cosine similarity; NaN when a vector is all zero."""
-    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(float("nan")))
+    return let(
+        lambda s: F.coalesce(F.try_divide(
+            dot(s["a"], s["b"]), F.sqrt(dot(s["a"], s["a"])) * F.sqrt(dot(s["b"], s["b"]))), F.lit(float("nan"))),
+        a=a, b=b)
 
 
 def unit(v: Column, centre: bool) -> Column:
     """Scale to length one, after removing the mean if ``centre``; a zero vector gives NaN entries."""
-    shifted = F.transform(v, lambda x: x - vsum(v) / F.size(v)) if centre else v
-    return F.transform(
-        F.array(F.struct(shifted.alias("v"), F.sqrt(dot(shifted, shifted)).alias("n"))),
-        lambda s: F.transform(s["v"], lambda x: F.coalesce(F.try_divide(x, s["n"]), F.lit(float("nan")))))[0]
+    if centre:
+        v = let(lambda s: F.transform(s["v"], lambda x: x - s["m"]), v=v, m=vsum(v) / F.size(v))
+    return let(
+        lambda s: let(
+            lambda t: F.transform(t["v"], lambda x: F.coalesce(F.try_divide(x, t["n"]), F.lit(float("nan")))),
+            v=s["v"], n=F.sqrt(dot(s["v"], s["v"]))),
+        v=v)
