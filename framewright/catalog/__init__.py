@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ("series", "mixing", "pool", "segments", "editing", "text", "sources", "datasets")
+SECTIONS = ("series", "mixing", "pool", "segments", "editing", "text", "sources", "datasets", "evaluate", "workflows")
 
 
 def load():

@@ -109,7 +109,9 @@ def feature_table(spark):
 
 @query("T6_symbols_to_features")
 def symbols_to_features(spark, sf):
-    phones = phonetic(spark, sf).withColumn("phones", Y.normalize_phones(F.col("phones")))
+    # One text becomes thousands of vectors, so the texts are spread first.
+    phones = phonetic(spark, sf).repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    phones = phones.withColumn("phones", Y.normalize_phones(F.col("phones")))
     out = Y.symbols_to_features(phones, feature_table(spark), "doc_id", "phones", Y.SYMBOLS + " ")
     return out.select("doc_id", "pos", "symbol", F.array_join("features", "").alias("features"))
 

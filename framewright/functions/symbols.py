@@ -196,18 +196,23 @@ def symbols_to_features(texts: DataFrame, table: DataFrame, key: str, col: str,
     def has(mark):
         return F.contains(F.col("marks"), F.lit(mark))
 
-    none = F.lit(None).cast("int")
-    ones = [F.when(F.col("stressed"), F.lit(FEATURE_INDEX["stressed"]))]
-    ones += [F.when(has(m), F.lit(FEATURE_INDEX[f])).otherwise(none) for m, fs in SETTING_MARKS.items() for f in fs]
+    def bits(terms):
+        total = F.lit(0).cast("bigint")
+        for cond, name in terms:
+            total = total.bitwiseOR(F.when(
+                cond, F.shiftleft(F.lit(1).cast("bigint"), FEATURE_INDEX[name])).otherwise(0))
+        return total
+
+    ones = [(F.col("stressed"), "stressed")] + [(has(m), f) for m, fs in SETTING_MARKS.items() for f in fs]
     twos = []
     for mark, names in TINTING_MARKS.items():
         free = has(mark)
         for name in names:
             free = free & (F.col("features")[FEATURE_INDEX[name]] != 1)
-        twos += [F.when(free, F.lit(FEATURE_INDEX[name])).otherwise(none) for name in names]
+        twos += [(free, name) for name in names]
     changed = let(
-        lambda s: F.transform(s["v"], lambda v, i: F.when(F.array_contains(s["one"], i), 1).when(
-            F.array_contains(s["two"], i), 2).otherwise(v)),
-        v=F.col("features"), one=F.array_compact(F.array(*ones)), two=F.array_compact(F.array(*twos)))
+        lambda s: F.transform(s["v"], lambda v, i: F.when(F.getbit(s["one"], i) == 1, 1).when(
+            F.getbit(s["two"], i) == 1, 2).otherwise(v)),
+        v=F.col("features"), one=bits(ones), two=bits(twos))
     touched = (F.col("marks") != "") | F.col("stressed")
     return rows.select(key, "pos", "symbol", F.when(touched, changed).otherwise(F.col("features")).alias("features"))
