@@ -122,10 +122,13 @@ def normalize_phones(col: Column, keep_modifiers: bool = True) -> Column:
         table = table + [(c, "") for c in MODIFIER_MARKS]
     text = F.btrim(_collapse(replace_in_order(col, table)), F.lit("~"))
     if keep_modifiers:
-        toned = text
-        for plain, marked in tone_contours():
-            toned = F.replace(toned, F.lit(plain), F.lit(marked))
-        text = F.when(text.rlike(f"[{TONES}][{TONES}]"), toned).otherwise(text)
+        def contours(run):
+            for plain, marked in tone_contours():
+                run = F.replace(run, F.lit(plain), F.lit(marked))
+            return run
+
+        text = let(lambda s: F.when(
+            s["t"].rlike(f"[{TONES}][{TONES}]"), contours(s["t"])).otherwise(s["t"]), t=text)
     return F.regexp_replace(F.concat(F.lit("~"), text, F.lit("~#")), "~+", "~")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from framewright.functions.vectors import let
+
 WHITESPACE = " \t\n\r\x0b\x0c"
 
 
@@ -47,9 +49,10 @@ def replace_in_order(col: Column, table: Sequence[tuple[str, str]]) -> Column:
             return c
         # translate() drops characters beyond the end of the second argument.
         kept = [(a, b) for a, b in run.items() if b] + [(a, b) for a, b in run.items() if not b]
-        c = F.translate(c, "".join(a for a, _ in kept), "".join(b for _, b in kept))
+        old, new = "".join(a for a, _ in kept), "".join(b for _, b in kept)
+        touched = "[" + "".join(f"\\x{{{ord(a):x}}}" for a in old) + "]"
         run.clear()
-        return c
+        return let(lambda s: F.when(s["c"].rlike(touched), F.translate(s["c"], old, new)).otherwise(s["c"]), c=c)
 
     for old, new in table:
         single = len(old) == 1 and len(new) <= 1

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.hooks import map_groups
 from framewright.operators.scans import (
     BLOCK, attach, bounded_broadcast, number_rows, running_max, running_sum, with_lag_lead)
 from framewright.operators.segments import FPS, cut_at_eos, frames_in_ranges
@@ -217,7 +218,6 @@ def _fold_cluster(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     """Apply the splices of one cluster, last to first, on its own frames."""
 
     def piece(rows):
-        rows = rows.sort_values("frame")
         vecs = np.stack(rows["vec"].to_numpy()) if len(rows) else np.zeros((0, dim))
         return rows["f0"].to_numpy(dtype=np.float64), vecs
 
@@ -226,7 +226,7 @@ def _fold_cluster(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     now = piece(pdf[kind == 0])
     pieces = {rank: piece(rows) for rank, rows in pdf[kind == 1].groupby("rank")}
     empty = (np.zeros(0), np.zeros((0, dim)))
-    for op in pdf[kind == 2].sort_values("rank", ascending=False).itertuples():
+    for op in pdf[kind == 2].iloc[::-1].itertuples():
         s, e = max(int(op.s), 0), max(int(op.e), 0)
         now = _append(_append((now[0][:s], now[1][:s]), pieces.get(op.rank, empty), k),
                       (now[0][e:], now[1][e:]), k)
@@ -324,7 +324,8 @@ def apply_splices(
         placed.select("utt_id", "op", "cluster", "rank"), ["utt_id", "op"])
     pieces = rows(pieces, 1, F.col("frame"), F.col("f0"), F.col("vec"), none, none, F.col("rank"))
     orders = rows(placed, 2, none, none, none, F.col("s"), F.col("e"), F.col("rank"))
-    folded = inside.unionByName(pieces).unionByName(orders).groupBy("utt_id", "cluster").applyInPandas(
+    folded = map_groups(
+        inside.unionByName(pieces).unionByName(orders), ["utt_id", "cluster"], ["kind", "rank", "frame"],
         lambda pdf: _fold_cluster(pdf, k), "utt_id bigint, cluster bigint, frame bigint, f0 double, vec array<double>")
     folded = folded.join(
         clusters.select("utt_id", "cluster", (F.col("f0") + F.col("_shift")).alias("_at")), ["utt_id", "cluster"])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,18 +17,31 @@ SMALL = 64 << 20
 
 
 def _edits(ref, hyp) -> int:
-    """Word edit distance; one numpy row per reference word."""
-    ids: dict[str, int] = {}
-    r = np.fromiter((ids.setdefault(w, len(ids)) for w in ref), dtype=np.int64, count=len(ref))
-    h = np.fromiter((ids.setdefault(w, len(ids)) for w in hyp), dtype=np.int64, count=len(hyp))
-    steps = np.arange(len(h) + 1)
-    row = steps.copy()
-    for i, word in enumerate(r, 1):
-        best = np.empty_like(row)
-        best[0] = i
-        best[1:] = np.minimum(row[1:] + 1, row[:-1] + (h != word))
-        row = np.minimum.accumulate(best - steps) + steps
-    return int(row[-1])
+    """Word edit distance by bit vectors: one column of the table is one big integer.
+
+    Bit i of ``up`` / ``down`` says whether the column rises or falls between
+    reference words i and i + 1; a hypothesis word costs a few integer operations.
+    """
+    size = len(ref)
+    if size == 0:
+        return len(hyp)
+    where: dict[str, int] = {}
+    for i, word in enumerate(ref):
+        where[word] = where.get(word, 0) | (1 << i)
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    up, down, score = full, 0, size
+    for word in hyp:
+        equal = where.get(word, 0)
+        diagonal = ((((equal & up) + up) ^ up) | equal | down) & full
+        rise = down | (full & ~(diagonal | up))
+        fall = up & diagonal
+        if rise & top:
+            score += 1
+        elif fall & top:
+            score -= 1
+        rise, fall = ((rise << 1) | 1) & full, (fall << 1) & full
+        up, down = fall | (full & ~(equal | down | rise)), rise & (equal | down)
+    return score
 
 
 def word_edits(ref: Column, hyp: Column) -> Column:

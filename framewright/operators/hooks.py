@@ -56,6 +56,36 @@ def fold_frames(df: DataFrame, step: Callable[[object, pd.DataFrame], tuple[obje
     return df.repartition(*keys).sortWithinPartitions(*keys, pos).mapInPandas(run, schema)
 
 
+def map_groups(df: DataFrame, keys, order, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``fn`` on each small group, sorted by ``order``.
+
+    Like ``applyInPandas``, but many groups share one Arrow batch, which matters
+    when groups have few rows. Groups must be bounded by the caller.
+    """
+    keys, order = list(keys), list(order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            if rest is not None:
+                batch = pd.concat([rest, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            changed = False
+            for key in keys:
+                column = batch[key].to_numpy()
+                changed = changed | (column[1:] != column[:-1])
+            cuts = [0, *(int(i) + 1 for i in changed.nonzero()[0])]
+            done = [fn(batch.iloc[a:b]) for a, b in zip(cuts, cuts[1:])]
+            rest = batch.iloc[cuts[-1]:]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if rest is not None and len(rest):
+            yield fn(rest)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def try_rows(df: DataFrame, fn: Callable, kind: str, *inputs: Column, out: str = "value") -> DataFrame:
     """Add ``out`` and ``error``: ``fn(*values)`` per row; a failing row becomes an error text, the rest goes on."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import rng
 from framewright.functions.text import strip, words_of
+from framewright.operators.hooks import map_groups
 from framewright.operators.scans import (
     BLOCK, attach, running_last, running_sum, with_lag_lead, with_totals)
 from framewright.session import materialize
@@ -26,7 +27,6 @@ def _keys(keys) -> list[str]:
 def _next_starts(pdf: pd.DataFrame, block: int, min_words: int, min_chars: int) -> pd.DataFrame:
     """For each segment of one block: where the group that starts there ends, and
     the first group start at or past the end of the block."""
-    pdf = pdf.sort_values("seg").reset_index(drop=True)
     seg = pdf["seg"].to_numpy()
     total = int(pdf["n_seg"].iloc[0])
     home = int((seg // block == pdf["blk"].iloc[0]).sum())
@@ -53,7 +53,7 @@ def _next_starts(pdf: pd.DataFrame, block: int, min_words: int, min_chars: int)
     for i in range(home - 1, -1, -1):
         if nxt[i] < first + home:
             leave[i] = leave[nxt[i] - first]
-    return pd.DataFrame({"utt_id": pdf["utt_id"].iloc[:home], "blk": pdf["blk"].iloc[:home],
+    return pd.DataFrame({"utt_id": pdf["utt_id"].iloc[0], "blk": pdf["blk"].iloc[0],
                          "seg": seg[:home], "nxt": nxt, "leave": leave, "settled": settled})
 
 
@@ -96,8 +96,8 @@ def merge_segments(segs: DataFrame, min_words: int = 30, min_chars: int = 70,
         reach = sizes.withColumn("blk", F.explode(F.sequence(
             F.expr(f"greatest(seg - {halo}, 0) div {block}"), F.expr(f"seg div {block}"))))
         jumps = materialize(
-            reach.groupBy("utt_id", "blk").applyInPandas(
-                lambda pdf: _next_starts(pdf, block, min_words, min_chars),
+            map_groups(
+                reach, ["utt_id", "blk"], ["seg"], lambda pdf: _next_starts(pdf, block, min_words, min_chars),
                 "utt_id bigint, blk bigint, seg bigint, nxt bigint, leave bigint, settled boolean"),
             "merge-jumps")
         if jumps.filter(~F.col("settled")).isEmpty():
@@ -105,13 +105,13 @@ def merge_segments(segs: DataFrame, min_words: int = 30, min_chars: int = 70,
         halo *= 2
     doors = jumps.select("utt_id", F.col("leave").alias("seg")).unionByName(
         jumps.filter("seg = 0").select("utt_id", "seg")).distinct()
-    entries = doors.join(jumps.select("utt_id", "seg", "leave"), ["utt_id", "seg"]).groupBy(
-        "utt_id").applyInPandas(_visit, "utt_id bigint, entry bigint")
-    groups = (
-        jumps.join(entries.withColumn("blk", F.expr(f"entry div {block}")), ["utt_id", "blk"])
-        .groupBy("utt_id", "blk", "entry").applyInPandas(
-            lambda pdf: _starts(pdf), "utt_id bigint, first_seg bigint, last_seg bigint")
-    )
+    # Per recording only the doors between blocks, a few rows per block.
+    entries = map_groups(
+        doors.join(jumps.select("utt_id", "seg", "leave"), ["utt_id", "seg"]), ["utt_id"], ["seg"], _visit,
+        "utt_id bigint, entry bigint")
+    groups = map_groups(
+        jumps.join(entries.withColumn("blk", F.expr(f"entry div {block}")), ["utt_id", "blk"]),
+        ["utt_id", "blk"], ["seg"], _starts, "utt_id bigint, first_seg bigint, last_seg bigint")
     members = groups.withColumn("seg", F.explode(F.sequence("first_seg", "last_seg"))).join(
         segs, ["utt_id", "seg"])
     parts = members.groupBy("utt_id", "first_seg", "last_seg").agg(
