@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framewright.catalog.mixing import digest, sql_digest
 from framewright.catalog.registry import query, r6, sql_uniform
 from framewright.operators import pool as P
+from framewright.operators.scans import attach
 from framewright.plans import bindings as B
 
 
@@ -143,7 +144,7 @@ def pooled_pitch(spark, sf):
 SELECT p.cluster, {r6('avg(ln(f0))')} AS mean, {r6('stddev_pop(ln(f0))')} AS std
 FROM frames f JOIN pool p ON p.speaker_id = f.utt_id WHERE f0 > 0 GROUP BY p.cluster""")
 def raw_stats(spark, sf):
-    series = B.raw_pitch(spark, sf).join(B.pool(spark, sf).select("speaker_id", "cluster"), "speaker_id")
+    series = attach(B.raw_pitch(spark, sf), B.pool(spark, sf).select("speaker_id", "cluster"), "speaker_id", pos="idx")
     out = P.raw_pitch_stats(series, ["cluster"])
     return out.select("cluster", B.r6(F.col("mean")).alias("mean"), B.r6(F.col("std")).alias("std"))
 

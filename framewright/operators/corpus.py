@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.scans import bounded_broadcast
+
 IGNORED = -100
 
 
@@ -44,7 +46,7 @@ def mask_labels(df: DataFrame, bos: int, ids: str = "ids", length: str = "length
         first = df.agg(F.bool_and(F.col(ids)[0] == bos).alias("b")).scalar()
         return df.withColumn(ids, F.when(first, F.slice(ids, F.lit(2), F.size(ids))).otherwise(F.col(ids)))
     flags = df.groupBy(batch).agg(F.bool_and(F.col(ids)[0] == bos).alias("_cut"))
-    df = df.join(flags, batch)
+    df = df.join(bounded_broadcast(flags, F.lit(64), 64 << 20), batch)
     return df.withColumn(ids, F.when(F.col("_cut"), F.slice(ids, F.lit(2), F.size(ids))).otherwise(F.col(ids))).drop("_cut")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import rng
-from framewright.operators.scans import BLOCK, number_rows, running_sum
+from framewright.operators.scans import BLOCK, bounded_broadcast, number_rows, running_sum
 
 
 def _with_count(rows: DataFrame) -> tuple[DataFrame, Column]:
@@ -113,4 +113,4 @@ def speaker_band(df: DataFrame, speaker: str, seconds: str, low: float, high: fl
     """All rows of the speakers whose total lies within [low, high]."""
     totals = df.groupBy(speaker).agg(F.sum(seconds).alias("_total"))
     kept = totals.filter(F.col("_total").between(low, high)).select(speaker)
-    return df.join(kept, speaker, "left_semi")
+    return df.join(bounded_broadcast(kept, F.octet_length(F.col(speaker).cast("string")) + 64, 64 << 20), speaker, "left_semi")

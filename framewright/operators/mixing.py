@@ -20,6 +20,7 @@ from framewright.operators.scans import (
 EOS = 1024
 MASKED = -1
 GATE = 0.6
+VECTOR_BLOCK = 4096  # frames per window block when rows carry vectors
 CODEBOOK_LIMIT = 256 << 20  # bytes a codebook may take to be sent to every task
 
 
@@ -177,7 +178,7 @@ def repair_columns(syn: DataFrame, orig: DataFrame, levels: int, keys="utt_id",
 
 
 def windowed_corr(syn: DataFrame, orig: DataFrame, keys="utt_id", max_shift: int = 2,
-                  metric: str = "pearson", block: int = BLOCK) -> DataFrame:
+                  metric: str = "pearson", block: int = VECTOR_BLOCK) -> DataFrame:
     """keys, frame, corr: best correlation of a frame with the frames within ``max_shift`` of the other stream.
 
     Vectors are centred and scaled once; both streams then share one window, so

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import rng
-from framewright.operators.scans import number_rows
+from framewright.operators.scans import bounded_broadcast, number_rows
+from framewright.session import materialize
 
 GENDERS = ("f", "m")
 SPARSE = "cluster_sparse"
 DENSE = "cluster_dense"
+POOL_LIMIT = 256 << 20  # bytes of pool vectors that may be sent to every task
+_SMALL = 64 << 20
 
 
 def _mean_vector(col: str) -> Column:
@@ -73,9 +76,10 @@ def choose_cluster(
     """
     short = candidate_clusters(clusters, criterion, top_n).select("gender", "pick", "n_picks", "cluster")
     sizes = short.groupBy("gender").agg(F.max("n_picks").alias("_n"))
-    drawn = requests.join(sizes, "gender").withColumn(
+    drawn = requests.join(bounded_broadcast(sizes, F.lit(64), _SMALL), "gender").withColumn(
         "pick", F.floor(rng.uniform(F.col("seed"), F.lit("cluster")) * F.col("_n")))
-    return drawn.drop("_n").join(short.drop("n_picks"), ["gender", "pick"]).drop("pick")
+    picks = bounded_broadcast(short.drop("n_picks"), F.lit(64), _SMALL)
+    return drawn.drop("_n").join(picks, ["gender", "pick"]).drop("pick")
 
 
 def _draw_indices(n: Column, size: Column) -> Column:
@@ -103,13 +107,14 @@ def sample_speakers(
     """
     ids = number_rows(pool.select("speaker_id", "ord", group), ["ord"], [group], out="_idx").drop("ord")
     sizes = ids.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    asked = requests.join(sizes, group)
+    asked = requests.join(bounded_broadcast(sizes, F.lit(64), _SMALL), group)
     if n_speakers >= 1:
         drawn = asked.withColumn("_idx", F.explode(
             _draw_indices(F.least(F.col("_size"), F.lit(int(n_speakers))), F.col("_size"))))
         return drawn.join(ids, [group, "_idx"]).drop("_idx", "_size")
     wanted = F.greatest(F.floor(F.col("_size") * n_speakers), F.lit(1))
-    pairs = asked.join(ids.drop("_idx"), group).withColumn(
+    # Groups such as genders are few and hot, so the pool side is sent out when it is small.
+    pairs = asked.join(bounded_broadcast(ids.drop("_idx"), F.lit(64), _SMALL), group).withColumn(
         "_hash", rng.hash_key(F.col("seed"), F.col("speaker_id")))
     ranked = number_rows(pairs, ["_hash", "speaker_id"], requests.columns, out="_rank")
     return ranked.filter(F.col("_rank") < wanted).drop("_rank", "_hash", "_size")
@@ -164,13 +169,14 @@ def generate_pseudospeakers(
     """
     asked = requests.withColumn("gender", F.when(
         F.col("gender").isin(*GENDERS), F.col("gender")).otherwise(draw_gender(F.col("seed"))))
-    known = pool.join(pitch, "speaker_id")
+    known = materialize(pool.join(pitch, "speaker_id"), "pool")
     if criterion is None:
         chosen = sample_speakers(asked, known, n_speakers, "gender")
     else:
         located = choose_cluster(asked, clusters, criterion, top_n)
         chosen = sample_speakers(located, known, n_speakers, "cluster").drop("cluster")
-    chosen = chosen.withColumnRenamed("gender", "asked_gender").join(known, "speaker_id")
+    facts = bounded_broadcast(known, F.size("xvector") * 8 + 128, POOL_LIMIT)
+    chosen = chosen.withColumnRenamed("gender", "asked_gender").join(facts, "speaker_id")
     return chosen.groupBy(*[c for c in requests.columns if c != "gender"], "asked_gender").agg(
         _majority().alias("gender"), _mean_vector("xvector").alias("xvector"), *_pooled(),
         F.array_sort(F.collect_list("speaker_id")).alias("selected"))

@@ -92,7 +92,7 @@ def anonymize(
         syn.select("utt_id", "frame", F.col("vec").alias("_syn")), ["utt_id", "frame"])
     reject = F.lit(False)
     if gate:
-        both = both.join(M.windowed_corr(syn, orig, block=block), ["utt_id", "frame"])
+        both = both.join(M.windowed_corr(syn, orig), ["utt_id", "frame"])
         reject = F.col("corr") < tau
     mixed = attach(both, settings.select("utt_id", "result", "seed", "ratio"), "utt_id", block=block)
     keep = (rng.uniform(F.coalesce(F.col("seed"), F.lit(0)), F.col("utt_id"), F.col("frame")) > F.col("ratio")) | reject
