@@ -122,13 +122,18 @@ def normalize_phones(col: Column, keep_modifiers: bool = True) -> Column:
         table = table + [(c, "") for c in MODIFIER_MARKS]
     text = F.btrim(_collapse(replace_in_order(col, table)), F.lit("~"))
     if keep_modifiers:
-        def contours(run):
-            for plain, marked in tone_contours():
-                run = F.replace(run, F.lit(plain), F.lit(marked))
-            return run
-
-        text = let(lambda s: F.when(
-            s["t"].rlike(f"[{TONES}][{TONES}]"), contours(s["t"])).otherwise(s["t"]), t=text)
+        # Contours live inside runs of tone letters, so only those short runs are rewritten.
+        edge = f"(?<=[{TONES}])(?=[^{TONES}])|(?<=[^{TONES}])(?=[{TONES}])"
+
+        def contours(t):
+            toned = F.lit(False)
+            for tone in TONES:
+                toned = toned | F.contains(t, F.lit(tone))
+            runs = F.transform(F.split(t, edge), lambda p: F.when(
+                p.rlike(f"^[{TONES}]{{2}}"), replace_in_order(p, tone_contours())).otherwise(p))
+            return F.when(toned, F.array_join(runs, "")).otherwise(t)
+
+        text = let(lambda s: contours(s["t"]), t=text)
     return F.regexp_replace(F.concat(F.lit("~"), text, F.lit("~#")), "~+", "~")
 
 

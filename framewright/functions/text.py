@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from framewright.functions.vectors import let
-
 WHITESPACE = " \t\n\r\x0b\x0c"
 
 
@@ -39,27 +37,36 @@ def prepare_label(col: Column) -> Column:
 def replace_in_order(col: Column, table: Sequence[tuple[str, str]]) -> Column:
     """Apply (from, to) replacements one after the other.
 
-    Neighbouring single-character entries that cannot feed each other share one
-    ``translate`` pass, so a long table does not mean as many passes.
+    Neighbouring single-character entries become one character map, which a
+    later entry also applies to the outputs of earlier ones. A long map is one
+    ``translate`` pass, a short one a few plain replacements, which are cheaper.
     """
-    run: dict[str, str] = {}
+    chars: dict[str, str] = {}
 
     def flush(c):
-        if not run:
-            return c
-        # translate() drops characters beyond the end of the second argument.
-        kept = [(a, b) for a, b in run.items() if b] + [(a, b) for a, b in run.items() if not b]
-        old, new = "".join(a for a, _ in kept), "".join(b for _, b in kept)
-        touched = "[" + "".join(f"\\x{{{ord(a):x}}}" for a in old) + "]"
-        run.clear()
-        return let(lambda s: F.when(s["c"].rlike(touched), F.translate(s["c"], old, new)).otherwise(s["c"]), c=c)
+        if len(chars) > 8:
+            # translate() drops characters beyond the end of its second argument.
+            kept = sorted(chars.items(), key=lambda e: e[1] == "")
+            c = F.translate(c, "".join(a for a, _ in kept), "".join(b for _, b in kept))
+        else:
+            c = replace_each(c, pending)
+        chars.clear()
+        pending.clear()
+        return c
+
+    def replace_each(c, entries):
+        for old, new in entries:
+            c = F.replace(c, F.lit(old), F.lit(new))
+        return c
 
+    pending: list[tuple[str, str]] = []
     for old, new in table:
-        single = len(old) == 1 and len(new) <= 1
-        if not single or old in run.values() or old in run:
-            col = flush(col)
-        if single:
-            run[old] = new
+        if len(old) == 1 and len(new) <= 1:
+            for key, value in chars.items():
+                if value == old:
+                    chars[key] = new
+            chars.setdefault(old, new)
+            pending.append((old, new))
         else:
-            col = F.replace(col, F.lit(old), F.lit(new))
+            col = replace_each(flush(col), [(old, new)])
     return flush(col)
