@@ -48,9 +48,10 @@ def texts(spark, sf):
 c AS (SELECT utt_id, count(*) AS n, CASE WHEN utt_id % 5 = 0 THEN count(*) - 1 ELSE count(*) END AS t FROM groups GROUP BY utt_id)
 SELECT g.utt_id, g.group_no, g.first, g.last, g.n_words, 'R' || g.group_no AS text, NULL::VARCHAR AS error
 FROM groups g JOIN c USING (utt_id) WHERE n = t
-UNION ALL SELECT utt_id, NULL, NULL, NULL, NULL, NULL, t || ' texts for ' || n || ' groups' FROM c WHERE n <> t""")
+UNION ALL SELECT utt_id, -1, -1, -1, -1, NULL, t || ' texts for ' || n || ' groups' FROM c WHERE n <> t""")
 def pair_replacements(spark, sf):
-    return E.pair_replacements(groups(spark, sf), texts(spark, sf))
+    out = E.pair_replacements(groups(spark, sf), texts(spark, sf))
+    return out.fillna(-1, ["group_no", "first", "last", "n_words"])
 
 
 _CHUNK = f"""WITH {B.FRAMES}, {B.CODES_SQL},

@@ -125,13 +125,13 @@ def filelist(spark, sf):
 
 
 @query("S8_attach_sidecar", f"""WITH {B.MANIFEST}
-SELECT m.path, m.sentence, l.quality, l.toxic FROM (SELECT * FROM manifest ORDER BY path LIMIT 300) m
+SELECT m.path, m.sentence, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM (SELECT * FROM manifest ORDER BY path LIMIT 300) m
 LEFT JOIN labels l USING (doc_id)""")
 def attach_sidecar(spark, sf):
     utts = B.manifest(spark, sf).select("path", "sentence")
     meta = B.table(spark, sf, "labels").select(
         F.concat(F.lit("meta/"), F.col("doc_id").cast("string"), F.lit(".json")).alias("path"), "quality", "toxic")
-    return I.attach_sidecar(utts, meta, 300)
+    return I.attach_sidecar(utts, meta, 300).fillna(-1, ["quality", "toxic"])
 
 
 @query("S9_load_pool", f"""WITH {B.FRAMES}, {B.POOL}, {B.POOL_PITCH}

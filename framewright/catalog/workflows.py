@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from framewright.catalog.editing import base_frames
-from framewright.catalog.evaluate import pairs, vector_pairs
+from framewright.catalog.evaluate import _SIM, _WER, pairs, vector_pairs
 from framewright.catalog.mixing import _SHIFTED, _shifted_codes, digest, sql_digest
 from framewright.catalog.pool import _KNOWN, _PSEUDO, _pitch, sql_two
 from framewright.catalog.registry import query, r4, r6, sql_uniform
@@ -39,9 +39,9 @@ def _grid(spark, sf):
                        "any", include_original=True)
 
 
-@query("P1_work_grid", f"WITH {B.MANIFEST}, {_GRID} SELECT * FROM grid")
+@query("P1_work_grid", f"WITH {B.MANIFEST}, {_GRID} SELECT * REPLACE (coalesce(seed, -1) AS seed) FROM grid")
 def work_grid(spark, sf):
-    return _grid(spark, sf)
+    return _grid(spark, sf).fillna(-1, ["seed"])
 
 
 @query("P1_work_grid_fresh_seeds", f"""WITH {B.MANIFEST}, s AS (
@@ -65,9 +65,10 @@ def pending(spark, sf):
 
 
 @query("P2_skipped_work", f"""WITH {B.MANIFEST}, {_GRID}
-SELECT utt_id, result, 'skipped' AS status, NULL::INT AS sample_rate FROM grid WHERE utt_id % 6 = 0""")
+SELECT utt_id, result, 'skipped' AS status, NULL::VARCHAR AS sample_rate FROM grid WHERE utt_id % 6 = 0""")
 def skipped(spark, sf):
-    return _pending(spark, sf)[1]
+    out = _pending(spark, sf)[1]
+    return out.withColumn("sample_rate", F.col("sample_rate").cast("string"))
 
 
 def _anonymized(spark, sf, gate=False, noise=0.0):
@@ -143,7 +144,7 @@ def edit(spark, sf):
 
 
 @query("P5_try_rows", """WITH t AS (SELECT doc_id, split_part(text, ' ', 1) AS w FROM documents)
-SELECT doc_id, CASE WHEN length(w) % 4 <> 0 THEN 100 // (length(w) % 4) END AS value,
+SELECT doc_id, CASE WHEN length(w) % 4 <> 0 THEN 100 // (length(w) % 4) ELSE -1 END AS value,
   CASE WHEN length(w) % 4 = 0 THEN 'ZeroDivisionError: integer modulo' END AS error FROM t""")
 def try_rows(spark, sf):
     docs = B.table(spark, sf, "documents").select("doc_id", F.substring_index("text", " ", 1).alias("w"))
@@ -153,7 +154,7 @@ def try_rows(spark, sf):
             raise ZeroDivisionError("integer modulo")
         return 100 // (n % 4)
 
-    return H.try_rows(docs, share, "bigint", F.length("w")).select("doc_id", "value", "error")
+    return H.try_rows(docs, share, "bigint", F.length("w")).select("doc_id", "value", "error").fillna(-1, ["value"])
 
 
 def _release(spark, sf):
@@ -166,12 +167,25 @@ def _release(spark, sf):
     return X.evaluate_release(B.timings(spark, sf), sims, wers, rules, {"gpu_usd_per_hour": 0.35}, total="error")
 
 
-@query("P6_release_checks")
+_RELEASE = f"""{_SIM}, {_WER.removeprefix('WITH ')},
+sims AS (SELECT 'beta' || (utt_id % 3) AS setting, avg(sim) AS mean_sim, min(sim) AS min_sim FROM s GROUP BY utt_id % 3),
+rates AS (SELECT 'beta' || (item_id % 3) AS setting, 100 * avg(edits / greatest(n_ref, 1)::DOUBLE) AS mean_wer,
+            100 * sum(edits) / sum(n_ref) AS corpus_wer FROM e GROUP BY item_id % 3),
+metrics AS (
+  SELECT setting, 'mean_sim' AS metric, mean_sim AS value, mean_sim < 0.5 AS good, 'FAIL' AS bad FROM sims
+  UNION ALL SELECT setting, 'min_sim', min_sim, min_sim > -0.3, 'WARN' FROM sims
+  UNION ALL SELECT setting, 'mean_wer', mean_wer, mean_wer < 25, 'FAIL' FROM rates
+  UNION ALL SELECT setting, 'corpus_wer', corpus_wer, corpus_wer < 30, 'FAIL' FROM rates),
+checks AS (SELECT 'operating point ' || setting AS "check", metric, {r6('value')} AS value,
+  CASE WHEN good THEN 'PASS' ELSE bad END AS status, printf('%s=%.3f', metric, value) AS detail FROM metrics)"""
+
+
+@query("P6_release_checks", f"{_RELEASE} SELECT * FROM checks")
 def release_checks(spark, sf):
-    return _release(spark, sf)["checks"]
+    return _release(spark, sf)["checks"].withColumn("value", B.r6(F.col("value")))
 
 
-@query("P6_release_totals")
+@query("P6_release_totals", f"{_RELEASE} SELECT status, count(*) AS n FROM checks GROUP BY status")
 def release_totals(spark, sf):
     return _release(spark, sf)["totals"]
 

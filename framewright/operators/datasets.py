@@ -11,10 +11,6 @@ from framewright.functions import rng
 from framewright.operators.scans import BLOCK, bounded_broadcast, number_rows, running_sum
 
 
-def _with_count(rows: DataFrame) -> tuple[DataFrame, Column]:
-    return rows, rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-
-
 def _share(n: Column, frac: float) -> Column:
     return F.floor(n * F.lit(frac))
 
@@ -22,8 +18,8 @@ def _share(n: Column, frac: float) -> Column:
 def split_ordered(df: DataFrame, order: Sequence[str], frac: float = 0.9, limit: int | None = None,
                   limit_valid: int | None = None) -> DataFrame:
     """Add ``split``: the first part of the order is ``train``, the rest ``valid``; limits cut each side."""
-    rows, n = _with_count(number_rows(df, list(order), out="_no"))
-    rows = rows.withColumn("_cut", _share(n, frac))
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    rows = number_rows(df, list(order), out="_no").withColumn("_cut", _share(total, frac))
     rows = rows.withColumn("split", F.when(F.col("_no") < F.col("_cut"), "train").otherwise("valid"))
     pos = F.when(F.col("split") == "train", F.col("_no")).otherwise(F.col("_no") - F.col("_cut"))
     keep = F.lit(True)
