@@ -14,7 +14,10 @@ from framewright.operators import mixing as M
 from framewright.operators import pool as P
 from framewright.operators import series as S
 from framewright.operators.corpus import result_name, safe_stem
-from framewright.operators.scans import BLOCK, attach
+from framewright.operators.scans import BLOCK, attach, bounded_broadcast
+from framewright.session import materialize
+
+VOICE_LIMIT = 256 << 20
 
 
 def parse_list(text: str | None, kind: Callable = int, default: Sequence = ()) -> list:
@@ -83,10 +86,12 @@ def anonymize(
     asked = grid.filter("speaker_mode = 'pseudo'").select(
         "seed", F.coalesce("gender", F.lit("any")).alias("gender")).distinct().withColumn("asked", F.col("gender"))
     speakers = P.generate_pseudospeakers(asked, pool, pitch, n_speakers, criterion, clusters)
-    voices = speakers.select("seed", F.col("asked").alias("_g"), F.col("gender").alias("voice"), "mean", "std", "xvector")
+    # One row per (seed, gender), used by every part below.
+    voices = materialize(speakers.select(
+        "seed", F.col("asked").alias("_g"), F.col("gender").alias("voice"), "mean", "std", "xvector"), "voices")
+    numbers = bounded_broadcast(voices.select("seed", "_g", "mean", "std"), F.lit(128), VOICE_LIMIT)
     settings = grid.withColumn("_g", F.coalesce("gender", F.lit("any"))).join(
-        voices, ["seed", "_g"], "left").select(
-        "utt_id", "result", "speaker_mode", "seed", "ratio", "mean", "std", F.col("voice").alias("gender"), "xvector")
+        numbers, ["seed", "_g"], "left").select("utt_id", "result", "speaker_mode", "seed", "_g", "ratio", "mean", "std")
 
     both = orig.select("utt_id", "frame", "vec").join(
         syn.select("utt_id", "frame", F.col("vec").alias("_syn")), ["utt_id", "frame"])
@@ -107,10 +112,12 @@ def anonymize(
     columns = [*keys, "frame", "f0"]
     pitched = pseudo.select(*columns).unionByName(placed.filter("speaker_mode = 'original'").select(*columns))
 
-    table = settings.filter("speaker_mode = 'pseudo'").select(*keys, "gender", "xvector")
+    looks = bounded_broadcast(voices.select("seed", "_g", "voice", "xvector"), F.size("xvector") * 8 + 128, VOICE_LIMIT)
+    table = settings.filter("speaker_mode = 'pseudo'").join(looks, ["seed", "_g"]).select(
+        *keys, F.col("voice").alias("gender"), "xvector")
     if own_vectors is not None:
-        own = settings.filter("speaker_mode = 'original'").select(*keys, "gender").join(own_vectors, "utt_id")
-        table = table.unionByName(own.select(*keys, "gender", "xvector"))
+        own = settings.filter("speaker_mode = 'original'").select(*keys).join(own_vectors, "utt_id")
+        table = table.unionByName(own.select(*keys, F.lit(None).cast("string").alias("gender"), "xvector"))
     return pitched.join(mixed, [*keys, "frame"]), table
 
 
@@ -124,7 +131,7 @@ def edit(base: DataFrame, words: DataFrame, picked: DataFrame, texts: DataFrame,
     counts differ stay unedited and are reported.
     """
     groups = E.group_consecutive(picked)
-    paired = E.pair_replacements(groups, texts)
+    paired = materialize(E.pair_replacements(groups, texts), "edit-groups")
     errors = paired.filter("error is not null").select("utt_id", "error")
     spans = E.group_spans(paired.filter("error is null").select("utt_id", "group_no", "first", "last", "text"), words)
     ops = spans.select("utt_id", F.col("group_no").alias("op"), "start_frame", "end_frame")
