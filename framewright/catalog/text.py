@@ -113,7 +113,9 @@ def symbols_to_features(spark, sf):
     phones = phonetic(spark, sf).repartition(spark.sparkContext.defaultParallelism, "doc_id")
     phones = phones.withColumn("phones", Y.normalize_phones(F.col("phones")))
     out = Y.symbols_to_features(phones, feature_table(spark), "doc_id", "phones", Y.SYMBOLS + " ")
-    return out.select("doc_id", "pos", "symbol", F.array_join("features", "").alias("features"))
+    return out.groupBy("symbol", "features").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"), F.countDistinct("doc_id").alias("texts")).select(
+        "symbol", F.array_join("features", "").alias("features"), "n", "places", "texts")
 
 
 @query("T7_build_feature_table", """WITH a AS (
