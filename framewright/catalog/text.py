@@ -92,22 +92,69 @@ def symbols_to_ids(spark, sf):
 VOWELS = "aeiouəɪʊɛɔæ"
 
 
-def feature_table(spark):
-    """Feature vectors for the symbols by a simple rule; a real inventory is a table of the user."""
+def feature_rows():
+    """(symbol, value) rows by a simple rule; a real inventory is a table of the user."""
+    marks = {"~": "silence", "#": "end of sentence", "?": "questionmark", "!": "exclamationmark",
+             ".": "fullstop", " ": "word-boundary"}
     rows = []
     for i, s in enumerate(Y.SYMBOLS + " "):
-        if s in "~#?!. ":
-            rows.append((s, {"~": "silence", "#": "end of sentence", "?": "questionmark", "!": "exclamationmark",
-                             ".": "fullstop", " ": "word-boundary"}[s]))
-            continue
-        rows.append((s, "phoneme"))
-        rows.append((s, "vowel" if s in VOWELS else "consonant"))
-        rows.append((s, Y.FEATURES[22 + i % 14]))
-        rows.append((s, "voiced" if i % 2 else "unvoiced"))
-    return Y.build_feature_table(spark.createDataFrame(rows, "symbol string, value string"), Y.FEATURE_INDEX)
-
-
-@query("T6_symbols_to_features")
+        if s in marks:
+            rows.append((s, marks[s]))
+        else:
+            rows += [(s, "phoneme"), (s, "vowel" if s in VOWELS else "consonant"),
+                     (s, Y.FEATURES[22 + i % 14]), (s, "voiced" if i % 2 else "unvoiced")]
+    return rows
+
+
+def feature_table(spark):
+    return Y.build_feature_table(spark.createDataFrame(feature_rows(), "symbol string, value string"), Y.FEATURE_INDEX)
+
+
+def _features_sql() -> str:
+    on: dict[str, set[int]] = {}
+    for symbol, value in feature_rows():
+        on.setdefault(symbol, set()).add(Y.FEATURE_INDEX[value])
+    for places in on.values():
+        if Y.FEATURE_INDEX["phoneme"] not in places:
+            places.add(Y.FEATURE_INDEX["silence"])
+    base = ", ".join("({}, '{}')".format(sql_text(s), "".join("1" if d in places else "0" for d in range(64)))
+                     for s, places in on.items())
+    ones = {0: ["stressed"]}
+    for mark, names in Y.SETTING_MARKS.items():
+        for name in names:
+            ones.setdefault(Y.FEATURE_INDEX[name], []).append(f"contains(marks, '{mark}')")
+    twos: dict[int, list[str]] = {}
+    for mark, names in Y.TINTING_MARKS.items():
+        free = [f"contains(marks, '{mark}')"] + [
+            f"substring(bits, {Y.FEATURE_INDEX[n] + 1}, 1) <> '1'" for n in names]
+        for name in names:
+            twos.setdefault(Y.FEATURE_INDEX[name], []).append("(" + " AND ".join(free) + ")")
+
+    def digit(d):
+        value = f"substring(bits, {d + 1}, 1)"
+        if d in twos:
+            value = f"CASE WHEN {' OR '.join(twos[d])} THEN '2' ELSE {value} END"
+        return f"CASE WHEN {' OR '.join(ones[d])} THEN '1' ELSE {value} END" if d in ones else value
+
+    def chars(text):
+        return "".join(f"\\x{{{ord(c):x}}}" for c in text)
+
+    marks = "".join(Y.SETTING_MARKS) + "".join(Y.TINTING_MARKS)
+    sym, mark, all_ = chars(Y.SYMBOLS + " "), chars(marks), chars(Y.SYMBOLS + " " + marks + Y.STRESS)
+    return f"""WITH p AS (SELECT doc_id, {_phones_sql(True)} AS t FROM documents),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[^{all_}]', '', 'g'), '{Y.STRESS}([{mark}]+)', '\\1{Y.STRESS}', 'g') AS t FROM p),
+k AS (SELECT doc_id, regexp_extract_all(t, '{Y.STRESS}*[{sym}](?:{Y.STRESS}*[{mark}])*') AS parts FROM c),
+u AS (SELECT doc_id, i - 1 AS pos, parts[i] AS part FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM k)),
+w AS (SELECT doc_id, pos, starts_with(part, '{Y.STRESS}') AS stressed, substring(replace(part, '{Y.STRESS}', ''), 1, 1) AS symbol,
+        substring(replace(part, '{Y.STRESS}', ''), 2) AS marks FROM u),
+base(symbol, bits) AS (VALUES {base}),
+f AS (SELECT symbol, marks, stressed, {' || '.join(digit(d) for d in range(64))} AS features
+      FROM (SELECT DISTINCT symbol, marks, stressed FROM w) JOIN base USING (symbol))
+SELECT symbol, features, count(*) AS n, sum(pos)::BIGINT AS places, count(DISTINCT doc_id) AS texts
+FROM w JOIN f USING (symbol, marks, stressed) GROUP BY symbol, features"""
+
+
+@query("T6_symbols_to_features", _features_sql())
 def symbols_to_features(spark, sf):
     # One text becomes thousands of vectors, so the texts are spread first.
     phones = phonetic(spark, sf).repartition(spark.sparkContext.defaultParallelism, "doc_id")
