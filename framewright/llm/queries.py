@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality
+from . import decontaminate, line_dedup, near_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,6 +91,18 @@ def op3(spark, sf_dir):
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
 
 
+@query("op7_packing")
+def op7(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_dart_minhash")
+def op9(spark, sf_dir):
+    return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 @query("op10_quality_classifier")
 def op10(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
