@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, packing, quality
+from . import decontaminate, host_rules, html_text, language, line_dedup, near_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,6 +91,74 @@ def op3(spark, sf_dir):
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
 
 
+@query("op4_language_codes")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, ~held_out("id", 3, 1))
+    return language.predict(docs, model, keep=["doc_id"]).withColumn("held_out", held_out("doc_id", 3, 1)).drop("ambiguous")
+
+
+# The test pages have one plain article each, which SQL can cut out without a tree.
+_OP5 = r"""
+with parts as (
+  select page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') as ps from pages
+), cells as (
+  select page_id, url, i, trim(regexp_replace(replace(replace(replace(replace(
+    regexp_replace(replace(list_element(ps, i), '<br>', ' '), '<[^>]*>', '', 'g'),
+    '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g')) as cell
+  from parts, unnest(generate_series(1, len(ps))) as s(i)
+), texts as (
+  select page_id, url, coalesce(string_agg(cell, chr(10) order by i) filter (where cell <> ''), '') as text from cells group by page_id, url
+)
+select page_id, url, text, length(text)::bigint as n_chars from texts
+"""
+
+
+@query("op5_html_text", _OP5)
+def op5(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+_OP6 = r"""
+with d as (
+  select doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') as ws from documents
+), grams as (
+  select doc_id, p, array_to_string(ws[p : p + 7], ' ') as g from d, unnest(generate_series(1, len(ws) - 7)) as s(p) where len(ws) >= 8
+), twice as (select doc_id, g from grams group by all having count(*) > 1),
+covered as (
+  select doc_id, count(distinct q) as n_repeat_words from grams join twice using (doc_id, g), unnest(generate_series(p, p + 7)) as s(q) group by doc_id
+), lines as (
+  select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+  from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^ 	-
+]') group by doc_id
+), m as (
+  select d.doc_id, source, len(ws)::bigint as n_words, length(regexp_replace(t, '[ 	-
+]+', '', 'g'))::bigint as word_chars,
+    (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0) as n_lines
+  from d left join covered using (doc_id) left join lines using (doc_id)
+), long as (
+  select source, rule, bad from m, unnest([
+    {'rule': 1, 'bad': n_words < 20}, {'rule': 2, 'bad': 100 * n_repeat_words > 30 * n_words}, {'rule': 3, 'bad': 10 * n_symbols > n_words},
+    {'rule': 4, 'bad': 3 * n_dup_lines > n_lines}, {'rule': 5, 'bad': n_words > 0 and (word_chars < 2 * n_words or word_chars > 12 * n_words)}]) as u(x),
+    unnest([x.rule]) as r(rule), unnest([x.bad]) as b(bad)
+), hosts as (select source, rule, count(*)::double as n, count(*) filter (where bad)::double as k from long group by all),
+moments as (select rule, sum(k) / sum(n) as mean, var_pop(k / n) as v from hosts group by rule),
+prior as (select rule, mean, least(1000, greatest(1, case when v > 0 then mean * (1 - mean) / v - 1 else 1 end)) as strength from moments),
+verdict as (select source, bool_or((k + mean * strength) / (n + strength) > 0.5) as host_failed from hosts join prior using (rule) group by source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not host_failed as kept
+from m join verdict on m.source is not distinct from verdict.source
+"""
+
+
+@query("op6_host_rules", _OP6)
+def op6(spark, sf_dir):
+    return host_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("n_lines", "host_failed")
+
+
 @query("op7_packing")
 def op7(spark, sf_dir):
     import public_tokenizers
