@@ -120,8 +120,8 @@ def item_words(items: DataFrame, id_col: str = "item_id", text: str = "text") ->
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, text: str = "text",
-                       keep: list[str] | None = None, cut: bool = False) -> DataFrame:
-    """The kept columns and n_words, n_hit, n_items, items_sha256, contaminated.
+                       keep: list[str] | None = None, cut: bool = False, prefix: str = "") -> DataFrame:
+    """The kept columns and n_words, n_hit, n_items, items_sha256, contaminated (after ``prefix``).
 
     ``contaminated``: some word is hit and ``coverage * n_hit >= n_words``. With
     ``cut`` the text comes back without its hit spans. Items beyond one automaton's
@@ -133,7 +133,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     for k, group in enumerate(groups):
         held, last = spark.sparkContext.broadcast(group), k == len(groups) - 1
         carried = [*names, "hit_words", "hit_items"] if k else names
-        fields = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else "hit_words binary, hit_items array<string>"
+        fields = ", ".join(prefix + f for f in ("n_words long", "n_hit long", "n_items long", "items_sha256 string", "contaminated boolean")) if last else "hit_words binary, hit_items array<string>"
         if last and cut:
             fields += f", `{text}` string"
 
@@ -171,6 +171,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                 made = {"n_words": many, "n_hit": n_hit, "n_items": [len(f) for f in found],
                         "items_sha256": [hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() for f in found],
                         "contaminated": (n_hit > 0) & (coverage * n_hit >= many)}
+                made = {prefix + name: values for name, values in made.items()}
                 if cut:
                     made[text] = [_without(data[offsets[i] : offsets[i + 1]], start[s] - offsets[i], end[s] - offsets[i], hit[s]).decode("utf-8", "replace")
                                   for i, s in enumerate(slice(first[j], first[j + 1]) for j in range(rows.num_rows))]

@@ -150,16 +150,17 @@ def passes(index: DataFrame, limit: int) -> list[list[int]]:
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text: str = "text",
-                        keep: list[str] | None = None, digest: bool = False, pass_bytes: int = PASS_BYTES) -> DataFrame:
+                        keep: list[str] | None = None, digest: bool = False, pass_bytes: int = PASS_BYTES, prefix: str = "") -> DataFrame:
     """Documents with their repeated lines dropped.
 
     Columns: those of ``keep`` (all by default), the shortened ``text`` (its SHA-256
-    ``kept_sha256`` if ``digest``), ``n_lines`` and ``n_dropped``. The index covers only
+    ``kept_sha256`` if ``digest``), ``n_lines`` and ``n_dropped`` (after ``prefix``). The index covers only
     lines that must go. If it is larger than ``pass_bytes``, several passes over the
     documents probe one group of shards each.
     """
     spark = docs.sparkSession
-    index = materialize(build_index(repeated_lines(docs, min_chars, min_docs, id_col, text)), "line-index")
+    keys = materialize(repeated_lines(docs, min_chars, min_docs, id_col, text), "repeated-lines")
+    index = materialize(build_index(keys), "line-index")
     names = list(docs.columns if keep is None else keep)
     if id_col not in names:
         names.append(id_col)
@@ -168,7 +169,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
         rows = index.filter(F.col("shard").isin(shards)).collect() if shards else []
         parts = spark.sparkContext.broadcast([tuple(r) for r in rows])
         last = k == len(groups) - 1
-        fields = "n_lines long, n_dropped long, " + (("kept_sha256 string" if digest else f"`{text}` string") if last else "dropped_lines binary")
+        fields = f"{prefix}n_lines long, {prefix}n_dropped long, " + (("kept_sha256 string" if digest else f"`{text}` string") if last else "dropped_lines binary")
         carried = [*names, "dropped_lines"] if k else names
 
         def make(parts=parts, last=last, seen=carried.index("dropped_lines") if k else None, id_at=carried.index(id_col)):
@@ -191,7 +192,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
                 drop = [set() for _ in texts] if seen is None else [set(np.frombuffer(x, "<i4").tolist()) for x in rows.column(seen).to_pylist()]
                 for i, j in zip(doc[gone].tolist(), number[gone].tolist(), strict=True):
                     drop[i].add(j)
-                made = {"n_lines": [len(x) for x in texts], "n_dropped": [len(x) for x in drop]}
+                made = {f"{prefix}n_lines": [len(x) for x in texts], f"{prefix}n_dropped": [len(x) for x in drop]}
                 if not last:
                     return made | {"dropped_lines": [np.array(sorted(x), "<i4").tobytes() for x in drop]}
                 kept = [b"\n".join([y for j, y in enumerate(x) if j not in d] if d else x) for x, d in zip(texts, drop, strict=True)]
@@ -205,5 +206,5 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
         if not last:
             out = materialize(out, "line-pass")
     wanted = list(docs.columns if keep is None else keep)
-    made = ["n_lines", "n_dropped", "kept_sha256"] if digest else ["n_lines", "n_dropped"]
+    made = [f"{prefix}n_lines", f"{prefix}n_dropped", *(["kept_sha256"] if digest else [])]
     return out.select(*[c for c in wanted if c not in made], *([] if digest or text in wanted else [text]), *made)

@@ -219,3 +219,18 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     final = named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")
     out = sketched.select("id", "node").join(final, "node", "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).cast(kind).alias("class_id"))
+
+
+def keep_first_of_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with the smallest id of their class, once each.
+
+    Rows that share an id and a class stay once. Of documents without an id, whose
+    class has no id at all, one of each text stays.
+    """
+    classes = near_duplicate_classes(docs, id_col, text)
+    first = materialize(
+        classes.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(F.col(id_col).alias("first_id")).agg(F.count(F.lit(1)).alias("n")), "first-ids")
+    kept = docs.join(first, docs[id_col].eqNullSafe(first["first_id"]), "left_semi")
+    if first.filter("n > 1").isEmpty():  # no rows share an id
+        return kept
+    return kept.withColumn("_text_key", F.when(F.col(id_col).isNull(), F.xxhash64(text))).dropDuplicates([id_col, "_text_key"]).drop("_text_key")

@@ -159,11 +159,15 @@ def op6(spark, sf_dir):
     return host_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("n_lines", "host_failed")
 
 
-@query("op7_packing")
-def op7(spark, sf_dir):
+def tokenizer_path() -> str:
     import public_tokenizers
 
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op7_packing")
+def op7(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 @query("op9_dart_minhash")
