@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, add_columns, mix64, sliced, text_bytes
+from .words import Words, add_columns, mix64, sliced
 
 BITS, SCALE = 18, 8.0
 #: Rows used for training (expected number), and the tasks that share them.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_rules, html_text, language, line_dedup, near_dedup, packing, quality
+from . import decontaminate, hidden_markov, host_rules, html_text, language, line_dedup, near_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -170,6 +170,12 @@ def op7(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op8_hidden_markov")
+def op8(spark, sf_dir):
+    scored = hidden_markov.score_texts(table(spark, sf_dir, "documents"), ~held_out("id", 7, 2) & F.col("id").isNotNull())
+    return scored.withColumn("held_out", held_out("doc_id", 7, 2))
+
+
 @query("op9_dart_minhash")
 def op9(spark, sf_dir):
     return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
