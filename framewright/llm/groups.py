@@ -139,8 +139,10 @@ def components(links: DataFrame) -> DataFrame:
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = digest
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Written, so that the join below may split the rows of a hub with very many neighbours.
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "edges")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialize(small.filter("u <> v").distinct(), "edges")

@@ -201,7 +201,8 @@ def exact_links(docs: DataFrame, sketched: DataFrame, roots: DataFrame, id_col:
         return fn
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text).alias("body"))
-    texts = source.join(wanted, source["id"].eqNullSafe(wanted["id"])).select("group", "node", "body")
+    # The texts move at every size: broadcasting a small side would only pay for small inputs.
+    texts = source.join(wanted.hint("merge"), source["id"].eqNullSafe(wanted["id"])).select("group", "node", "body")
     rows = add_columns(texts, make, "own binary, payload binary, weight long", "body", ["group", "node"]).filter("own = node")
     return linked_members(rows.drop("own"), sizes, _by_shingles)
 
