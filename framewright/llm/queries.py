@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hidden_markov, host_rules, html_text, language, line_dedup, near_dedup, packing, quality
+from . import decontaminate, hidden_markov, host_rules, html_text, language, line_dedup, near_dedup, packing, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,11 @@ def held_out(name: str, parts: int, part: int) -> Column:
     return F.coalesce(fold(name, parts) == part, F.lit(False))
 
 
+@query("op1_suffix_dedup")
+def op1(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 _OP2 = r"""
 with item_lists as (
   select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
