@@ -132,12 +132,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     groups = item_words(items)
     for k, group in enumerate(groups):
         held, last = spark.sparkContext.broadcast(group), k == len(groups) - 1
-        carried = [*names, "hit_words", "hit_items"] if k else names
-        fields = ", ".join(prefix + f for f in ("n_words long", "n_hit long", "n_items long", "items_sha256 string", "contaminated boolean")) if last else "hit_words binary, hit_items array<string>"
+        carried = [f"_hit_words{k - 1}", f"_hit_items{k - 1}", *names] if k else names
+        fields = ", ".join(prefix + f for f in ("n_words long", "n_hit long", "n_items long", "items_sha256 string", "contaminated boolean")) if last else f"_hit_words{k} binary, _hit_items{k} array<string>"
         if last and cut:
             fields += f", `{text}` string"
 
-        def make(held=held, last=last, seen=k > 0, at=len(names)):
+        def make(held=held, last=last, seen=k > 0, k=k):
             words, ids = Words("alnum"), [i for i, _ in held.value]
             vocabulary = np.unique(np.array([w for _, own in held.value for w in own], np.uint64))
             automaton = SuffixAutomaton([np.searchsorted(vocabulary, np.array(own, np.uint64)).tolist() for _, own in held.value], window)
@@ -149,7 +149,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                 first = np.concatenate([[0], np.cumsum(many)])
                 hit, found = np.zeros(len(h), bool), [set() for _ in range(rows.num_rows)]
                 if seen:
-                    for i, (old, listed) in enumerate(zip(rows.column(at).to_pylist(), rows.column(at + 1).to_pylist(), strict=True)):
+                    for i, (old, listed) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
                         hit[first[i] + np.frombuffer(old, "<i4")] = True
                         found[i].update(listed)
                 if len(vocabulary):
@@ -166,8 +166,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                         found[doc[a]].update(ids[n] for n in names_found if ids[n] is not None)
                 n_hit = np.bincount(doc[hit], minlength=rows.num_rows)
                 if not last:
-                    return {"hit_words": [np.flatnonzero(hit[first[i] : first[i + 1]]).astype("<i4").tobytes() for i in range(rows.num_rows)],
-                            "hit_items": [sorted(f) for f in found]}
+                    return {f"_hit_words{k}": [np.flatnonzero(hit[first[i] : first[i + 1]]).astype("<i4").tobytes() for i in range(rows.num_rows)],
+                            f"_hit_items{k}": [sorted(f) for f in found]}
                 made = {"n_words": many, "n_hit": n_hit, "n_items": [len(f) for f in found],
                         "items_sha256": [hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() for f in found],
                         "contaminated": (n_hit > 0) & (coverage * n_hit >= many)}
@@ -182,7 +182,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
         out = add_columns(out, make, fields, text, carried + ([text] if not last and text not in carried else []))
         if not last:
             out = materialize(out, "decontamination-pass")
-    return out
+    return out.drop(f"_hit_words{len(groups) - 2}", f"_hit_items{len(groups) - 2}")
 
 
 def _without(raw: np.ndarray, start: np.ndarray, end: np.ndarray, hit: np.ndarray) -> bytes:

@@ -91,7 +91,8 @@ def host_rates(measured: DataFrame, host: str) -> DataFrame:
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns, the measures, ``base_failed``, ``host_failed`` and ``kept``."""
-    names = list(docs.columns if keep is None else keep)
+    made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept"]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in made]
     measured = materialize(measure(docs, text, list(dict.fromkeys([*names, host]))), "measures")
     bad = " or ".join(f"rate_{r} > {HOST_LIMIT}" for r in RULES)
     verdicts = host_rates(measured, host).select(F.col(host).alias("judged_host"), F.expr(f"coalesce({bad}, false)").alias("host_failed"))
@@ -99,4 +100,4 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", keep: list[
     # Verdicts hold one row per host; the planner broadcasts them if they are small and splits hot hosts if not.
     return (measured.join(verdicts, measured[host].eqNullSafe(verdicts["judged_host"]), "left").withColumn("base_failed", base)
             .withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False)))
-            .select(*names, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept"))
+            .select(*[measured[c] for c in names], *made))

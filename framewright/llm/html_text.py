@@ -35,6 +35,7 @@ BOILERPLATE = re.compile(
     r"overlay|newsletters?|subscribe|subscription|comments?|commentlist|replies|respond|disqus|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footers?|masthead|"
     r"social|share|sharing|related|recommend(?:ed|ations?)|widgets?|toolbar|pagination|pager|login|signup|search)(?=$|[-_\s])", re.I)
 HEADER = re.compile(r"(?:^|[-_\s])(?:header|topbar)(?=$|[-_\s])", re.I)
+LINK_BOX = frozenset("div section ul ol dl table".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
 
 
@@ -138,6 +139,8 @@ def blocks(node: Node) -> list[str]:
             run.append(part)
         elif part.tag == "br":
             run.append(" ")
+        elif part.tag in LINK_BOX and part is not node and part.linked > 0.8 * part.chars:
+            flush()  # a box of links is a menu
         elif part.tag in BLOCK:
             flush()
             todo.append(None)

@@ -162,24 +162,23 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     keys = materialize(repeated_lines(docs, min_chars, min_docs, id_col, text), "repeated-lines")
     index = materialize(build_index(keys), "line-index")
     names = list(docs.columns if keep is None else keep)
-    if id_col not in names:
-        names.append(id_col)
+    names = [id_col, *[c for c in names if c != id_col]]
     groups, out = passes(index, pass_bytes), docs
     for k, shards in enumerate(groups):
         rows = index.filter(F.col("shard").isin(shards)).collect() if shards else []
         parts = spark.sparkContext.broadcast([tuple(r) for r in rows])
         last = k == len(groups) - 1
-        fields = f"{prefix}n_lines long, {prefix}n_dropped long, " + (("kept_sha256 string" if digest else f"`{text}` string") if last else "dropped_lines binary")
-        carried = [*names, "dropped_lines"] if k else names
+        fields = f"{prefix}n_lines long, {prefix}n_dropped long, " + (("kept_sha256 string" if digest else f"`{text}` string") if last else f"_dropped_lines{k} binary")
+        carried = [id_col, f"_dropped_lines{k - 1}", *names[1:]] if k else names
 
-        def make(parts=parts, last=last, seen=carried.index("dropped_lines") if k else None, id_at=carried.index(id_col)):
+        def make(parts=parts, last=last, seen=1 if k else None, k=k):
             shards = {r[0]: (PerfectHash.from_bytes(r[1]), np.frombuffer(r[2], "<i8").view(np.uint64), np.frombuffer(r[4], "<i8")) for r in parts.value}
             n_shards = parts.value[0][5] if parts.value else 1
 
             def fn(rows, data, offsets):
                 texts, doc, number, h1, h2 = hash_lines(data, offsets, min_chars)
                 gone = np.zeros(len(doc), bool)
-                ids = pd.Series(rows.column(id_at).to_pandas()).astype("Int64")
+                ids = pd.Series(rows.column(0).to_pandas()).astype("Int64")
                 own, none = ids.fillna(0).to_numpy(np.int64), ids.isna().to_numpy(bool)
                 shard = h1.view(np.int64) % n_shards
                 for s in np.unique(shard):
@@ -194,7 +193,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
                     drop[i].add(j)
                 made = {f"{prefix}n_lines": [len(x) for x in texts], f"{prefix}n_dropped": [len(x) for x in drop]}
                 if not last:
-                    return made | {"dropped_lines": [np.array(sorted(x), "<i4").tobytes() for x in drop]}
+                    return made | {f"_dropped_lines{k}": [np.array(sorted(x), "<i4").tobytes() for x in drop]}
                 kept = [b"\n".join([y for j, y in enumerate(x) if j not in d] if d else x) for x, d in zip(texts, drop, strict=True)]
                 if digest:
                     return made | {"kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}

@@ -36,7 +36,27 @@ def held_out(name: str, parts: int, part: int) -> Column:
     return F.coalesce(fold(name, parts) == part, F.lit(False))
 
 
-@query("op1_suffix_dedup")
+_OP1 = r"""
+with bodies as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+starts as (select doc_id, p, md5(substr(x, 2 * p + 1, 200)) as w from bodies, unnest(range(0, (length(x) // 2 - 99)::bigint)) as s(p) where length(x) >= 200),
+later as (select doc_id, p from starts qualify row_number() over (partition by w order by doc_id, p) > 1),
+marks as (select doc_id, p, p > 1 + 99 + max(p) over (partition by doc_id order by p rows between unbounded preceding and 1 preceding) as fresh from later),
+runs as (select doc_id, p, sum((fresh is null or fresh)::int) over (partition by doc_id order by p) as run from marks),
+spans as (select doc_id, min(p) as a, max(p) + 100 as b from runs group by doc_id, run),
+gaps as (
+  select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as g0, a as g1 from spans
+  union all select doc_id, max(b), null from spans group by doc_id
+), kept as (
+  select g.doc_id, string_agg(substr(x, 2 * g0 + 1, coalesce(2 * g1, length(x)) - 2 * g0), '' order by g0) as k
+  from gaps g join bodies using (doc_id) group by g.doc_id
+), sizes as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from spans group by doc_id)
+select doc_id, length(x)::bigint // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(k, x))) as kept_sha256
+from bodies left join sizes using (doc_id) left join kept using (doc_id)
+"""
+
+
+@query("op1_suffix_dedup", _OP1)
 def op1(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
