@@ -26,8 +26,15 @@ def split_ordered(spark, sf):
 
 @query("D2_split_random", f"""{_M}, n AS (SELECT doc_id, path, row_number() OVER (ORDER BY md5('42:' || path), path) - 1 AS no,
   floor(count(*) OVER () * 0.9) AS cut FROM manifest)
-SELECT doc_id, path, CASE WHEN no < cut THEN 'train' ELSE 'valid' END AS split FROM n WHERE no < cut OR no - cut < 256""")
+SELECT doc_id, path, CASE WHEN no < cut THEN 'train' ELSE 'valid' END AS split FROM n""")
 def split_random(spark, sf):
+    return D.split_random(_paths(spark, sf), "path", 0.9, 42)
+
+
+@query("D2_split_random_capped", f"""{_M}, n AS (SELECT doc_id, path, row_number() OVER (ORDER BY md5('42:' || path), path) - 1 AS no,
+  floor(count(*) OVER () * 0.9) AS cut FROM manifest)
+SELECT doc_id, path, CASE WHEN no < cut THEN 'train' ELSE 'valid' END AS split FROM n WHERE no < cut OR no - cut < 256""")
+def split_random_capped(spark, sf):
     return D.split_random(_paths(spark, sf), "path", 0.9, 42, 256)
 
 

@@ -206,10 +206,17 @@ def edit_transcript(spark, sf):
     return E.edit_transcript(B.words(spark, sf), spans)
 
 
-@query("E9_list_words", f"""{_W}
-SELECT utt_id, word_idx, printf('%5d | %s | %.2f -> %.2f', word_idx, word, start, "end") AS line
-FROM words WHERE word_idx < 200""")
+_LISTED = f"""{_W}
+SELECT utt_id, word_idx, printf('%5d | %s | %.2f -> %.2f', word_idx, word, start, "end") AS line FROM words"""
+
+
+@query("E9_list_words", _LISTED)
 def list_words(spark, sf):
+    return E.list_words(B.words(spark, sf))
+
+
+@query("E9_list_words_first_200", f"{_LISTED} WHERE word_idx < 200")
+def list_first_words(spark, sf):
     return E.list_words(B.words(spark, sf), 200)
 
 

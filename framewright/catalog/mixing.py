@@ -151,6 +151,23 @@ def admix_gated(spark, sf):
     return out.select("utt_id", "frame", "from_syn", B.r6(F.col("corr")).alias("corr"), *digest(F.col("vec")))
 
 
+@query("V7_admix_default_gate_unrelated_streams", f"""WITH {B.VECTORS}, ends AS (SELECT utt_id, max(frame) AS last FROM va GROUP BY utt_id),
+vc AS (SELECT utt_id, last - frame AS frame, vec FROM va JOIN ends USING (utt_id)),
+ua AS (SELECT utt_id, frame, {sql_unit('vec')} AS u FROM va), ub AS (SELECT utt_id, frame, {sql_unit('vec')} AS u FROM vc),
+corr AS (SELECT b.utt_id, b.frame, max(list_dot_product(b.u, a.u)) AS corr
+  FROM ub b JOIN ua a ON a.utt_id = b.utt_id AND a.frame BETWEEN b.frame - 2 AND b.frame + 2 GROUP BY b.utt_id, b.frame),
+m AS (SELECT a.utt_id, a.frame, {sql_uniform("'52:' || a.utt_id || ':' || a.frame")} <= 0.7 AND NOT (c.corr < 0.6) AS from_syn,
+             a.vec AS av, b.vec AS bv FROM va a JOIN vc b USING (utt_id, frame) JOIN corr c USING (utt_id, frame))
+SELECT utt_id, frame, from_syn, {sql_digest('(CASE WHEN from_syn THEN bv ELSE av END)')} FROM m""")
+def admix_default_gate(spark, sf):
+    """The other stream is the same recording backwards, so only frames near its middle resemble each other."""
+    a = B.vectors(spark, sf).select("utt_id", "frame", "vec")
+    last = a.groupBy("utt_id").agg(F.max("frame").alias("last"))
+    b = a.join(last, "utt_id").select("utt_id", (F.col("last") - F.col("frame")).alias("frame"), "vec")
+    out = M.admix(a, b, 0.7, 52, corr=M.windowed_corr(b, a))
+    return out.select("utt_id", "frame", "from_syn", *digest(F.col("vec")))
+
+
 @query("V8_assemble_frames", f"""WITH {B.FRAMES}, {B.VECTORS}, {B.POOL}
 SELECT a.utt_id, a.frame, {sql_digest('list_concat(a.vec, [f.f0], p.xvector)')}
 FROM va a JOIN frames f USING (utt_id, frame) JOIN pool p ON p.speaker_id = a.utt_id""")

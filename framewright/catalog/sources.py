@@ -52,9 +52,15 @@ def collect_inputs(spark, sf):
     return I.collect_inputs([docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 = 1"), deep])
 
 
-@query("S3_scan_files")
+@query("S3_scan_files", """SELECT source AS name, sum(strlen(text) + 1)::BIGINT AS length FROM documents GROUP BY source""")
 def scan_files(spark, sf):
-    return I.scan_files(spark, sf, "*.parquet").select("path", "length")
+    """The texts of each source in one ``.txt`` file of its folder, beside files that the pattern leaves out."""
+    folder = _folder(spark, "scanned")
+    docs = B.table(spark, sf, "documents").select("source", "text").repartition("source")
+    docs.write.partitionBy("source").text(folder)
+    docs.write.mode("append").partitionBy("source").json(folder)
+    found = I.scan_files(spark, folder, "*.txt", recursive=True)
+    return found.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("name"), "length")
 
 
 def pack_floats(kind: str):
@@ -96,12 +102,13 @@ def read_manifests(spark, sf):
     files = []
     for i, prefix in enumerate(("A_", "B_")):
         path = _folder(spark, f"manifest{i}")
-        rows.filter(F.col("doc_id") % 2 == i).select(F.to_json(F.array(F.struct(
-            "path", "sentence", "language"))).alias("value")).write.text(path, lineSep="\n")
+        entry = F.to_json(F.struct("path", "sentence", "language"), {"pretty": "true"})
+        arrays = rows.filter(F.col("doc_id") % 2 == i).groupBy(F.expr("doc_id div 200").alias("file")).agg(
+            F.concat(F.lit("["), F.array_join(F.collect_list(entry), ",\n"), F.lit("]")).alias("value"))
+        # Each manifest is one file that holds one array over many lines.
+        arrays.write.partitionBy("file").text(path)
         files.append((path, prefix))
-    # One array per line stands for one manifest file each.
-    parts = [spark.read.schema(I.MANIFEST).json(p).withColumn("prefix", F.lit(x)) for p, x in files]
-    return parts[0].unionByName(parts[1]).select("prefix", "path", "sentence", "language")
+    return I.read_manifests(spark, files).select("prefix", "path", "sentence", "language")
 
 
 @query("S6_read_transcripts", r"""SELECT source || '_' || lang || '_' || doc_id AS audio_id,
@@ -111,7 +118,10 @@ def read_transcripts(spark, sf):
     docs = B.table(spark, sf, "documents")
     key = F.concat_ws("_", "source", "lang", F.col("doc_id").cast("string"))
     lines = docs.select(F.concat(key, F.lit("\t"), F.ltrim(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("value"))
-    return I.parse_transcripts(lines, "root")
+    folder = _folder(spark, "transcripts")
+    lines.write.text(f"{folder}/transcripts.txt")
+    read = I.read_transcripts(spark, folder)
+    return read.withColumn("path", F.replace("path", F.lit(folder), F.lit("root")))
 
 
 @query("S7_filelist_round_trip", f"""WITH {B.MANIFEST}

@@ -57,7 +57,7 @@ def phonetic(spark, sf):
     col = F.col("text")
     for old, new in PHONETIC:
         col = F.replace(col, F.lit(old), F.lit(new))
-    return B.table(spark, sf, "documents").select("doc_id", col.alias("phones"))
+    return B.spread(B.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", col.alias("phones"))
 
 
 def _phones_sql(keep: bool) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -206,10 +207,9 @@ SELECT utt_id, count(*) AS n, {r6('sum(f0 * (frame + 1))')} AS weighted FROM fra
 def fold_frames(spark, sf):
     def step(state, rows):
         utt, n, total = state or (int(rows["utt_id"].iloc[0]), 0, 0.0)
-        for f0 in rows["f0"]:
-            n += 1
-            total += f0 * n
-        return (utt, n, total), None
+        f0 = rows["f0"].to_numpy()
+        total += float(f0 @ np.arange(n + 1, n + 1 + len(f0)))
+        return (utt, n + len(f0), total), None
 
     def finish(state):
         return pd.DataFrame([state], columns=["utt_id", "n", "weighted"])

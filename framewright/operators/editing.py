@@ -99,10 +99,11 @@ def edit_transcript(words: DataFrame, spans: DataFrame, keys="utt_id") -> DataFr
     return kept.withColumn("replaced", F.lit(False)).unionByName(new.withColumn("replaced", F.lit(True)))
 
 
-def list_words(words: DataFrame, n: int = 200) -> DataFrame:
-    """Printable list of the first ``n`` words of each recording."""
+def list_words(words: DataFrame, n: int | None = None) -> DataFrame:
+    """Printable list of all words, or of the first ``n`` of each recording."""
     line = F.format_string("%5d | %s | %.2f -> %.2f", "word_idx", "word", "start", "end")
-    return words.filter(F.col("word_idx") < n).select("utt_id", "word_idx", line.alias("line"))
+    listed = words if n is None else words.filter(F.col("word_idx") < n)
+    return listed.select("utt_id", "word_idx", line.alias("line"))
 
 
 def longest_word(words: DataFrame, keys="utt_id") -> DataFrame:
@@ -175,7 +176,7 @@ def crossfade_append(a: DataFrame, b: DataFrame, width: int = GRAFT, keys="utt_i
         *keys, (F.col("_na") - F.col("_w") + F.col("frame")).alias("frame"),
         (F.col("frame") + 1).alias("_i"), F.col("_w").alias("_wb"), F.struct("f0", "vec").alias("_b"))
     both = left.join(right, [*keys, "frame"], "full")
-    ramp = F.col("_i") / (F.col("_wb") + 1)
+    ramp = _seam_share(F.col("_i"), F.col("_wb"))
     seam = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     vec = F.when(seam, F.zip_with("_a.vec", "_b.vec", lambda x, y: x * (1 - ramp) + y * ramp)).otherwise(
         F.coalesce("_a.vec", "_b.vec"))
@@ -204,14 +205,30 @@ def hard_splice(base: DataFrame, repl: DataFrame, spans: DataFrame, keys="utt_id
     return graft_splice(base, repl, spans, 0, keys)
 
 
-def _append(a: tuple, b: tuple, width: int) -> tuple:
-    w = min(width, len(a[0]), len(b[0]))
-    if w <= 0:
-        return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-    cut = len(a[0]) - w
-    ramp = np.arange(1, w + 1) / (w + 1)
-    return (np.concatenate([a[0][:cut], 0.5 * (a[0][cut:] + b[0][:w]), b[0][w:]]),
-            np.concatenate([a[1][:cut], a[1][cut:] + ramp[:, None] * (b[1][:w] - a[1][cut:]), b[1][w:]]))
+def _seam_share(step, width):
+    """Share of the right side at the ``step``-th (from 1) of ``width`` shared frames."""
+    return step / (width + 1)
+
+
+def _joined(left: tuple, right: tuple, width: int) -> tuple:
+    """Two pieces (f0, vectors) on one axis, overlapping by at most ``width`` frames.
+
+    Every output frame is a weighted sum of both sides, each laid out with zeros
+    where it has no frame; vectors take the seam's ramp as weight, F0 one half.
+    """
+    n_left, n_right = len(left[0]), len(right[0])
+    shared = max(0, min(width, n_left, n_right))
+    offset = n_left - shared
+    at = np.arange(offset + n_right)
+    share = np.clip(_seam_share(at - offset + 1, shared), 0.0, 1.0)
+    half = 0.5 * (at >= offset) + 0.5 * (at >= n_left)
+    out = []
+    for a, b, weight in ((left[0], right[0], half), (left[1], right[1], share[:, None])):
+        total = np.zeros((len(at), *a.shape[1:]))
+        total[:n_left] += (1.0 - weight[:n_left]) * a
+        total[offset:] += weight[offset:] * b
+        out.append(total)
+    return tuple(out)
 
 
 def _fold_cluster(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -228,8 +245,8 @@ def _fold_cluster(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     empty = (np.zeros(0), np.zeros((0, dim)))
     for op in pdf[kind == 2].iloc[::-1].itertuples():
         s, e = max(int(op.s), 0), max(int(op.e), 0)
-        now = _append(_append((now[0][:s], now[1][:s]), pieces.get(op.rank, empty), k),
-                      (now[0][e:], now[1][e:]), k)
+        head, tail = (now[0][:s], now[1][:s]), (now[0][e:], now[1][e:])
+        now = _joined(_joined(head, pieces.get(op.rank, empty), k), tail, k)
     n = len(now[0])
     return pd.DataFrame({"utt_id": pdf["utt_id"].iloc[0], "cluster": pdf["cluster"].iloc[0],
                          "frame": np.arange(n), "f0": now[0], "vec": list(now[1])})

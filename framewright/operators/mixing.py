@@ -16,6 +16,7 @@ from framewright.functions import rng
 from framewright.functions.vectors import add, cosine, dot, subtract, unit
 from framewright.operators.scans import (
     BLOCK, attach, bounded_broadcast, number_rows, with_neighbours, with_totals)
+from framewright.session import materialize
 
 EOS = 1024
 MASKED = -1
@@ -55,16 +56,33 @@ def _matrix(rows, col: str = "vec") -> np.ndarray:
     return np.array([r[col] for r in rows], dtype=np.float64)
 
 
-def _nearest_udf(spark, ids: list, centres: np.ndarray):
-    shared = spark.sparkContext.broadcast((np.array(ids, dtype=np.int64), centres, (centres ** 2).sum(1)))
+def _nearest(x: np.ndarray, centres: np.ndarray, tile: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, row) of the nearest centre of each vector; ties go to the lower row.
 
+    The one distance formula of encoding and assignment, in tiles of vectors and
+    centres, so that memory does not grow with their number.
+    """
+    least, at = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int64)
+    for r in range(0, len(x), tile):
+        part = x[r : r + tile]
+        size = (part ** 2).sum(1)[:, None]
+        for c in range(0, len(centres), tile):
+            near = centres[c : c + tile]
+            d2 = size - 2.0 * part @ near.T + (near ** 2).sum(1)[None, :]
+            found = d2.argmin(axis=1)
+            d2 = d2[np.arange(len(part)), found]
+            better = d2 < least[r : r + tile]
+            least[r : r + tile][better] = d2[better]
+            at[r : r + tile][better] = found[better] + c
+    return least, at
+
+
+def _nearest_udf(shared):
     @F.pandas_udf("struct<id: bigint, d2: double>")
-    def nearest(vecs: pd.Series) -> pd.DataFrame:
-        known, c, c2 = shared.value
-        x = np.stack(vecs.to_numpy()).astype(np.float64)
-        d2 = (x ** 2).sum(1)[:, None] - 2.0 * x @ c.T + c2[None, :]
-        best = d2.argmin(axis=1)
-        return pd.DataFrame({"id": known[best], "d2": d2[np.arange(len(x)), best]})
+    def nearest(col: pd.Series) -> pd.DataFrame:
+        known, centres = shared.value
+        d2, at = _nearest(np.stack(col.to_numpy()).astype(np.float64), centres)
+        return pd.DataFrame({"id": known[at], "d2": d2})
 
     return nearest
 
@@ -73,26 +91,25 @@ def assign_clusters(vecs: DataFrame, centres: DataFrame, out: str = "cluster",
                     limit_bytes: int = CODEBOOK_LIMIT) -> DataFrame:
     """Add the id of the nearest centre (columns ``id``, ``vec``); ties go to the lowest id.
 
-    Centres reach the tasks in parts of at most ``limit_bytes``; with several
-    parts each row keeps its best so far, so any number of centres works.
+    Centres reach the tasks in parts of at most ``limit_bytes``. With several
+    parts each pass writes the best so far, so that only one part is held at a time.
     """
     spark = vecs.sparkSession
     total = centres.agg(F.sum(_vector_bytes("vec")).alias("b")).first()["b"] or 0
     parts = max(1, -(-total // limit_bytes))
-    best = None
-    rows = vecs
+    rows = vecs.withColumn("_best", F.lit(None).cast("struct<id: bigint, d2: double>"))
     for i in range(parts):
         part = centres.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).orderBy("id").collect()
         if not part:
             continue
-        found = _nearest_udf(spark, [r["id"] for r in part], _matrix(part))(F.col("vec"))
-        if best is None:
-            rows, best = rows.withColumn("_best", found), True
-        else:
-            rows = rows.withColumn("_new", found)
-            better = (F.col("_new.d2") < F.col("_best.d2")) | (
-                (F.col("_new.d2") == F.col("_best.d2")) & (F.col("_new.id") < F.col("_best.id")))
-            rows = rows.withColumn("_best", F.when(better, F.col("_new")).otherwise(F.col("_best"))).drop("_new")
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in part], dtype=np.int64), _matrix(part)))
+        rows = rows.withColumn("_new", _nearest_udf(shared)(F.col("vec")))
+        better = F.col("_best").isNull() | (F.col("_new.d2") < F.col("_best.d2")) | (
+            (F.col("_new.d2") == F.col("_best.d2")) & (F.col("_new.id") < F.col("_best.id")))
+        rows = rows.withColumn("_best", F.when(better, F.col("_new")).otherwise(F.col("_best"))).drop("_new")
+        if parts > 1:
+            rows = materialize(rows, "nearest-pass")
+            shared.unpersist()
     return rows.withColumn(out, F.col("_best.id")).drop("_best")
 
 
@@ -122,10 +139,9 @@ def rvq_encode(vecs: DataFrame, codebook: DataFrame, levels: int,
         left = np.stack(col.to_numpy()).astype(np.float64)
         picked = []
         for book, known in zip(*shared.value):
-            d2 = (book ** 2).sum(1)[None, :] - 2.0 * left @ book.T
-            best = d2.argmin(axis=1)
-            picked.append(known[best])
-            left = left - book[best]
+            at = _nearest(left, book)[1]
+            picked.append(known[at])
+            left = left - book[at]
         return pd.Series(list(np.stack(picked, axis=1)))
 
     return vecs.withColumn("codes", encode("vec"))
@@ -145,10 +161,10 @@ def fit_codebook(vecs: DataFrame, k: int, levels: int = 1, seed: int = 0, max_it
         books.append(centres)
         if q + 1 < levels:
             near = centres.select(F.col("code").alias("prediction"), F.col("vec").alias("_near"))
-            left = model.transform(rows).join(F.broadcast(near), "prediction").select(
-                subtract(F.col("vec"), F.col("_near")).alias("vec"))
-        else:
-            rows.unpersist()
+            near = bounded_broadcast(near, _vector_bytes("_near"), CODEBOOK_LIMIT)
+            left = materialize(model.transform(rows).join(near, "prediction").select(
+                subtract(F.col("vec"), F.col("_near")).alias("vec")), "residuals")
+        rows.unpersist()
     out = books[0]
     for book in books[1:]:
         out = out.unionByName(book)

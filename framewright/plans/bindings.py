@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table of few file splits to all cores; larger tables keep their splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _WRITTEN:
