@@ -54,8 +54,9 @@ def decode_raw_matrix(files: DataFrame, cols: int, dtype: str = "f4", endian: st
     @F.pandas_udf("array<array<double>>")
     def decode(col: pd.Series) -> pd.Series:
         def matrix(raw):
-            flat = np.frombuffer(raw, dtype=kind)
-            return list(flat[: len(flat) // cols * cols].reshape(-1, cols).astype(np.float64))
+            row = cols * np.dtype(kind).itemsize
+            flat = np.frombuffer(raw[: len(raw) // row * row], dtype=kind)  # a torn last row is left out
+            return list(flat.reshape(-1, cols).astype(np.float64))
 
         return col.map(matrix)
 

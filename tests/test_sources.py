@@ -6,7 +6,7 @@ from framewright.sources import inputs as I
 def test_read_raw_matrix(spark, tmp_path):
     want = {}
     for name, rows in (("a", 3), ("b", 1), ("empty", 0)):
-        want[name] = np.arange(rows * 4, dtype=">f4").reshape(rows, 4) / 8
+        want[name] = (np.arange(rows * 4).reshape(rows, 4) / 8).astype(">f4")
         (tmp_path / f"{name}.f0").write_bytes(want[name].tobytes() + (b"xx" if name == "b" else b""))
     (tmp_path / "other.txt").write_text("no matrix")
     got = I.read_raw_matrix(spark, str(tmp_path), 4, endian="big", pattern="*.f0").collect()
