@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 from framewright.catalog.editing import base_frames
 from framewright.catalog.evaluate import _SIM, _WER, pairs, vector_pairs
-from framewright.catalog.mixing import _SHIFTED, _shifted_codes, digest, sql_digest
+from framewright.catalog.mixing import _SHIFTED, _shifted_codes, digest, sql_digest, sql_unit
 from framewright.catalog.pool import _KNOWN, _PSEUDO, _pitch, sql_two
-from framewright.catalog.registry import query, r4, r6, sql_uniform
+from framewright.catalog.registry import query, r4, r6, sql_normal, sql_uniform
 from framewright.functions.vectors import cosine
 from framewright.operators import hooks as H
-from framewright.operators import series as S
 from framewright.plans import bindings as B
 from framewright.plans import workflows as X
 from framewright.session import scratch_dir
@@ -102,13 +101,17 @@ settings AS (SELECT seed, ratio, 'seed' || seed || '_rand_' || replace(printf('a
   UNION ALL SELECT NULL, ratio, 'original_' || replace(printf('adm%.3f', ratio), '.', 'p') FROM ratios)"""
 
 
-@query("P3_anonymize", f"""{_ANON}
-SELECT f.utt_id, CASE WHEN s.seed IS NULL THEN 'anonymized_' ELSE '' END || f.utt_id || '_' || s.tail AS result, f.frame,
+_FRAME_RESULT = "CASE WHEN s.seed IS NULL THEN 'anonymized_' ELSE '' END || f.utt_id || '_' || s.tail AS result"
+_DRAWN = sql_uniform("coalesce(s.seed, 0) || ':' || f.utt_id || ':' || f.frame") + " > s.ratio"
+_ANON_FRAMES = f"""{_ANON}
+SELECT f.utt_id, {_FRAME_RESULT}, f.frame,
   {r4('CASE WHEN s.seed IS NULL THEN f.f0 WHEN f.f0 = 0 THEN 0.0 ELSE ma.f0 END')} AS f0,
-  {sql_digest(f'''(CASE WHEN {sql_uniform("coalesce(s.seed, 0) || ':' || f.utt_id || ':' || f.frame")} > s.ratio
-     THEN [o.c0, o.c1, o.c2, o.c3] ELSE [y.c0, y.c1, y.c2, y.c3] END)''')}
+  {sql_digest(f'''(CASE WHEN {_DRAWN} THEN [o.c0, o.c1, o.c2, o.c3] ELSE [y.c0, y.c1, y.c2, y.c3] END)''')}
 FROM frames f CROSS JOIN settings s JOIN orig o USING (utt_id, frame) JOIN syn y USING (utt_id, frame)
-LEFT JOIN ma ON ma.utt_id = f.utt_id AND ma.frame = f.frame AND ma.seed = s.seed""")
+LEFT JOIN ma ON ma.utt_id = f.utt_id AND ma.frame = f.frame AND ma.seed = s.seed"""
+
+
+@query("P3_anonymize", _ANON_FRAMES)
 def anonymize(spark, sf):
     out, _ = _anonymized(spark, sf)
     return out.select("utt_id", "result", "frame", B.r4(F.col("f0")).alias("f0"), *digest(F.col("vec")))
@@ -124,7 +127,20 @@ def anonymize_speakers(spark, sf):
     return speakers.select("utt_id", "result", "gender", *digest(F.col("xvector")))
 
 
-@query("P3_anonymize_gate_and_noise")
+@query("P3_anonymize_gate_and_noise", f"""{_ANON},
+uo AS (SELECT utt_id, frame, {sql_unit('v')} AS u FROM (SELECT utt_id, frame, [c0, c1, c2, c3]::DOUBLE[] AS v FROM orig)),
+us AS (SELECT utt_id, frame, {sql_unit('v')} AS u FROM (SELECT utt_id, frame, [c0, c1, c2, c3]::DOUBLE[] AS v FROM syn)),
+corr AS (SELECT b.utt_id, b.frame, max(list_dot_product(b.u, a.u)) AS corr
+  FROM us b JOIN uo a ON a.utt_id = b.utt_id AND a.frame BETWEEN b.frame - 2 AND b.frame + 2 GROUP BY b.utt_id, b.frame),
+loud AS (SELECT utt_id, seed, avg(f0 * f0) AS power FROM ma GROUP BY utt_id, seed),
+noisy AS (SELECT ma.utt_id, seed, frame, greatest(f0 + sqrt(power / 2.0)
+    * {sql_normal("seed || ':' || ma.utt_id || ':' || seed || ':any:' || frame")}, 0.0) AS f0
+  FROM ma JOIN loud USING (utt_id, seed))
+SELECT f.utt_id, {_FRAME_RESULT}, f.frame,
+  {r4('CASE WHEN s.seed IS NULL THEN f.f0 WHEN f.f0 = 0 THEN 0.0 ELSE n.f0 END')} AS f0,
+  {sql_digest(f'''(CASE WHEN {_DRAWN} OR c.corr < 0.6 THEN [o.c0, o.c1, o.c2, o.c3] ELSE [y.c0, y.c1, y.c2, y.c3] END)''')}
+FROM frames f CROSS JOIN settings s JOIN orig o USING (utt_id, frame) JOIN syn y USING (utt_id, frame) JOIN corr c USING (utt_id, frame)
+LEFT JOIN noisy n ON n.utt_id = f.utt_id AND n.frame = f.frame AND n.seed = s.seed""")
 def anonymize_full(spark, sf):
     out, _ = _anonymized(spark, sf, gate=True, noise=2.0)
     return out.select("utt_id", "result", "frame", B.r4(F.col("f0")).alias("f0"), *digest(F.col("vec")))
@@ -132,14 +148,17 @@ def anonymize_full(spark, sf):
 
 @query("P4_edit")
 def edit(spark, sf):
-    """Words of the conversations edit the frames of the user with the same id."""
+    """Words of the conversations edit the frames of the user with the same id, spread over all of its frames."""
     base = base_frames(spark, sf)
-    utts = base.select("utt_id").distinct()
-    words = B.words(spark, sf).join(utts, "utt_id", "left_semi").withColumn("start", F.col("start") / 10).withColumn("end", F.col("end") / 10)
-    picked = words.filter("word_idx % 7 in (0, 1) and end < 1.2").select("utt_id", "word_idx")
+    lengths = base.groupBy("utt_id").agg((F.max("frame") + 1).alias("n_frames"))
+    words = B.words(spark, sf).join(lengths, "utt_id")
+    last = words.groupBy("utt_id").agg(F.max("end").alias("last"))
+    share = F.col("n_frames") / F.col("last") / 50  # 50 frames a second
+    words = words.join(last, "utt_id").select("utt_id", "word_idx", "word", (F.col("start") * share).alias("start"), (F.col("end") * share).alias("end"))
+    picked = words.filter("word_idx % 7 in (0, 1)").select("utt_id", "word_idx")
     counts = picked.groupBy("utt_id").agg(F.expr("count(1) div 2 + count(1) % 2").alias("n"))
     texts = counts.select("utt_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k")).withColumn("text", F.lit("R"))
-    pieces = texts.select("utt_id", F.col("k").alias("op")).join(base.filter("frame < 20"), "utt_id")
+    pieces = texts.select("utt_id", F.col("k").alias("op")).join(base.filter("frame % 5 = 0").withColumn("frame", F.expr("frame div 5")), "utt_id")
     out, _ = X.edit(base, words, picked, texts, pieces)
     return out.select("utt_id", "frame", B.r4(F.col("f0")).alias("f0"), *digest(F.col("vec")))
 
@@ -223,22 +242,32 @@ def _folder(spark, name):
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _flat(rows):
-    return S.convert_pitch(rows, F.lit(5.0), F.lit(0.2))
-
-
-@query("ST1_stream_anonymize", f"""WITH {B.FRAMES},
-o AS (SELECT utt_id, avg(ln(f0)) AS m, stddev_pop(ln(f0)) AS s FROM frames WHERE f0 > 0 GROUP BY utt_id)
-SELECT utt_id, frame, CASE WHEN f0 = 0 THEN 0.0 ELSE {r4('exp((ln(greatest(f0, 1e-9)) - m) / greatest(s, 1e-8) * 0.2 + 5.0)')} END AS f0
-FROM frames JOIN o USING (utt_id)""")
+@query("ST1_stream_anonymize", _ANON_FRAMES)
 def stream_anonymize(spark, sf):
-    """Recordings arrive in two deliveries, the second one with repeats; the stream stops and restarts."""
+    """The full anonymization of recordings whose rows are spread over many files.
+
+    One file a micro-batch, deliveries that overlap, and a stream that stops and
+    restarts; a recording is worked on when its last row is there.
+    """
+    syn, orig = _shifted_codes(spark, sf)
     rows = B.frames(spark, sf).select("utt_id", "frame", "f0")
+    for name, codes in (("orig", orig), ("syn", syn)):
+        rows = rows.join(codes.select("utt_id", "frame", F.transform("codes", lambda c: c.cast("double")).alias(name)), ["utt_id", "frame"])
+    expected = rows.groupBy("utt_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    pool, pitch = B.pool(spark, sf), _pitch(spark, sf)
+
+    def process(done):
+        utts = done.select("utt_id").distinct().withColumn("path", F.concat(F.col("utt_id").cast("string"), F.lit(".wav")))
+        grid = X.work_grid(utts, [52, 53], [0.3, 0.7], include_original=True)
+        streams = [done.select("utt_id", "frame", F.col(name).alias("vec")) for name in ("orig", "syn")]
+        return X.anonymize(done.select("utt_id", "frame", "f0"), *streams, pool, pitch, grid, gate=False)[0]
+
     inbox, out, marks = _folder(spark, "inbox"), _folder(spark, "outbox"), _folder(spark, "marks")
-    for part in (rows.filter("utt_id % 2 = 0"), rows.filter("utt_id % 2 = 1 or utt_id % 6 = 0")):
+    for part in (rows.filter("frame % 3 <> 1").repartition(2), rows.filter("frame % 3 <> 0").repartition(2)):
         part.write.mode("append").parquet(inbox)
-        ST.stream_anonymize(spark, inbox, rows.schema, out, marks, _flat).awaitTermination()
-    return spark.read.parquet(out).select("utt_id", "frame", B.r4(F.col("f0")).alias("f0"))
+        ST.stream_anonymize(spark, inbox, rows.schema, out, marks, process, expected, files_per_batch=1).awaitTermination()
+    done = spark.read.parquet(f"{out}/results")
+    return done.select("utt_id", "result", "frame", B.r4(F.col("f0")).alias("f0"), *digest(F.col("vec")))
 
 
 @query("ST2_stream_progress", f"""WITH {B.TIMINGS} SELECT count(*) AS completed, {r6('avg(seconds)')} AS mean_seconds,

@@ -72,10 +72,14 @@ def convert_pitch(
     log_f0 = F.when(voiced, F.log("f0"))
     rows = with_totals(rows, keys, [F.avg(log_f0).alias("_m"), F.stddev_pop(log_f0).alias("_s")],
                        block=block)
-    score = (F.log("f0") - F.col("_m")) / F.greatest(F.col("_s"), F.lit(eps))
-    return rows.withColumn(
-        "f0", F.when(voiced, F.exp(score * F.col("_ts") + F.col("_tm"))).otherwise(0.0)
-    ).drop("_m", "_s", "_tm", "_ts")
+    moved = moved_pitch(F.col("f0"), F.col("_m"), F.col("_s"), F.col("_tm"), F.col("_ts"), eps)
+    return rows.withColumn("f0", moved).drop("_m", "_s", "_tm", "_ts")
+
+
+def moved_pitch(f0: Column, mean: Column, std: Column, target_mean: Column, target_std: Column, eps: float = 1e-8) -> Column:
+    """F0 of known log statistics at a target mean and deviation; zeros stay zero."""
+    score = (F.log(f0) - mean) / F.greatest(std, F.lit(eps))
+    return F.when(f0 != 0, F.exp(score * target_std + target_mean)).otherwise(0.0)
 
 
 def match_own_pitch(df: DataFrame, reference: DataFrame, keys="utt_id", eps: float = 1e-8,

@@ -14,7 +14,7 @@ from framewright.operators import mixing as M
 from framewright.operators import pool as P
 from framewright.operators import series as S
 from framewright.operators.corpus import result_name, safe_stem
-from framewright.operators.scans import BLOCK, attach, bounded_broadcast
+from framewright.operators.scans import BLOCK, attach, bounded_broadcast, with_totals
 from framewright.session import materialize
 
 VOICE_LIMIT = 256 << 20
@@ -79,9 +79,11 @@ def anonymize(
 ) -> tuple[DataFrame, DataFrame]:
     """Frames (utt_id, result, frame, f0, vec) and speakers (utt_id, result, gender, xvector) of every grid row.
 
-    The streams are joined and compared once per recording; the settings meet
-    the frames afterwards, spread over blocks. Rows in original mode keep the
-    pitch and need ``own_vectors`` (utt_id, xvector).
+    Every part works at its own grain: log statistics and the comparison of the
+    streams per recording, pitch and noise per recording and voice. The settings
+    meet a frame last, as an array of its recording, so that a vector is moved
+    once and not once per setting. Rows in original mode keep the pitch and need
+    ``own_vectors`` (utt_id, xvector).
     """
     asked = grid.filter("speaker_mode = 'pseudo'").select(
         "seed", F.coalesce("gender", F.lit("any")).alias("gender")).distinct().withColumn("asked", F.col("gender"))
@@ -92,25 +94,39 @@ def anonymize(
     numbers = bounded_broadcast(voices.select("seed", "_g", "mean", "std"), F.lit(128), VOICE_LIMIT)
     settings = grid.withColumn("_g", F.coalesce("gender", F.lit("any"))).join(
         numbers, ["seed", "_g"], "left").select("utt_id", "result", "speaker_mode", "seed", "_g", "ratio", "mean", "std")
+    keys = ["utt_id", "result"]
 
+    # Pitch, per recording and voice.
+    voice = ["utt_id", "seed", "_g"]
+    log_f0 = F.when(F.col("f0") != 0, F.log("f0"))
+    own = with_totals(f0.select("utt_id", "frame", "f0"), "utt_id",
+                      [F.avg(log_f0).alias("_m"), F.stddev_pop(log_f0).alias("_s")], block=block)
+    wanted = settings.filter("speaker_mode = 'pseudo'").select(*voice, "mean", "std").distinct()
+    tuned = attach(own, wanted, "utt_id", block=block).withColumn(
+        "f0", S.moved_pitch(F.col("f0"), F.col("_m"), F.col("_s"), F.col("mean"), F.col("std")))
+    tuned = materialize(tuned.select(*voice, "frame", "f0"), "voiced-pitch")
+    tuned = S.add_noise(S.smooth_voiced(tuned, 32, pitch_share, voice, block), noise, F.col("seed"), voice, block=block)
+    variants = tuned.groupBy("utt_id", "frame").agg(F.collect_list(F.struct("seed", "_g", "f0")).alias("_variants"))
+
+    # Everything about a frame but its vectors, then one join with the streams.
+    per_utt = settings.groupBy("utt_id").agg(
+        F.collect_list(F.struct("result", "speaker_mode", "seed", "_g", "ratio")).alias("_settings"))
+    narrow = attach(f0.select("utt_id", "frame", "f0"), per_utt, "utt_id", block=block).join(
+        variants, ["utt_id", "frame"], "left")
     both = orig.select("utt_id", "frame", "vec").join(
         syn.select("utt_id", "frame", F.col("vec").alias("_syn")), ["utt_id", "frame"])
     reject = F.lit(False)
     if gate:
         both = both.join(M.windowed_corr(syn, orig), ["utt_id", "frame"])
         reject = F.col("corr") < tau
-    mixed = attach(both, settings.select("utt_id", "result", "seed", "ratio"), "utt_id", block=block)
-    keep = (rng.uniform(F.coalesce(F.col("seed"), F.lit(0)), F.col("utt_id"), F.col("frame")) > F.col("ratio")) | reject
-    mixed = mixed.select("utt_id", "result", "frame", F.when(keep, F.col("vec")).otherwise(F.col("_syn")).alias("vec"))
-
-    placed = attach(f0.select("utt_id", "frame", "f0"),
-                    settings.select("utt_id", "result", "speaker_mode", "seed", "mean", "std"), "utt_id", block=block)
-    keys = ["utt_id", "result"]
-    pseudo = S.convert_pitch(placed.filter("speaker_mode = 'pseudo'"), F.col("mean"), F.col("std"), keys, block=block)
-    pseudo = S.smooth_voiced(pseudo.select(*keys, "seed", "frame", "f0"), 32, pitch_share, keys, block)
-    pseudo = S.add_noise(pseudo, noise, F.col("seed"), keys, block=block)
-    columns = [*keys, "frame", "f0"]
-    pitched = pseudo.select(*columns).unionByName(placed.filter("speaker_mode = 'original'").select(*columns))
+    placed = both.withColumn("_rejected", reject).join(narrow, ["utt_id", "frame"]).select(
+        "utt_id", "frame", "f0", "vec", "_syn", "_rejected", "_variants", F.explode("_settings").alias("_a"))
+    keep = (rng.uniform(F.coalesce(F.col("_a.seed"), F.lit(0)), F.col("utt_id"), F.col("frame")) > F.col("_a.ratio")) | F.col("_rejected")
+    spoken = F.get(F.filter("_variants", lambda v: (v["seed"] == F.col("_a.seed")) & (v["_g"] == F.col("_a._g"))), 0)["f0"]
+    frames = placed.select(
+        "utt_id", F.col("_a.result").alias("result"), "frame",
+        F.when(F.col("_a.speaker_mode") == "original", F.col("f0")).otherwise(spoken).alias("f0"),
+        F.when(keep, F.col("vec")).otherwise(F.col("_syn")).alias("vec"))
 
     looks = bounded_broadcast(voices.select("seed", "_g", "voice", "xvector"), F.size("xvector") * 8 + 128, VOICE_LIMIT)
     table = settings.filter("speaker_mode = 'pseudo'").join(looks, ["seed", "_g"]).select(
@@ -118,7 +134,7 @@ def anonymize(
     if own_vectors is not None:
         own = settings.filter("speaker_mode = 'original'").select(*keys).join(own_vectors, "utt_id")
         table = table.unionByName(own.select(*keys, F.lit(None).cast("string").alias("gender"), "xvector"))
-    return pitched.join(mixed, [*keys, "frame"]), table
+    return frames, table
 
 
 def edit(base: DataFrame, words: DataFrame, picked: DataFrame, texts: DataFrame, repl: DataFrame,

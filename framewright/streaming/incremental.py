@@ -7,32 +7,56 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+BUCKETS = 64
+
 
 def stream_anonymize(
     spark: SparkSession, in_dir: str, schema: str, out: str, checkpoint: str,
-    process: Callable[[DataFrame], DataFrame], key: str = "utt_id", files_per_batch: int = 100,
-    available_now: bool = True,
+    process: Callable[[DataFrame], DataFrame], expected: DataFrame, key: str = "utt_id", pos: str = "frame",
+    files_per_batch: int = 100, available_now: bool = True, buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Run ``process`` on the recordings in new files; every key is done once, also over restarts.
+    """Run ``process`` on every recording once, as soon as all of its rows have arrived.
 
-    Each micro-batch replaces its own ``batch_id`` partition, so a batch that is
-    repeated after a failure leaves one copy. Keys of other batches are skipped
-    before any work.
+    ``expected`` (key, ``n_rows``) is the manifest: a recording is complete with
+    that many distinct positions, however its rows are spread over files and
+    micro-batches. Rows that wait are kept under ``{out}/waiting``, finished keys
+    under ``{out}/done``, both by bucket of the key, so that a batch reads only the
+    buckets it touches; results are under ``{out}/results``. Each batch replaces
+    its own ``batch_id`` partitions, so a batch that is repeated after a failure,
+    and rows that are delivered again, leave one copy.
     """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
+    def stored(name: str, like: DataFrame, touched: list[int]) -> DataFrame | None:
+        parts = T.StructType.fromDDL("bucket int, batch_id bigint")
+        fields = [f for f in like.schema if f.name not in parts.names] + list(parts)
         try:
-            done = session.read.parquet(out).filter(F.col("batch_id") != batch_id).select(key).distinct()
-            batch = batch.join(done, key, "left_anti")
+            return spark.read.schema(T.StructType(fields)).parquet(f"{out}/{name}").filter(F.col("bucket").isin(touched))
         except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-        (process(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(out))
+            return None
+
+    def keep(rows: DataFrame, name: str, batch_id: int, by: list[str]) -> None:
+        (rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{out}/{name}"))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("bucket", bucket)
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets``
+        done = stored("done", batch.select(key), touched)
+        if done is not None:
+            rows = rows.join(done.filter(F.col("batch_id") != batch_id).select(key).distinct(), key, "left_anti")
+        keep(rows, "waiting", batch_id, ["bucket", "batch_id"])
+        arrived = stored("waiting", batch, touched).drop("batch_id")
+        ours = arrived.join(rows.select(key).distinct(), key, "left_semi").dropDuplicates([key, pos])
+        full = ours.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(expected, key).filter("_n >= n_rows").select(key)
+        complete = ours.join(full, key, "left_semi")
+        keep(process(complete.drop("bucket")), "results", batch_id, ["batch_id"])
+        keep(full.withColumn("bucket", bucket), "done", batch_id, ["bucket", "batch_id"])
 
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(in_dir)
     writer = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -9,9 +9,32 @@ def rows(spark, utts):
     return spark.createDataFrame([(u, i, float(u + i)) for u in utts for i in range(3)], SCHEMA)
 
 
-def run(spark, path, process=lambda df: df.withColumn("f0", F.col("f0") * 2), mark="marks"):
-    ST.stream_anonymize(spark, f"{path}/in", SCHEMA, f"{path}/out", f"{path}/{mark}", process).awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+def run(spark, path, process=lambda df: df.withColumn("f0", F.col("f0") * 2), mark="marks", n_rows=3, files=100):
+    expected = spark.createDataFrame([(u, n_rows) for u in range(10)], "utt_id bigint, n_rows bigint")
+    ST.stream_anonymize(spark, f"{path}/in", SCHEMA, f"{path}/out", f"{path}/{mark}", process, expected,
+                        files_per_batch=files).awaitTermination()
+    return spark.read.schema(SCHEMA + ", batch_id bigint").parquet(f"{path}/out/results")
+
+
+def test_a_recording_over_two_batches_is_whole(spark, tmp_path):
+    whole = spark.createDataFrame([(1, i, float(i)) for i in range(10)], SCHEMA)
+    for part in ("frame < 4", "frame >= 4"):
+        whole.filter(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    seen = []
+
+    def process(df):
+        seen.append(df.count())
+        return df
+
+    out = run(spark, tmp_path, process, n_rows=10, files=1)
+    assert sorted(r["frame"] for r in out.collect()) == list(range(10)) and seen == [0, 10]
+
+
+def test_an_incomplete_recording_waits(spark, tmp_path):
+    rows(spark, [1]).write.parquet(f"{tmp_path}/in")
+    assert run(spark, tmp_path, n_rows=4).count() == 0
+    spark.createDataFrame([(1, 3, 4.0), (1, 2, 3.0)], SCHEMA).write.mode("append").parquet(f"{tmp_path}/in")
+    assert sorted(r["frame"] for r in run(spark, tmp_path, n_rows=4).collect()) == [0, 1, 2, 3]
 
 
 def test_each_key_once_over_restarts(spark, tmp_path):
