@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .words import add_columns, mix64, sliced
+from .words import add_columns, mix64, sliced, small_batches
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys of one shard, and bytes of index arrays that one pass over the documents may broadcast.
@@ -159,6 +159,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     documents probe one group of shards each.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     keys = materialize(repeated_lines(docs, min_chars, min_docs, id_col, text), "repeated-lines")
     index = materialize(build_index(keys), "line-index")
     names = list(docs.columns if keep is None else keep)

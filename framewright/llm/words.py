@@ -10,11 +10,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows and bytes of one Arrow batch: whole texts are large rows, and each of an
+#: executor's workers and the JVM hold a batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -113,8 +116,11 @@ def windows(values: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np
     return first, total
 
 
-def counts(doc: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(doc, minlength=n)
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, unless its owner has set a bound."""
+    for name, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
 
 
 def add_columns(docs: DataFrame, make: Callable[[], Callable], fields: str, text: str = "text", keep: list[str] | None = None,
@@ -124,6 +130,7 @@ def add_columns(docs: DataFrame, make: Callable[[], Callable], fields: str, text
     ``make()`` runs once per task and gives ``fn(rows, data, offsets) -> {field: values}``.
     A new field replaces an old column of the same name. A null text counts as empty.
     """
+    small_batches(docs.sparkSession)
     new = T.StructType.fromDDL(fields)
     taken = {f.name.lower() for f in new}
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
