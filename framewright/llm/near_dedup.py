@@ -217,7 +217,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     # A node without links is its own component.
     least = sketched.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     named = least.join(classes, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    final = named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")
+    # Written, so that the join below may split the rows of a node with very many copies.
+    final = materialize(named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id"), "classes")
     out = sketched.select("id", "node").join(final, "node", "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).cast(kind).alias("class_id"))
 
