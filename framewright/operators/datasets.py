@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions import rng
@@ -45,7 +46,12 @@ def combine(parts: Sequence[DataFrame], key: str, seed: int | None = None) -> Da
     for i, part in enumerate(parts):
         tagged = part.withColumn("dataset", F.lit(i))
         union = tagged if union is None else union.unionByName(tagged)
-    rows = number_rows(number_rows(union, [key], ["dataset"], out="row"), ["dataset", "row"], out="index")
+    rows = number_rows(union, [key], ["dataset"], out="row")
+    # The datasets follow each other, so the global number is the local one behind the earlier datasets.
+    sizes = union.groupBy("dataset").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(W.orderBy("dataset").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("dataset", earlier.alias("_start"))  # one row per dataset
+    rows = rows.join(F.broadcast(starts), "dataset").withColumn("index", F.col("_start") + F.col("row")).drop("_start")
     if seed is None:
         return rows.withColumn("place", F.col("index"))
     rows = rows.withColumn("_hash", rng.hash_key(seed, F.col("index")))

@@ -260,7 +260,7 @@ def _cluster_ops(ops: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
     queue, need' = max(k, need + k - gap), which is a running sum minus its
     running minimum. A cluster ends where the next start lies beyond the need.
     """
-    ranked = number_rows(ops, ["start_frame", F.desc("op")], ["utt_id"], out="rank")
+    ranked = number_rows(ops, ["start_frame", -F.col("op")], ["utt_id"], out="rank")
     ranked = with_lag_lead(ranked, "utt_id", lag={"_before": "end_frame"}, pos="rank")
     debt = F.when(F.col("rank") == 0, 0).otherwise(k - (F.col("start_frame") - F.col("_before")))
     ranked = running_sum(ranked, "utt_id", debt, "_debt", pos="rank")
@@ -307,6 +307,7 @@ def apply_splices(
     """
     if convert is not None:
         repl = convert(repl)
+    ops = materialize(ops.select("utt_id", "op", "start_frame", "end_frame"), "splice-orders")
     lengths = base.groupBy("utt_id").agg((F.max("frame") + 1).alias("_n"))
     placed = _cluster_ops(ops.withColumn("start_frame", F.greatest("start_frame", F.lit(0))), lengths, k)
     sizes = repl.groupBy("utt_id", "op").agg((F.max("frame") + 1).alias("_r"))

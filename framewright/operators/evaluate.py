@@ -165,7 +165,7 @@ def sweep_best(scores: DataFrame, settings: Sequence[str], value: str = "similar
     """Settings with rounded mean and minimum score, best first (rank from 0)."""
     table = scores.groupBy(*settings).agg(
         F.round(F.avg(value), 3).alias("mean_sim"), F.round(F.min(value), 3).alias("min_sim"))
-    return number_rows(table, [F.desc("mean_sim"), *[F.col(s) for s in settings]], out="rank")
+    return number_rows(table, [-F.col("mean_sim"), *[F.col(s) for s in settings]], out="rank")
 
 
 def first_k_per_group(df: DataFrame, group: str, source: str, order: str, k: int) -> DataFrame:

@@ -281,7 +281,7 @@ def mean_vector(df: DataFrame, keys) -> DataFrame:
 
 def pack_batches(df: DataFrame, id_col: str, values: str, size: int, mode: str = "pad", pad=0) -> DataFrame:
     """Batches of similar length: longest first, padded to the longest or cut to the shortest of the batch."""
-    rows = number_rows(df.withColumn("length", F.size(values)), [F.desc("length"), F.col(id_col)], out="_no")
+    rows = number_rows(df.withColumn("length", F.size(values)), [-F.col("length"), F.col(id_col)], out="_no")
     rows = rows.withColumn("batch", F.expr(f"_no div {size}")).withColumn("slot", F.col("_no") % size)
     batch = W.partitionBy("batch")  # at most ``size`` rows
     if mode == "pad":

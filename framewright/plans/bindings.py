@@ -153,9 +153,12 @@ def pool(spark: SparkSession, sf: str) -> DataFrame:
 
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
     """cluster, centre_speaker, n_speakers, density_pos (ascending density)."""
-    grouped = pool(spark, sf).groupBy("cluster").agg(
-        F.min("speaker_id").alias("centre_speaker"), F.count(F.lit(1)).alias("n_speakers"))
-    return number_rows(grouped, ["n_speakers", "cluster"], out="density_pos")
+    def build():
+        grouped = pool(spark, sf).groupBy("cluster").agg(
+            F.min("speaker_id").alias("centre_speaker"), F.count(F.lit(1)).alias("n_speakers"))
+        return number_rows(grouped, ["n_speakers", "cluster"], out="density_pos")
+
+    return _once(spark, sf, "clusters", build)
 
 
 def raw_pitch(spark: SparkSession, sf: str) -> DataFrame:

@@ -74,10 +74,37 @@ def test_hot_key_is_spread(rows):
 def test_number_rows(rows):
     got = N.number_rows(rows, ["v", "id"], ["k"], out="out")
     assert diff(got, rows, F.row_number().over(W.partitionBy("k").orderBy("v", "id")) - 1) == (900, 0)
-    got = N.number_rows(rows, [F.desc("v"), F.col("id")], out="out")
+    got = N.number_rows(rows, [-F.col("v"), F.col("id")], out="out")
     assert diff(got, rows, F.row_number().over(W.orderBy(F.desc("v"), "id")) - 1) == (900, 0)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7, 40])
+def test_number_rows_in_many_ranges(rows, parts):
+    got = N.number_rows(rows, ["v", "id"], ["k"], out="out", parts=parts)
+    assert diff(got, rows, F.row_number().over(W.partitionBy("k").orderBy("v", "id")) - 1) == (900, 0)
+    got = N.number_rows(rows, ["id"], out="out", parts=parts)
+    assert diff(got, rows, F.row_number().over(W.orderBy("id")) - 1) == (900, 0)
+    assert N.number_rows(rows.limit(0), ["id"], parts=parts).count() == 0
+
+
+def test_number_rows_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), (1, 5), (1, None)], "k bigint, v bigint")
+    got = sorted(((r["k"], r["v"], r["row_no"]) for r in N.number_rows(df, ["v"], ["k"]).collect()), key=repr)
+    assert got == sorted([(None, 1, 0), (None, 2, 1), (1, None, 0), (1, 5, 1)], key=repr)
+
+
+def test_number_rows_writes_nothing_and_shuffles_once(spark, rows):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for keys in ((), ("k",)):
+            got = N.number_rows(rows, ["v", "id"], keys, out="out")
+            plan = got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+            wide = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "_range" in line]
+            assert len(wide) <= 3  # the rows once; the counts of the ranges, and the offsets made of them
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_broadcast_only_below_the_limit(spark):
     table = spark.range(100)
     assert N.bounded_broadcast(table, F.lit(8), 10_000) is not table
