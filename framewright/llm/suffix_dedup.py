@@ -13,7 +13,7 @@ transform of the block and extends intervals backward, level by level, which der
 common prefixes by increasing length and stops at LENGTH. Rows then not separated share
 a window, and all but the earliest are repeats.
 
-An anchor whose distinct pieces exceed a block (a line or passage that very many
+An anchor whose distinct pieces exceed ANCHOR_BYTES (a line or passage that very many
 documents share in different surroundings) is opened into its windows, which are
 grouped by a 128-bit hash with partial aggregation.
 
@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 
 from ..operators.scans import number_rows
 from ..session import materialize
-from .words import Words, add_columns, mix64, sliced
+from .words import Words, add_columns, mix64, sliced, small_batches
 
 LENGTH, GRAM = 100, 24
-#: Bytes of one block, windows of one piece, bytes of one slice of texts.
-BLOCK_BYTES, PIECE_WINDOWS, SLICE = 1 << 20, 512, 1 << 20
+#: Bytes of one block (or of the pieces of one anchor, up to the second bound), windows
+#: of one piece, bytes of one slice of texts.
+BLOCK_BYTES, ANCHOR_BYTES, PIECE_WINDOWS, SLICE = 1 << 18, 1 << 20, 512, 1 << 20
 _N_BITS = 12
 
 
@@ -307,7 +308,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     judged = released(found.join(least, ["anchor", "h"]).withColumn("first", (F.col("dk") == F.col("least")) & ~again).drop("least", "h"), "judged-pieces")
     later = judged.filter(~F.col("first")).select("dk", start.alias("start"), windows.alias("windows"))
     firsts = judged.filter("first").select("anchor", "dk", "place")
-    hot = released(firsts.groupBy("anchor").agg(F.sum(windows + F.lit(LENGTH)).alias("bytes")).filter(F.col("bytes") > BLOCK_BYTES).select(
+    hot = released(firsts.groupBy("anchor").agg(F.sum(windows + F.lit(LENGTH)).alias("bytes")).filter(F.col("bytes") > ANCHOR_BYTES).select(
         "anchor", F.lit(True).alias("is_hot")), "hot-anchors")
     marked = firsts.join(hot, "anchor", "left").select("anchor", "dk", "place", F.coalesce("is_hot", F.lit(False)).alias("hot"))
     cut = released(_cut_out(texts, marked), "cut-pieces")
@@ -322,6 +323,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes as ``kept``)."""
+    small_batches(docs.sparkSession)
     texts = _ordered(docs, id_col, text)
     spans = repeated_spans(texts)
     kind = docs.schema[id_col].dataType.simpleString()

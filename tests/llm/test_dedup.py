@@ -33,6 +33,7 @@ def brute_repeats(rows):
 @pytest.mark.parametrize("block", [1 << 20, 400])
 def test_suffix_dedup(spark, odd, block, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffix_dedup, "ANCHOR_BYTES", block)
     rng = np.random.default_rng(4)
     word = lambda n: "".join(rng.choice(list("abcdé "), n))
     base = word(900)
