@@ -73,6 +73,30 @@ def assign(spark, sf):
     return M.assign_clusters(vecs, centres).select("vec_id", "cluster")
 
 
+def _lloyd_sql(levels: int = 2, steps: int = 3) -> str:
+    parts = [f"""WITH {B.VECTORS}, r0 AS (SELECT vec_id, vec FROM va),
+start AS (SELECT (vec_id // 8)::INT AS q, vec_id % 8 AS code, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id < {8 * levels})"""]
+    for q in range(levels):
+        parts.append(f"c{q}_0 AS (SELECT code, vec, 0 AS n FROM start WHERE q = {q})")
+        for t in range(steps):
+            parts.append(f"""a{q}_{t} AS (SELECT r.vec_id, arg_min(c.code, list_distance(r.vec, c.vec)) AS code FROM r{q} r CROSS JOIN c{q}_{t} c GROUP BY r.vec_id),
+m{q}_{t} AS (SELECT code, list(x ORDER BY i) AS vec FROM (SELECT code, i, avg(vec[i]) AS x FROM (
+  SELECT code, vec, unnest(range(1, 65)) AS i FROM r{q} JOIN a{q}_{t} USING (vec_id)) GROUP BY code, i) GROUP BY code),
+c{q}_{t + 1} AS (SELECT c.code, coalesce(m.vec, c.vec) AS vec, (SELECT count(*) FROM a{q}_{t} a WHERE a.code = c.code) AS n
+  FROM c{q}_{t} c LEFT JOIN m{q}_{t} m USING (code))""")
+        parts.append(f"""e{q} AS (SELECT r.vec_id, arg_min(c.code, list_distance(r.vec, c.vec)) AS code FROM r{q} r CROSS JOIN c{q}_{steps} c GROUP BY r.vec_id),
+r{q + 1} AS (SELECT r.vec_id, list_transform(range(1, 65), lambda i: r.vec[i] - c.vec[i]) AS vec
+  FROM r{q} r JOIN e{q} USING (vec_id) JOIN c{q}_{steps} c USING (code))""")
+    return ",\n".join(parts) + " " + " UNION ALL ".join(f"SELECT {q} AS q, code, n, {sql_digest('vec')} FROM c{q}_{steps}" for q in range(levels))
+
+
+@query("V4_lloyd_steps", _lloyd_sql())
+def lloyd(spark, sf):
+    vecs = B.vectors(spark, sf)
+    first = vecs.filter("vec_id < 16").select(F.expr("cast(vec_id div 8 as int)").alias("q"), (F.col("vec_id") % 8).alias("code"), "vec")
+    return M.lloyd_steps(vecs, first, 2, 3).select("q", "code", "n", *digest(F.col("vec")))
+
+
 @query("V4_fit_codebook")
 def fit(spark, sf):
     book = M.fit_codebook(B.vectors(spark, sf), k=8, levels=2, seed=11)

@@ -93,12 +93,31 @@ def sample_count(spark, sf):
     return P.sample_speakers(asked, B.pool(spark, sf), 2).select("seed", "gender", "speaker_id")
 
 
-@query("K4_sample_proportion", f"""WITH {B.POOL}, {_REQ},
-r AS (SELECT q.seed, q.gender, p.speaker_id,
-        row_number() OVER (PARTITION BY q.seed, q.gender ORDER BY md5(q.seed || ':' || p.speaker_id), p.speaker_id) AS rk,
-        count(*) OVER (PARTITION BY q.seed, q.gender) AS size
-      FROM req q JOIN pool p ON p.gender = q.gender WHERE q.asked <> 'any')
-SELECT seed, gender, speaker_id FROM r WHERE rk <= greatest(floor(size * 0.05), 1)""")
+def sql_share(group: str, source: str, share: float, requested: str = "req") -> str:
+    """A seeded share of each request's group, as ``chosen(seed, asked, asked_gender, speaker_id)``."""
+
+    def mixed(x: str, a: str, b: str) -> str:
+        return f"(({x} * ({a} * 2 + 1) + {b}) & mask)"
+
+    numbers = ", ".join(f"floor({sql_uniform(f"seed || ':share:{c}'")} * 1073741824)::BIGINT AS n{c}" for c in "abcd")
+    rounds = f"""SELECT * REPLACE (xor(y, y >> half) AS x) FROM (SELECT *, {mixed('x', 'nc', 'nd')} AS y FROM (
+      SELECT * EXCLUDE (y) REPLACE (xor(y, y >> half) AS x) FROM (SELECT *, {mixed('x', 'na', 'nb')} AS y FROM {{0}})))"""
+    step = "SELECT seed, asked, grp, asked_gender, size, mask, half, na, nb, nc, nd, j, x FROM (" + rounds + ")"
+    return f"""ids AS (
+  SELECT speaker_id, {group} AS grp, row_number() OVER (PARTITION BY {group} ORDER BY ord) - 1 AS idx,
+         count(*) OVER (PARTITION BY {group}) AS size FROM {source}),
+groups AS (SELECT DISTINCT grp, size, length(bin(greatest(size - 1, 1)))::INT AS bits FROM ids),
+starts AS (
+  SELECT r.seed, r.asked, g.grp, r.gender AS asked_gender, g.size, (1::BIGINT << bits) - 1 AS mask, (bits + 1) // 2 AS half, {numbers},
+         unnest(range(0, greatest(floor(g.size * {share})::BIGINT, 1))) AS j
+  FROM {requested} r JOIN groups g ON g.grp = r.{group}),
+first AS ({step.format("(SELECT *, j AS x FROM starts)")}),
+walk AS (SELECT * FROM first UNION ALL {step.format("(SELECT * FROM walk WHERE x >= size)")}),
+chosen AS (SELECT w.seed, w.asked, w.asked_gender, i.speaker_id FROM walk w JOIN ids i ON i.grp = w.grp AND i.idx = w.x WHERE w.x < w.size)"""
+
+
+@query("K4_sample_proportion", f"""WITH RECURSIVE {B.POOL}, {_REQ}, {sql_share('gender', 'pool', 0.05)}
+SELECT seed, asked_gender AS gender, speaker_id FROM chosen WHERE asked <> 'any'""")
 def sample_proportion(spark, sf):
     asked = requests(spark, sf).filter("gender <> 'any'")
     return P.sample_speakers(asked, B.pool(spark, sf), 0.05).select("seed", "gender", "speaker_id")
@@ -170,12 +189,12 @@ _PSEUDO_OUT = f"""SELECT seed, asked_gender, gender, {r6('mean')} AS mean, {r6('
   {sql_digest('xvector')} FROM stat JOIN dev USING (seed, asked) JOIN vecs USING (seed, asked)"""
 
 
-def pseudospeakers(spark, sf, criterion=None, asked=None):
+def pseudospeakers(spark, sf, criterion=None, asked=None, n_speakers=2):
     pool = B.pool(spark, sf)
     located = P.cluster_gender(pool, B.clusters(spark, sf)) if criterion else None
     if asked is None:
         asked = requests(spark, sf).withColumn("asked", F.col("gender"))
-    return P.generate_pseudospeakers(asked, pool, _pitch(spark, sf), 2, criterion, located, 3)
+    return P.generate_pseudospeakers(asked, pool, _pitch(spark, sf), n_speakers, criterion, located, 3)
 
 
 def _show(out):
@@ -191,6 +210,12 @@ def generate(spark, sf):
     return _show(pseudospeakers(spark, sf))
 
 
+@query("K11_generate_pseudospeakers_half_the_pool", f"""WITH RECURSIVE {B.FRAMES}, {B.POOL}, {B.POOL_PITCH}, {_KNOWN}, {_REQ},
+{sql_share('gender', 'known', 0.5)}, {_PSEUDO} {_PSEUDO_OUT}""")
+def generate_half(spark, sf):
+    return _show(pseudospeakers(spark, sf, n_speakers=0.5))
+
+
 @query("K11_generate_pseudospeakers_sparse", f"""WITH {B.FRAMES}, {B.POOL}, {B.POOL_PITCH}, {_KNOWN}, {_REQ},
 {B.CLUSTERS}, {_short_sql(P.SPARSE, 3)}, {sql_two('cluster', 'known', 'placed')}, {_PSEUDO} {_PSEUDO_OUT}""")
 def generate_sparse(spark, sf):

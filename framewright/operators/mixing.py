@@ -147,8 +147,31 @@ def rvq_encode(vecs: DataFrame, codebook: DataFrame, levels: int,
     return vecs.withColumn("codes", encode("vec"))
 
 
+def lloyd_steps(vecs: DataFrame, start: DataFrame, levels: int = 1, steps: int = 10) -> DataFrame:
+    """Codebook (q, code, vec, n) after a fixed number of k-means steps from given first centres.
+
+    ``start``: q, code, vec. A centre without members stays where it is; ``n``
+    counts the members at the last step.
+    """
+    left, out = vecs.select(F.col("vec").cast("array<double>").alias("vec")), None
+    for q in range(levels):
+        centres = start.filter(F.col("q") == q).select(F.col("code").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+        for _ in range(steps):
+            placed = assign_clusters(left, centres, "id")
+            means = placed.groupBy("id").agg(vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("_mean"), F.count(F.lit(1)).alias("n"))
+            centres = materialize(centres.select("id", "vec").join(means, "id", "left").select(
+                "id", F.coalesce("_mean", "vec").alias("vec"), F.coalesce("n", F.lit(0)).alias("n")), "centres")
+        book = centres.select(F.lit(q).alias("q"), F.col("id").alias("code"), "vec", "n")
+        out = book if out is None else out.unionByName(book)
+        if q + 1 < levels:
+            near = bounded_broadcast(centres.select("id", F.col("vec").alias("_near")), _vector_bytes("_near"), CODEBOOK_LIMIT)
+            left = materialize(assign_clusters(left, centres.select("id", "vec"), "id").join(near, "id").select(
+                subtract(F.col("vec"), F.col("_near")).alias("vec")), "residuals")
+    return out
+
+
 def fit_codebook(vecs: DataFrame, k: int, levels: int = 1, seed: int = 0, max_iter: int = 20) -> DataFrame:
-    """k-means codebook per residual level: q, code, vec."""
+    """k-means codebook per residual level with seeded random first centres: q, code, vec."""
     spark = vecs.sparkSession
     left = vecs.select(F.col("vec").cast("array<double>").alias("vec"))
     books = []

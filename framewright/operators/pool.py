@@ -102,8 +102,8 @@ def sample_speakers(
 
     A count draws that many indices per request and joins them to numbered
     candidates, so the work grows with the output and not with requests x pool.
-    A proportion below 1 (at least one speaker) ranks the candidates by a seeded
-    hash; there the output itself is of the order of requests x pool.
+    A proportion below 1 (at least one speaker) walks a seeded permutation of the
+    indices, so each request emits exactly its own share, without pairs or a sort.
     """
     ids = number_rows(pool.select("speaker_id", "ord", group), ["ord"], [group], out="_idx").drop("ord")
     sizes = ids.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
@@ -112,12 +112,36 @@ def sample_speakers(
         drawn = asked.withColumn("_idx", F.explode(
             _draw_indices(F.least(F.col("_size"), F.lit(int(n_speakers))), F.col("_size"))))
         return drawn.join(ids, [group, "_idx"]).drop("_idx", "_size")
-    wanted = F.greatest(F.floor(F.col("_size") * n_speakers), F.lit(1))
-    # Groups such as genders are few and hot, so the pool side is sent out when it is small.
-    pairs = asked.join(bounded_broadcast(ids.drop("_idx"), F.lit(64), _SMALL), group).withColumn(
-        "_hash", rng.hash_key(F.col("seed"), F.col("speaker_id")))
-    ranked = number_rows(pairs, ["_hash", "speaker_id"], requests.columns, out="_rank")
-    return ranked.filter(F.col("_rank") < wanted).drop("_rank", "_hash", "_size")
+    wanted = F.greatest(F.floor(F.col("_size") * n_speakers), F.lit(1)).cast("bigint")
+    # Indices come in blocks, so that no row ever holds a whole share.
+    blocks = asked.withColumn("_n", wanted).withColumn("_block", F.explode(F.expr("sequence(0L, (_n - 1) div 4096)")))
+    drawn = blocks.withColumn("_j", F.explode(F.expr("sequence(_block * 4096, least(_n, (_block + 1) * 4096) - 1)")))
+    drawn = drawn.withColumn("_idx", _permuted(F.col("_j"), F.col("_size"))).drop("_n", "_block", "_j")
+    return drawn.join(ids, [group, "_idx"]).drop("_idx", "_size")
+
+
+def _permuted(j: Column, size: Column) -> Column:
+    """Place of ``j`` in a seeded permutation of 0..size-1.
+
+    Two rounds of an odd multiplication and a shifted xor permute the next power of
+    two; results beyond ``size`` go through the rounds again until they fit.
+    """
+    bits = F.length(F.bin(F.greatest(size - 1, F.lit(1))))
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
+    half = ((bits + 1) / 2).cast("int")
+
+    def number(name):
+        return F.floor(rng.uniform(F.col("seed"), F.lit("share"), F.lit(name)) * (1 << 30)).cast("bigint")
+
+    def mixed(x, factor, plus):
+        y = (x * (factor * 2 + 1) + plus).bitwiseAND(mask)
+        return y.bitwiseXOR(F.call_function("shiftright", y, half))
+
+    def rounds(x):
+        return mixed(mixed(x, number("a"), number("b")), number("c"), number("d"))
+
+    # A step fits with a chance above one half, so 64 steps always do.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), rounds(j), lambda x, _: F.when(x < size, x).otherwise(rounds(x)))
 
 
 def average_xvector(selected: DataFrame, keys) -> DataFrame:
