@@ -235,11 +235,12 @@ a AS (SELECT utt_id, max(rate) AS rate, count(*) AS n,
         avg((abs(sample) > 0.999)::INT) AS clipped FROM x GROUP BY utt_id),
 r AS (SELECT *, n / rate / (n / (CASE WHEN utt_id % 3 = 0 THEN 20000.0 ELSE 16000.0 END)) AS ratio FROM a)
 SELECT utt_id, array_to_string(list_filter([
-  CASE WHEN rate <> 16000 THEN 'sample rate ' || rate END,
-  CASE WHEN n_bad > 0 THEN 'non-finite samples' END,
-  CASE WHEN rms < 1e-3 THEN 'near silent' END,
-  CASE WHEN clipped > 0.01 THEN 'clipping' END,
-  CASE WHEN NOT (ratio > 0.9 AND ratio < 1.1) THEN 'duration ratio' END], lambda p: p IS NOT NULL), '; ') AS problems
+  CASE WHEN rate <> 16000 THEN 'rate:' || rate END,
+  CASE WHEN utt_id % 4 = 2 THEN 'channels:2' END,
+  CASE WHEN n_bad > 0 THEN 'non_finite' END,
+  CASE WHEN rms < 1e-3 THEN 'silent' END,
+  CASE WHEN clipped > 0.01 THEN 'clipped' END,
+  CASE WHEN NOT (ratio > 0.9 AND ratio < 1.1) THEN 'duration' END], lambda p: p IS NOT NULL), '; ') AS problems
 FROM r""")
 def sanity(spark, sf):
     rows = _f0(spark, sf)
@@ -249,7 +250,8 @@ def sanity(spark, sf):
         .when(F.col("utt_id") % 5 == 1, F.least(F.col("f0") / 150, F.lit(1.0)))
         .otherwise(F.col("f0") / 600))
     x = rows.select("utt_id", "frame", sample.alias("sample"),
-                    F.when(F.col("utt_id") % 11 == 1, 8000).otherwise(16000).alias("rate"))
+                    F.when(F.col("utt_id") % 11 == 1, 8000).otherwise(16000).alias("rate"),
+                    F.when(F.col("utt_id") % 4 == 2, 2).otherwise(1).alias("channels"))
     ref = rows.groupBy("utt_id").agg((F.count(F.lit(1)) / F.when(
         F.col("utt_id") % 3 == 0, 20000.0).otherwise(16000.0)).alias("ref_seconds"))
-    return S.series_sanity(x, ref).select("utt_id", F.array_join("problems", "; ").alias("problems"))
+    return S.series_sanity(x, ref, channels="channels").select("utt_id", F.array_join("problems", "; ").alias("problems"))

@@ -14,6 +14,7 @@ from framewright.catalog.mixing import _SHIFTED, _shifted_codes, digest, sql_dig
 from framewright.catalog.pool import _KNOWN, _PSEUDO, _pitch, sql_two
 from framewright.catalog.registry import query, r4, r6, sql_normal, sql_uniform
 from framewright.functions.vectors import cosine
+from framewright.operators import corpus as C
 from framewright.operators import hooks as H
 from framewright.plans import bindings as B
 from framewright.plans import workflows as X
@@ -200,6 +201,19 @@ checks AS (SELECT 'operating point ' || setting AS "check", metric, {r6('value')
   CASE WHEN good THEN 'PASS' ELSE bad END AS status, printf('%s=%.3f', metric, value) AS detail FROM metrics)"""
 
 
+@query("P6_pair_published", """SELECT source || '/' || doc_id || '_orig.wav' AS path,
+  'out/' || doc_id || '_seed_' || (doc_id % 7) || '_anon.wav' AS published, doc_id % 7 AS seed FROM documents WHERE doc_id % 3 <> 0""")
+def pair_published(spark, sf):
+    """Two thirds of the documents have a published clip, some a second one and a file of another name."""
+    docs = B.table(spark, sf, "documents").select("doc_id", "source")
+    originals = docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("_orig.wav")).alias("path"))
+    seeds = F.explode(F.array(F.col("doc_id") % 7, F.col("doc_id") % 7 + F.lit(1)))
+    there = docs.filter("doc_id % 3 <> 0").select("doc_id", seeds.alias("seed")).select(
+        F.format_string("out/%d_seed_%d_anon.wav", "doc_id", "seed").alias("path"))
+    other = docs.select(F.format_string("out/%d_seed_anon.wav", "doc_id").alias("path"))
+    return C.pair_published(originals, there.unionByName(other))
+
+
 @query("P6_release_checks", f"{_RELEASE} SELECT * FROM checks")
 def release_checks(spark, sf):
     return _release(spark, sf)["checks"].withColumn("value", B.r6(F.col("value")))

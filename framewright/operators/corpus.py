@@ -28,6 +28,23 @@ def result_name(path: Column, ratio: Column, seed: Column, gender: Column) -> Co
                        F.coalesce(F.when(gender != "", gender), F.lit("rand")), share)
 
 
+def pair_published(originals: DataFrame, published: DataFrame) -> DataFrame:
+    """path, published, seed: the first published clip of each original, by name.
+
+    Published clips are called ``<stem>_seed_<number>_anon.wav``; an original's stem
+    is its file name without the extension and without ``_orig``. Originals without
+    a clip are left out; clips with another name belong to none.
+    """
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    clips = published.select(
+        "path", F.regexp_extract(name, r"^(.*)_seed_(\d+)_anon\.wav$", 1).alias("_stem"),
+        F.regexp_extract(name, r"^(.*)_seed_(\d+)_anon\.wav$", 2).alias("_seed")).filter("_seed <> ''")
+    first = clips.groupBy("_stem").agg(F.min(F.struct("path", "_seed")).alias("_clip"))
+    rows = originals.select("path", F.replace(stem(F.col("path")), F.lit("_orig"), F.lit("")).alias("_stem"))
+    return rows.join(first, "_stem").select(
+        "path", F.col("_clip.path").alias("published"), F.col("_clip._seed").cast("bigint").alias("seed"))
+
+
 def select_corpus(df: DataFrame, drop: Sequence[str] = (), casts: Mapping[str, str] | None = None) -> DataFrame:
     """Drop columns and cast others."""
     df = df.drop(*drop)

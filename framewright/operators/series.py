@@ -259,24 +259,28 @@ def peak_normalize(df: DataFrame, keys="utt_id", value: str = "f0", level: float
 
 
 def series_sanity(df: DataFrame, reference: DataFrame, keys="utt_id", value: str = "sample",
-                  rate: str = "rate", expected_rate: int = 16000) -> DataFrame:
-    """Problems of each series as an array of names; an empty array means it is fine.
+                  rate: str = "rate", expected_rate: int = 16000, channels: str | None = None) -> DataFrame:
+    """Problems of each series as an array of codes; an empty array means it is fine.
 
-    ``reference`` has the keys and ``ref_seconds``.
+    ``reference`` has the keys and ``ref_seconds``. ``channels`` names a column with
+    the number of channels, which must be one. Codes: rate:<found>, channels:<found>,
+    non_finite, silent, clipped, duration.
     """
     keys = _keys(keys)
     x = F.col(value)
     finite = ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     stats = df.groupBy(*keys).agg(
-        F.max(rate).alias("rate"), F.count(F.lit(1)).alias("n"),
+        F.max(rate).alias("rate"), F.max(F.col(channels) if channels else F.lit(1)).alias("channels"),
+        F.count(F.lit(1)).alias("n"),
         F.sum(F.when(finite, 0).otherwise(1)).alias("n_bad"),
         F.sqrt(F.avg(x * x)).alias("rms"),
         F.avg(F.when(F.abs(x) > 0.999, 1.0).otherwise(0.0)).alias("clipped"))
     ratio = F.col("n") / F.col("rate") / F.col("ref_seconds")
     found = F.array_compact(F.array(
-        F.when(F.col("rate") != expected_rate, F.concat(F.lit("sample rate "), F.col("rate").cast("string"))),
-        F.when(F.col("n_bad") > 0, "non-finite samples"),
-        F.when(F.col("rms") < 1e-3, "near silent"),
-        F.when(F.col("clipped") > 0.01, "clipping"),
-        F.when(~((ratio > 0.9) & (ratio < 1.1)), "duration ratio")))
+        F.when(F.col("rate") != expected_rate, F.concat(F.lit("rate:"), F.col("rate").cast("string"))),
+        F.when(F.col("channels") != 1, F.concat(F.lit("channels:"), F.col("channels").cast("string"))),
+        F.when(F.col("n_bad") > 0, "non_finite"),
+        F.when(F.col("rms") < 1e-3, "silent"),
+        F.when(F.col("clipped") > 0.01, "clipped"),
+        F.when(~((ratio > 0.9) & (ratio < 1.1)), "duration")))
     return stats.join(reference, keys, "left").select(*keys, found.alias("problems"))

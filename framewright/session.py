@@ -47,6 +47,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Let the file system drop a written intermediate when the driver ends."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the scratch folder and read it back.
 
@@ -57,4 +64,5 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
