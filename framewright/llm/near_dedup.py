@@ -179,11 +179,10 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     return linked_members(members.withColumn("weight", F.lit(1).cast("long")), shared.withColumn("total", F.col("n")), _by_signature)
 
 
-def exact_links(docs: DataFrame, sketched: DataFrame, roots: DataFrame, id_col: str, text: str) -> DataFrame:
+def exact_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str, text: str) -> DataFrame:
     """Links of similarity SIMILARITY or more inside the candidate components."""
     # One text for each node: that of its least id, or of any row if it has no id.
-    wanted = materialize(sketched.join(roots, "node").groupBy("node", F.xxhash64("root").alias("group")).agg(
-        F.min("id").alias("id"), F.first("weight").alias("weight")), "candidates")
+    wanted = materialize(nodes.join(roots, "node").select("node", F.xxhash64("root").alias("group"), "id", "weight"), "candidates")
     sizes = wanted.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"))
 
     def make():
@@ -211,12 +210,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     """One row per document: its id and ``class_id``, the smallest id of its class."""
     kind = docs.schema[id_col].dataType
     sketched = materialize(sketch(docs, id_col, text), "sketches")
-    nodes = sketched.filter("node is not null").groupBy("node").agg(F.first("signature").alias("signature"))
+    # Copies meet here, map-side first; nothing below sees more than one row per node.
+    nodes = materialize(sketched.filter("node is not null").groupBy("node").agg(
+        F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("signature").alias("signature")), "nodes")
     roots = materialize(components(candidate_links(nodes)), "candidate-roots")
-    classes = components(exact_links(docs, sketched, roots, id_col, text))
+    classes = components(exact_links(docs, nodes, roots, id_col, text))
     # A node without links is its own component.
-    least = sketched.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
-    named = least.join(classes, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = nodes.select("node", F.col("id").alias("least")).join(classes, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     # Written, so that the join below may split the rows of a node with very many copies.
     final = materialize(named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id"), "classes")
     out = sketched.select("id", "node").join(final, "node", "left")
