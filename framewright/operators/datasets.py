@@ -103,12 +103,12 @@ def quota_filter(df: DataFrame, speaker: str, order: str, seconds: str, score: s
                  cap_seconds: float, block: int = BLOCK) -> DataFrame:
     """Rows above the score, per speaker in order until their total passes the cap.
 
-    ``order`` is a non-negative integer column; the running total needs no
-    window over a whole speaker.
+    ``order`` is unique within a speaker. Rows are ranked first, so that blocks are
+    full however sparse the order's values are and no window holds a whole speaker.
     """
-    good = df.filter(F.col(score) > min_score)
-    rows = running_sum(good, speaker, F.col(seconds), "_total", pos=order, block=block)
-    return rows.filter(F.col("_total") <= cap_seconds).drop("_total")
+    ranked = number_rows(df.filter(F.col(score) > min_score), [order], [speaker], out="_pos")
+    rows = running_sum(ranked, speaker, F.col(seconds), "_total", pos="_pos", block=block)
+    return rows.filter(F.col("_total") <= cap_seconds).drop("_total", "_pos")
 
 
 def speaker_band(df: DataFrame, speaker: str, seconds: str, low: float, high: float) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 65536
-_BLK = "_blk"
+_BLK, _KEY = "_blk", "_key"
 
 
 def _cols(keys) -> list[str]:
@@ -28,6 +28,16 @@ def _block(pos: str, size: int) -> Column:
     return F.expr(f"`{pos}` div {int(size)}")
 
 
+def _keyed(df: DataFrame, keys: list[str], pos: str, block: int) -> DataFrame:
+    """Add the block, and the keys as one struct: it is never null itself, so null keys join like others."""
+    return df.withColumn(_BLK, _block(pos, block)).withColumn(_KEY, F.struct(*[F.col(k) for k in keys]))
+
+
+def _every_block(per_key: DataFrame) -> DataFrame:
+    """One row per key and block, from one row per key with its last block."""
+    return per_key.withColumn(_BLK, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last_blk").cast("bigint")))).drop("_last_blk")
+
+
 def with_totals(
     df: DataFrame, keys, aggs: Sequence[Column], pos: str = "frame", block: int = BLOCK
 ) -> DataFrame:
@@ -36,28 +46,60 @@ def with_totals(
     The aggregate combines map-side; its row is then repeated per block of the
     key, so the join back is on (key, block) and a hot key spreads out.
     """
-    keys = _cols(keys)
-    rows = df.withColumn(_BLK, _block(pos, block))
-    totals = (
-        rows.groupBy(*keys)
-        .agg(*aggs, F.max(_BLK).alias("_last_blk"))
-        .withColumn(_BLK, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last_blk").cast("bigint"))))
-        .drop("_last_blk")
-    )
-    return rows.join(totals, [*keys, _BLK]).drop(_BLK)
+    rows = _keyed(df, _cols(keys), pos, block)
+    totals = _every_block(rows.groupBy(_KEY).agg(*aggs, F.max(_BLK).alias("_last_blk")))
+    return rows.join(totals, [_KEY, _BLK]).drop(_KEY, _BLK)
 
 
 def attach(df: DataFrame, table: DataFrame, keys, pos: str = "frame", block: int = BLOCK) -> DataFrame:
     """Join a table with one row per key to the rows, spread over blocks like ``with_totals``."""
     keys = _cols(keys)
-    rows = df.withColumn(_BLK, _block(pos, block))
-    spans = rows.groupBy(*keys).agg(F.max(_BLK).alias("_last_blk"))
-    spread = (
-        table.join(spans, keys)
-        .withColumn(_BLK, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last_blk").cast("bigint"))))
-        .drop("_last_blk")
-    )
-    return rows.join(spread, [*keys, _BLK]).drop(_BLK)
+    rows = _keyed(df, keys, pos, block)
+    spans = rows.groupBy(_KEY).agg(F.max(_BLK).alias("_last_blk"))
+    facts = table.withColumn(_KEY, F.struct(*[F.col(k) for k in keys])).drop(*keys)
+    return rows.join(_every_block(facts.join(spans, _KEY)), [_KEY, _BLK]).drop(_KEY, _BLK)
+
+
+def scan(
+    df: DataFrame, keys, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None,
+    maxima: dict[str, Column] | None = None, totals: dict[str, tuple[str, Column]] | None = None, pos: str = "frame",
+    block: int = BLOCK, inclusive: bool = True,
+) -> DataFrame:
+    """Several ordered results of one table in one pass: one summary per block, one join back.
+
+    ``sums``, ``lasts`` (latest non-null value) and ``maxima`` run in ``pos`` order,
+    over the row itself too if ``inclusive``; ``totals`` gives ``{out: (function,
+    value)}`` over the whole key with sum, min or max. The table is read twice,
+    however many results are asked for. ``pos`` must not be null.
+    """
+    sums, lasts, maxima, totals = sums or {}, lasts or {}, maxima or {}, totals or {}
+    rows = _keyed(df, _cols(keys), pos, block)
+    values = {**sums, **lasts, **maxima, **{out: value for out, (_, value) in totals.items()}}
+    rows = rows.withColumns({f"_v_{out}": value for out, value in values.items()})
+    combine = {"sum": F.sum, "min": F.min, "max": F.max}
+    summary = rows.groupBy(_KEY, _BLK).agg(
+        *[F.sum(f"_v_{o}").alias(f"_s_{o}") for o in sums],
+        *[F.max_by(f"_v_{o}", F.when(F.col(f"_v_{o}").isNotNull(), F.col(pos))).alias(f"_s_{o}") for o in lasts],
+        *[F.max(f"_v_{o}").alias(f"_s_{o}") for o in maxima],
+        *[combine[f](f"_v_{o}").alias(f"_s_{o}") for o, (f, _) in totals.items()])
+    before = W.partitionBy(_KEY).orderBy(_BLK).rowsBetween(W.unboundedPreceding, -1)
+    carry = summary.select(
+        _KEY, _BLK,
+        *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_c_{o}") for o in sums],
+        *[F.last(f"_s_{o}", ignorenulls=True).over(before).alias(f"_c_{o}") for o in lasts],
+        *[F.max(f"_s_{o}").over(before).alias(f"_c_{o}") for o in maxima],
+        *[combine[f](f"_s_{o}").over(W.partitionBy(_KEY)).alias(o) for o, (f, _) in totals.items()])
+    upto = W.partitionBy(_KEY, _BLK).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
+    local = upto if inclusive else W.partitionBy(_KEY, _BLK).orderBy(pos).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.join(carry, [_KEY, _BLK])
+    out = {o: F.col(f"_c_{o}") + F.coalesce(F.sum(f"_v_{o}").over(upto), F.lit(0)) for o in sums}
+    if not inclusive:
+        out = {o: total - F.coalesce(F.col(f"_v_{o}"), F.lit(0)) for o, total in out.items()}
+    out |= {o: F.coalesce(F.last(f"_v_{o}", ignorenulls=True).over(local), F.col(f"_c_{o}")) for o in lasts}
+    out |= {o: F.greatest(F.max(f"_v_{o}").over(local), F.col(f"_c_{o}")) for o in maxima}
+    if out:
+        rows = rows.withColumns(out)
+    return rows.drop(_KEY, _BLK, *[f"_v_{o}" for o in values], *[f"_c_{o}" for o in [*sums, *lasts, *maxima]])
 
 
 def running_sum(
@@ -65,21 +107,7 @@ def running_sum(
     inclusive: bool = True,
 ) -> DataFrame:
     """Running sum of ``value`` in ``pos`` order within each key."""
-    keys = _cols(keys)
-    rows = df.withColumn(_BLK, _block(pos, block)).withColumn("_val", value)
-    carry = (
-        rows.groupBy(*keys, _BLK).agg(F.sum("_val").alias("_sum"))
-        .withColumn("_carry", F.coalesce(
-            F.sum("_sum").over(
-                W.partitionBy(*keys).orderBy(_BLK).rowsBetween(W.unboundedPreceding, -1)),
-            F.lit(0)))
-        .drop("_sum")
-    )
-    local = W.partitionBy(*keys, _BLK).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    total = F.col("_carry") + F.coalesce(F.sum("_val").over(local), F.lit(0))
-    if not inclusive:
-        total = total - F.coalesce(F.col("_val"), F.lit(0))
-    return rows.join(carry, [*keys, _BLK]).withColumn(out, total).drop(_BLK, "_val", "_carry")
+    return scan(df, keys, sums={out: value}, pos=pos, block=block, inclusive=inclusive)
 
 
 def running_last(
@@ -87,39 +115,14 @@ def running_last(
     inclusive: bool = True,
 ) -> DataFrame:
     """Latest non-null ``value`` at or before each row (strictly before if not inclusive)."""
-    keys = _cols(keys)
-    rows = df.withColumn(_BLK, _block(pos, block)).withColumn("_val", value)
-    carry = (
-        rows.groupBy(*keys, _BLK)
-        .agg(F.max_by("_val", F.when(F.col("_val").isNotNull(), F.col(pos))).alias("_end"))
-        .withColumn("_carry", F.last("_end", ignorenulls=True).over(
-            W.partitionBy(*keys).orderBy(_BLK).rowsBetween(W.unboundedPreceding, -1)))
-        .drop("_end")
-    )
-    local = W.partitionBy(*keys, _BLK).orderBy(pos).rowsBetween(
-        W.unboundedPreceding, 0 if inclusive else -1)
-    seen = F.coalesce(F.last("_val", ignorenulls=True).over(local), F.col("_carry"))
-    return rows.join(carry, [*keys, _BLK]).withColumn(out, seen).drop(_BLK, "_val", "_carry")
+    return scan(df, keys, lasts={out: value}, pos=pos, block=block, inclusive=inclusive)
 
 
 def running_max(
     df: DataFrame, keys, values: dict[str, Column], pos: str, block: int = BLOCK
 ) -> DataFrame:
     """Running maxima {out: value} in ``pos`` order within each key."""
-    keys = _cols(keys)
-    rows = df.withColumn(_BLK, _block(pos, block))
-    for out, value in values.items():
-        rows = rows.withColumn(out, value)
-    before = W.partitionBy(*keys).orderBy(_BLK).rowsBetween(W.unboundedPreceding, -1)
-    carry = rows.groupBy(*keys, _BLK).agg(*[F.max(out).alias(out) for out in values]).select(
-        *keys, _BLK, *[F.max(out).over(before).alias(f"_c_{out}") for out in values])
-    local = W.partitionBy(*keys, _BLK).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    for out in values:
-        rows = rows.withColumn(out, F.max(out).over(local))
-    rows = rows.join(carry, [*keys, _BLK])
-    for out in values:
-        rows = rows.withColumn(out, F.greatest(out, f"_c_{out}")).drop(f"_c_{out}")
-    return rows.drop(_BLK)
+    return scan(df, keys, maxima=values, pos=pos, block=block)
 
 
 def with_neighbours(

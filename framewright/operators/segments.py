@@ -11,7 +11,7 @@ from framewright.functions import rng
 from framewright.functions.text import strip, words_of
 from framewright.operators.hooks import map_groups
 from framewright.operators.scans import (
-    BLOCK, attach, running_last, running_sum, with_lag_lead, with_totals)
+    BLOCK, attach, running_last, running_sum, scan, with_lag_lead, with_totals)
 from framewright.session import materialize
 
 FPS = 50
@@ -85,24 +85,31 @@ def merge_segments(segs: DataFrame, min_words: int = 30, min_chars: int = 70,
     ``segs``: utt_id, seg (dense from 0), start, end, text, words. Where a group
     ends depends only on where it starts, so blocks of segments are solved for
     every possible start, a short list of hops links the blocks, and only then
-    the real groups are read off. No recording is folded in one piece. A group
-    that outgrows the halo makes the halo double, so long groups stay exact.
+    the real groups are read off. No recording is folded in one piece. Blocks
+    with a group that outgrows the halo are solved again with twice the halo.
     """
     sizes = with_totals(
         segs.select("utt_id", "seg", F.size("words").alias("n_words"), F.length("text").alias("n_raw"),
                     F.length(strip(F.col("text"))).alias("n_strip")),
         "utt_id", [(F.max("seg") + 1).alias("n_seg")], pos="seg", block=block)
+    done = todo = None
     while True:
         reach = sizes.withColumn("blk", F.explode(F.sequence(
             F.expr(f"greatest(seg - {halo}, 0) div {block}"), F.expr(f"seg div {block}"))))
+        if todo is not None:  # only the blocks whose groups outgrew the last halo
+            reach = reach.join(todo, ["utt_id", "blk"], "left_semi")
         jumps = materialize(
             map_groups(
                 reach, ["utt_id", "blk"], ["seg"], lambda pdf: _next_starts(pdf, block, min_words, min_chars),
                 "utt_id bigint, blk bigint, seg bigint, nxt bigint, leave bigint, settled boolean"),
             "merge-jumps")
-        if jumps.filter(~F.col("settled")).isEmpty():
+        open_blocks = jumps.filter(~F.col("settled")).select("utt_id", "blk").distinct()
+        settled = jumps.join(open_blocks, ["utt_id", "blk"], "left_anti")
+        done = settled if done is None else done.unionByName(settled)
+        if open_blocks.isEmpty():
             break
-        halo *= 2
+        todo, halo = open_blocks, 2 * halo
+    jumps = done
     doors = jumps.select("utt_id", F.col("leave").alias("seg")).unionByName(
         jumps.filter("seg = 0").select("utt_id", "seg")).distinct()
     # Per recording only the doors between blocks, a few rows per block.
@@ -191,10 +198,9 @@ def alignment_runs(frames: DataFrame, blank: int, keys="utt_id", value: str = "p
     the last one until the end of the sequence.
     """
     keys = _keys(keys)
-    rows = with_totals(frames.select(*keys, "frame", value), keys,
-                       [(F.max("frame") + 1).alias("_n")], block=block)
     seen = F.when(F.col(value) != blank, F.col(value))
-    rows = running_last(rows, keys, seen, "_prev", block=block, inclusive=False)
+    rows = scan(frames.select(*keys, "frame", value), keys, lasts={"_prev": seen},
+                totals={"_n": ("max", F.col("frame") + 1)}, block=block, inclusive=False)
     changes = rows.filter((F.col(value) != blank) & ~F.col("_prev").eqNullSafe(F.col(value)))
     runs = running_sum(changes, keys, F.lit(1).cast("bigint"), "run", block=block).withColumn(
         "run", F.col("run") - 1)

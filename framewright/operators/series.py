@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import rng
 from framewright.operators.scans import (
-    BLOCK, running_sum, with_lag_lead, with_neighbours, with_totals)
+    BLOCK, scan, with_lag_lead, with_neighbours, with_totals)
 
 # Fixed values of the data model.
 PITCH_MEAN = 61.64
@@ -107,10 +107,9 @@ def smooth_voiced(df: DataFrame, n: int = 32, a: float = 0.75, keys="utt_id",
     if a == 0.0:
         return df
     keys = _keys(keys)
-    voiced = with_totals(df.filter(F.col("f0") != 0), keys,
-                         [F.count(F.lit(1)).alias("_v")], block=block)
-    ranked = running_sum(voiced, keys, F.lit(1).cast("bigint"), "_rank", block=block) \
-        .withColumn("_rank", F.col("_rank") - 1)
+    one = F.lit(1).cast("bigint")
+    ranked = scan(df.filter(F.col("f0") != 0), keys, sums={"_rank": one}, totals={"_v": ("sum", one)}, block=block,
+                  inclusive=False)
     long_keys = with_neighbours(
         ranked.filter(F.col("_v") >= n), keys,
         {"_ma": lambda w: F.sum("f0").over(w.rowsBetween(-(n // 2), n - n // 2 - 1)) / F.lit(float(n))},

@@ -61,6 +61,27 @@ def test_totals_and_attach(rows):
     assert diff(N.attach(rows, table, "k", block=16), rows, F.max("v").over(W.partitionBy("k"))) == (900, 0)
 
 
+def test_scan_gives_all_in_two_reads(rows):
+    value = F.when(F.col("v") % 37 == 0, F.col("v"))
+    got = N.scan(rows, "k", sums={"out": F.col("v")}, lasts={"seen": value}, maxima={"top": F.col("v")},
+                 totals={"n": ("sum", F.lit(1)), "low": ("min", F.col("v"))}, block=16)
+    assert diff(got, rows, F.sum("v").over(whole())) == (900, 0)
+    assert diff(got, rows, F.last(value, ignorenulls=True).over(whole()), "seen") == (900, 0)
+    assert diff(got, rows, F.max("v").over(whole()), "top") == (900, 0)
+    assert diff(got, rows, F.count("v").over(W.partitionBy("k")), "n") == (900, 0)
+    assert diff(got, rows, F.min("v").over(W.partitionBy("k")), "low") == (900, 0)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2
+
+
+def test_null_keys_stay(spark):
+    df = spark.createDataFrame([(None, 0, 1), (None, 1, 2), (1, 0, 5)], "k bigint, frame bigint, v bigint")
+    got = N.with_totals(N.running_sum(df, "k", F.col("v"), "s"), "k", [F.max("v").alias("m")])
+    assert sorted((tuple(r) for r in got.select("k", "frame", "s", "m").collect()), key=repr) == sorted(
+        [(None, 0, 1, 2), (None, 1, 3, 2), (1, 0, 5, 5)], key=repr)
+    table = spark.createDataFrame([(None, "x"), (1, "y")], "k bigint, t string")
+    assert N.attach(df, table, "k").filter("k is null and t = 'x'").count() == 2
+
+
 def test_hot_key_is_spread(rows):
     """No window or join partition may hold the whole hot key."""
     got = N.running_sum(rows, "k", F.lit(1), "out", block=50)
