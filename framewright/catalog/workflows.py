@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from framewright.catalog.editing import base_frames
 from framewright.catalog.evaluate import _SIM, _WER, pairs, vector_pairs
-from framewright.catalog.mixing import _SHIFTED, _shifted_codes, digest, sql_digest, sql_unit
+from framewright.catalog.mixing import _SHIFTED, _VSUM, _shifted_codes, digest, sql_digest, sql_unit
 from framewright.catalog.pool import _KNOWN, _PSEUDO, _pitch, sql_two
 from framewright.catalog.registry import query, r4, r6, sql_normal, sql_uniform
 from framewright.functions.vectors import cosine
@@ -118,6 +118,55 @@ def anonymize(spark, sf):
     return out.select("utt_id", "result", "frame", B.r4(F.col("f0")).alias("f0"), *digest(F.col("vec")))
 
 
+_HEAD, _TUNED = _ANON.split("\nown AS (")
+_PIECES = [(0, 5, 25, 15), (1, 40, 60, 30)]  # seg, range, length of the generated piece
+
+
+def _overlaid(q: int) -> str:
+    inside = " OR ".join(f"frame BETWEEN {a} AND {min(b, a + n) - 1}" for _, a, b, n in _PIECES)
+    return f"CASE WHEN {inside} THEN s.c{q} ELSE o.c{q} END AS c{q}"
+
+
+def _decoded(name: str, source: str) -> str:
+    books = " ".join(f"JOIN codebook b{q} ON b{q}.q = {q} AND b{q}.code = c.c{q}" for q in range(B.LEVELS))
+    return f"{name} AS (SELECT c.utt_id, c.frame, {_VSUM} AS vec FROM {source} c {books})"
+
+
+@query("P3_anonymize_recordings", f"""{_HEAD} {B.CODEBOOK},
+raw AS (SELECT utt_id, frame // 2 AS frame, f0 FROM frames WHERE frame % 2 = 0),
+n AS (SELECT utt_id, count(*) AS n, (count(*) + 1) // 2 AS m FROM frames GROUP BY utt_id),
+spot AS (SELECT utt_id, n, frame, (frame * (m - 1)) // (n - 1) AS lo, (frame * (m - 1)) % (n - 1) AS rem
+  FROM (SELECT *, unnest(range(0, n)) AS frame FROM n)),
+pitch AS (SELECT t.utt_id, t.frame, a.f0 + t.rem / (t.n - 1)::DOUBLE * (coalesce(b.f0, a.f0) - a.f0) AS f0 FROM spot t
+  JOIN raw a ON a.utt_id = t.utt_id AND a.frame = t.lo LEFT JOIN raw b ON b.utt_id = t.utt_id AND b.frame = t.lo + 1),
+laid AS (SELECT o.utt_id, frame, {', '.join(_overlaid(q) for q in range(B.LEVELS))} FROM orig o JOIN syn s USING (utt_id, frame)),
+hurt AS (SELECT utt_id, bool_or(c0 = 1024) AS hit, {', '.join(f'bool_or(c{q} IN (1024, -1)) AS h{q}' for q in range(B.LEVELS))} FROM laid GROUP BY utt_id),
+mended AS (SELECT l.utt_id, l.frame, {', '.join(f'CASE WHEN hit AND h{q} THEN o.c{q} ELSE l.c{q} END AS c{q}' for q in range(B.LEVELS))}
+  FROM laid l JOIN orig o USING (utt_id, frame) JOIN hurt USING (utt_id)),
+{_decoded('vo', 'orig')}, {_decoded('vs', 'mended')},
+own AS ({_TUNED.replace('frames', 'pitch')},
+v AS (SELECT seed, xvector FROM stat JOIN vecs USING (seed, asked))
+SELECT f.utt_id, {_FRAME_RESULT}, f.frame, {sql_digest(f'''list_concat(CASE WHEN {_DRAWN} THEN o.vec ELSE y.vec END,
+  [round(CASE WHEN s.seed IS NULL THEN f.f0 WHEN f.f0 = 0 THEN 0.0 ELSE ma.f0 END, 3)], CASE WHEN s.seed IS NULL THEN [f.utt_id::DOUBLE, 1.0] ELSE v.xvector END)''')}
+FROM pitch f CROSS JOIN settings s JOIN vo o USING (utt_id, frame) JOIN vs y USING (utt_id, frame)
+LEFT JOIN v ON v.seed = s.seed LEFT JOIN ma ON ma.utt_id = f.utt_id AND ma.frame = f.frame AND ma.seed = s.seed""")
+def anonymize_recordings(spark, sf):
+    """Half-rate pitch, two generated pieces per recording, one shorter and one longer than its range."""
+    syn, orig = _shifted_codes(spark, sf)
+    raw = B.frames(spark, sf).filter("frame % 2 = 0").select("utt_id", F.expr("frame div 2").alias("frame"), "f0")
+    utts = orig.select("utt_id").distinct()
+    where = F.explode(F.array(*[F.struct(F.lit(g).cast("bigint").alias("seg"), F.lit(a).cast("bigint").alias("f0"), F.lit(b).cast("bigint").alias("f1")) for g, a, b, _ in _PIECES]))
+    ranges = utts.select("utt_id", where.alias("r")).select("utt_id", "r.*")
+    parts = [syn.filter(F.col("frame").between(a, a + n - 1)).select(
+        "utt_id", F.lit(g).cast("bigint").alias("seg"), (F.col("frame") - a).alias("i"), "codes") for g, a, _, n in _PIECES]
+    grid = X.work_grid(utts.withColumn("path", F.concat(F.col("utt_id").cast("string"), F.lit(".wav"))), [52, 53], [0.3, 0.7], include_original=True)
+    own = utts.select("utt_id", F.array(F.col("utt_id").cast("double"), F.lit(1.0)).alias("xvector"))
+    out, _ = X.anonymize_recordings(raw, orig, parts[0].unionByName(parts[1]), ranges, B.codebook(spark, sf), B.LEVELS,
+                                    B.pool(spark, sf), _pitch(spark, sf), grid, own, gate=False)
+    shown = F.transform("input", lambda x, i: F.when(i == 64, F.round(x, 3)).otherwise(x))
+    return out.select("utt_id", "result", "frame", *digest(shown))
+
+
 @query("P3_anonymize_speakers", f"""{_ANON},
 v AS (SELECT seed, gender, xvector FROM stat JOIN vecs USING (seed, asked))
 SELECT u.utt_id, CASE WHEN s.seed IS NULL THEN 'anonymized_' ELSE '' END || u.utt_id || '_' || s.tail AS result, v.gender,

@@ -12,6 +12,7 @@ from framewright.operators import editing as E
 from framewright.operators import evaluate as V
 from framewright.operators import mixing as M
 from framewright.operators import pool as P
+from framewright.operators import segments as G
 from framewright.operators import series as S
 from framewright.operators.corpus import result_name, safe_stem
 from framewright.operators.scans import BLOCK, attach, bounded_broadcast, with_totals
@@ -137,6 +138,28 @@ def anonymize(
     return frames, table
 
 
+def anonymize_recordings(
+    raw_pitch: DataFrame, codes: DataFrame, generated: DataFrame, ranges: DataFrame, codebook: DataFrame, levels: int,
+    pool: DataFrame, pitch: DataFrame, grid: DataFrame, own_vectors: DataFrame | None = None, block: int = BLOCK, **options,
+) -> tuple[DataFrame, DataFrame]:
+    """From extracted features to model input: (utt_id, result, frame, input) and the speakers of ``anonymize``.
+
+    The pitch is resampled to the codes' length, generated pieces (utt_id, seg, i,
+    codes) overlay their ranges (utt_id, seg, f0, f1), damaged code columns are
+    taken from the original, both streams are decoded and mixed, and every frame
+    becomes ``[vec ; f0 ; speaker vector]``. ``options`` go to ``anonymize``.
+    """
+    lengths = codes.groupBy("utt_id").agg(F.count(F.lit(1)).alias("_codes"))
+    placed = attach(raw_pitch.select("utt_id", "frame", "f0"), lengths, "utt_id", block=block)
+    f0 = materialize(S.resample_linear(placed, F.col("_codes"), block=block), "resampled-pitch")
+    spoken = G.overlay_segments(codes, generated, ranges, "codes")
+    spoken = M.repair_columns(spoken, codes, levels, block=block)
+    orig, syn = (M.rvq_decode(x, codebook, levels).filter("vec is not null").select("utt_id", "frame", "vec") for x in (codes, spoken))
+    frames, speakers = anonymize(f0, orig, syn, pool, pitch, grid, own_vectors, block=block, **options)
+    rows = attach(frames, speakers.select("utt_id", "result", "xvector"), ["utt_id", "result"], block=block)
+    return rows.select("utt_id", "result", "frame", F.concat("vec", F.array("f0"), "xvector").alias("input")), speakers
+
+
 def edit(base: DataFrame, words: DataFrame, picked: DataFrame, texts: DataFrame, repl: DataFrame,
          k: int = E.GRAFT, match_pitch: bool = True) -> tuple[DataFrame, DataFrame]:
     """Replace groups of picked words in many recordings: edited frames, and error rows.
