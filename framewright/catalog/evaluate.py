@@ -169,8 +169,8 @@ def stage_shares(spark, sf):
 
 def _twice_sql(other: str) -> str:
     return f"""WITH a AS (SELECT vec_id, md5('52:' || vec_id) AS draw FROM embeddings), b AS (SELECT vec_id, md5('{other}:' || vec_id) AS draw FROM embeddings)
-SELECT (SELECT count(*) FROM (FROM a EXCEPT ALL FROM b)) AS only_a, (SELECT count(*) FROM (FROM b EXCEPT ALL FROM a)) AS only_b,
-  '52' = '{other}' AS same"""
+, n AS (SELECT (SELECT count(*) FROM (FROM a EXCEPT ALL FROM b)) AS only_a, (SELECT count(*) FROM (FROM b EXCEPT ALL FROM a)) AS only_b)
+SELECT only_a, only_b, only_a + only_b = 0 AND (SELECT count(*) FROM a JOIN b USING (vec_id, draw)) = (SELECT count(*) FROM a) AS same FROM n"""
 
 
 def _twice(spark, sf, other):

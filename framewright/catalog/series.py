@@ -11,6 +11,9 @@ from framewright.plans import bindings as B
 
 _FR = f"WITH {B.FRAMES}"
 _KEEP = ["utt_id", "frame", "f0"]
+# The edges of the pitch buckets, written out once more for the SQL.
+_EDGES = [10, 100.89050217, 115.1907547, 127.34055481, 142.26394958, 161.6648941, 180.98721313, 199.32779541, 221.38771667,
+          252.21411438, 803.56750488]
 
 
 def _f0(spark, sf):
@@ -180,7 +183,7 @@ def normalize_xvector(spark, sf):
 
 
 @query("F9_bucketize", f"""{_FR}
-SELECT utt_id, frame, ({' + '.join(f'(f0 >= {e})::INT' for e in S.F0_EDGES)})::BIGINT AS bucket FROM frames""")
+SELECT utt_id, frame, ({' + '.join(f'(f0 >= {e})::INT' for e in _EDGES)})::BIGINT AS bucket FROM frames""")
 def bucketize(spark, sf):
     return _f0(spark, sf).select("utt_id", "frame", S.bucketize(F.col("f0")).cast("bigint").alias("bucket"))
 

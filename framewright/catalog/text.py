@@ -64,11 +64,24 @@ def _phones_sql(keep: bool) -> str:
     table = Y.PHONE_MARKS + [(c, "") for c in Y.UNSUPPORTED] + ([] if keep else [(c, "") for c in Y.MODIFIER_MARKS])
     text = f"trim({sql_collapse(sql_replace(sql_replace('text', PHONETIC), table))}, '~')"
     if keep:
-        text = sql_replace(text, Y.tone_contours())
+        # The contours of _CONTOURS, applied one after the other.
+        text = f"list_reduce(list_prepend({text}, rules), lambda acc, r: replace(acc, split_part(r, '|', 1), split_part(r, '|', 2)))"
     return f"regexp_replace('~' || {text} || '~#', '~+', '~', 'g')"
 
 
-@query("T4_normalize_phones", f"SELECT doc_id, {_phones_sql(True)} AS phones FROM documents")
+# Tone letters by height: peaks of three, dips of three, then rising or level pairs, then falling pairs.
+_CONTOURS = """WITH tones AS (SELECT unnest(['˥', '˦', '˧', '˨', '˩']) AS t, unnest([5, 4, 3, 2, 1]) AS h),
+found AS (
+  SELECT CASE WHEN a.h < b.h THEN 1 ELSE 2 END AS part, a.h AS x, b.h AS y, c.h AS z, a.t || b.t || c.t AS old,
+    concat_ws(CASE WHEN a.h < b.h THEN '⮁' ELSE '⮃' END, a.t, b.t, c.t) AS new
+  FROM tones a, tones b, tones c WHERE (a.h < b.h AND c.h < b.h) OR (a.h > b.h AND c.h > b.h)
+  UNION ALL
+  SELECT CASE WHEN a.h <= b.h THEN 3 ELSE 4 END, a.h, b.h, 0, a.t || b.t, concat_ws(CASE WHEN a.h <= b.h THEN '⭧' ELSE '⭨' END, a.t, b.t)
+  FROM tones a, tones b),
+contours AS (SELECT list(old || '|' || new ORDER BY part, x DESC, y DESC, z DESC) AS rules FROM found)"""
+
+
+@query("T4_normalize_phones", f"{_CONTOURS} SELECT doc_id, {_phones_sql(True)} AS phones FROM documents, contours")
 def normalize_phones(spark, sf):
     return phonetic(spark, sf).select("doc_id", Y.normalize_phones(F.col("phones")).alias("phones"))
 
