@@ -75,7 +75,7 @@ TINTING_MARKS = {
 # ---------------------------------------------------------------- end of fixed values
 
 FEATURE_INDEX = {name: i for i, name in enumerate(FEATURES)}
-_PRIVATE = 0xE000
+_PRIVATE = 0xF0000  # two planes without characters of their own
 
 
 def ctc_ids() -> dict[str, int]:
@@ -144,8 +144,8 @@ def symbols_to_ids(col: Column, inventory: Mapping[str, int] | None = None) -> C
     is a hash lookup per character.
     """
     inventory = aligner_ids() if inventory is None else inventory
-    if max(inventory.values()) > 0x18FF:
-        raise ValueError("at most 6400 ids")
+    if max(inventory.values()) > 0x1FFFD:
+        raise ValueError("at most 131,070 ids")
     known = "".join(f"\\x{{{ord(s):x}}}" for s in inventory)
     clean = F.regexp_replace(col, f"[^{known}]", "")
     inner = F.substr(clean, F.lit(2), F.greatest(F.length(clean) - 3, F.lit(0)))
