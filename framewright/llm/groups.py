@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .words import tidy
 
 CHUNK_ROWS, CHUNK_WEIGHT = 1500, 1_500_000
 
@@ -107,7 +108,7 @@ def linked_members(rows: DataFrame, sizes: DataFrame, compare: Callable, level:
 
     def cluster(frame: DataFrame) -> DataFrame:
         columns = frame.select("group", "chunk", "chunks", "node", "payload", "weight", "visits")
-        return columns.repartition("group", "chunk").sortWithinPartitions("group", "chunk").mapInArrow(run, ddl)
+        return columns.repartition("group", "chunk").sortWithinPartitions("group", "chunk").mapInArrow(tidy(run), ddl)
 
     made = materialize(cluster(dealt.withColumn("visits", F.lit(False))), "group-links")
     links = made.filter("role = 'link'").select("a", "b")
@@ -124,13 +125,19 @@ def linked_members(rows: DataFrame, sizes: DataFrame, compare: Callable, level:
     return links.unionByName(met.filter("role = 'link'").select("a", "b")).unionByName(above)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A small table in few partitions, so that writing it takes few files."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node; root is the smallest node of its component.
 
     Alternating star contraction: neighbours move to the smallest neighbour until the
     edges stay as they are. Each round writes its edges, which cuts the lineage.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    edges = materialize(few(edges), "edges")
     seen = None
     while True:
         digest = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -140,9 +147,9 @@ def components(links: DataFrame) -> DataFrame:
         seen = digest
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written, so that the join below may split the rows of a hub with very many neighbours.
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = materialize(few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialize(large, "edges")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = materialize(few(large), "edges")
+        low = materialize(few(large.groupBy("u").agg(F.min("v").alias("m"))), "least")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.filter("u <> v").distinct(), "edges")
+        edges = materialize(few(small.filter("u <> v").distinct()), "edges")

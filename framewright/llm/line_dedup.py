@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .words import add_columns, mix64, sliced, small_batches
+from .words import add_columns, mix64, sliced, small_batches, tidy
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys of one shard, and bytes of index arrays that one pass over the documents may broadcast.
@@ -117,7 +117,7 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, id_col: str,
                 ids = rows.column(0).take(pa.array(once["doc"].to_numpy()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(once["h1"].to_numpy()), pa.array(once["h2"].to_numpy())], ["id", "h1", "h2"])
 
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("body")).mapInArrow(run, "id long, h1 long, h2 long")
+    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("body")).mapInArrow(tidy(run), "id long, h1 long, h2 long")
     return lines.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n_docs"), F.max("id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
 
 

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .groups import components, linked_members
-from .words import Words, add_columns, mix64, windows
+from .groups import components, few, linked_members
+from .words import Words, add_columns, mix64, tidy, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 20 bands of 4: a pair of similarity 0.8 misses all bands once in 36,000 pairs.
@@ -173,7 +173,7 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
             at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), batch.column(0).take(at)], ["group", "node"])
 
-    keyed = nodes.select("node", "signature").mapInArrow(bands, "group long, node binary")
+    keyed = nodes.select("node", "signature").mapInArrow(tidy(bands), "group long, node binary")
     shared = keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = keyed.join(shared.select("group"), "group").join(nodes.select("node", F.col("signature").alias("payload")), "node")
     return linked_members(members.withColumn("weight", F.lit(1).cast("long")), shared.withColumn("total", F.col("n")), _by_signature)
@@ -182,7 +182,7 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
 def exact_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str, text: str) -> DataFrame:
     """Links of similarity SIMILARITY or more inside the candidate components."""
     # One text for each node: that of its least id, or of any row if it has no id.
-    wanted = materialize(nodes.join(roots, "node").select("node", F.xxhash64("root").alias("group"), "id", "weight"), "candidates")
+    wanted = materialize(few(nodes.join(roots, "node").select("node", F.xxhash64("root").alias("group"), "id", "weight")), "candidates")
     sizes = wanted.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"))
 
     def make():
@@ -213,12 +213,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     # Copies meet here, map-side first; nothing below sees more than one row per node.
     nodes = materialize(sketched.filter("node is not null").groupBy("node").agg(
         F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("signature").alias("signature")), "nodes")
-    roots = materialize(components(candidate_links(nodes)), "candidate-roots")
+    roots = materialize(few(components(candidate_links(nodes))), "candidate-roots")
     classes = components(exact_links(docs, nodes, roots, id_col, text))
     # A node without links is its own component.
     named = nodes.select("node", F.col("id").alias("least")).join(classes, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     # Written, so that the join below may split the rows of a node with very many copies.
-    final = materialize(named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id"), "classes")
+    final = named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")
+    final = materialize(few(final), "classes")
     out = sketched.select("id", "node").join(final, "node", "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).cast(kind).alias("class_id"))
 
@@ -230,8 +231,8 @@ def keep_first_of_class(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     class has no id at all, one of each text stays.
     """
     classes = near_duplicate_classes(docs, id_col, text)
-    first = materialize(
-        classes.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(F.col(id_col).alias("first_id")).agg(F.count(F.lit(1)).alias("n")), "first-ids")
+    first = classes.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(F.col(id_col).alias("first_id")).agg(F.count(F.lit(1)).alias("n"))
+    first = materialize(few(first), "first-ids")
     kept = docs.join(first, docs[id_col].eqNullSafe(first["first_id"]), "left_semi")
     if first.filter("n > 1").isEmpty():  # no rows share an id
         return kept

@@ -152,7 +152,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         }
         if with_ids:
             made["ids"] = pa.array([c.astype(np.int32) for c in cuts], pa.list_(pa.int32()))
-        return pa.table(made)
+        packed = pa.table(made)
+        del rows, ids, cuts, pieces
+        pa.default_memory_pool().release_unused()
+        return packed
 
     fields = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     return dealt.groupBy("shard").applyInArrow(run, fields).withColumnRenamed("id", id_col)

@@ -118,9 +118,13 @@ def train(docs: DataFrame, labels: DataFrame, trains: Column, label: str = "qual
                 bounds = np.searchsorted(unique >> (BITS + 1), np.arange(part.num_rows + 1))
                 for i in range(part.num_rows):
                     own = slice(bounds[i], bounds[i + 1])
-                    features.append((np.append(unique[own] & ((1 << BITS) - 1), 1 << BITS), np.append(count[own] * (SCALE / max(1, many[i])), 1.0)))
+                    own_at = np.append(unique[own] & ((1 << BITS) - 1), 1 << BITS).astype(np.int32)
+                    features.append((own_at, np.append(count[own] * (SCALE / max(1, many[i])), 1.0).astype(np.float32)))
         w = leader_updates(features, rows.column("y").to_numpy())
-        return pa.table({"n": pa.array([len(features)], pa.int64()), "w": [w.astype("<f4").tobytes()]})
+        made = pa.table({"n": pa.array([len(features)], pa.int64()), "w": [w.astype("<f4").tobytes()]})
+        del rows, features
+        pa.default_memory_pool().release_unused()
+        return made
 
     fitted = dealt.groupBy("shard").applyInArrow(_whole(fit), "n long, w binary").collect()
     if not fitted:

@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from ..operators.scans import number_rows
 from ..session import materialize
-from .words import Words, add_columns, mix64, sliced, small_batches
+from .groups import few
+from .words import Words, add_columns, mix64, sliced, small_batches, tidy
 
 LENGTH, GRAM = 100, 24
 #: Bytes of one block (or of the pieces of one anchor, up to the second bound), windows
@@ -183,7 +184,7 @@ def _ordered(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     shared = source.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null")
     if shared.isEmpty():
         return source.withColumn("dk", F.col("id").cast("long"))
-    return released(number_rows(source, [F.col("id").asc_nulls_first(), F.col("body").asc_nulls_first()], out="dk"), "ordered-texts")
+    return released(number_rows(source, ["id", "body"], out="dk"), "ordered-texts")
 
 
 def _anchors(texts: DataFrame) -> DataFrame:
@@ -193,7 +194,7 @@ def _anchors(texts: DataFrame) -> DataFrame:
             for _, data, offsets in sliced(batch, "body", SLICE):
                 yield pa.RecordBatch.from_arrays([pa.array(pieces.anchors(data, offsets).view(np.int64))], ["anchor"])
 
-    return texts.select("body").mapInArrow(run, "anchor long")
+    return texts.select("body").mapInArrow(tidy(run), "anchor long")
 
 
 def _pieces(texts: DataFrame) -> DataFrame:
@@ -211,7 +212,7 @@ def _pieces(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(h.view(np.int64)), rows.column(0).take(pa.array(doc)), pa.array(place)],
                                                  ["anchor", "h", "dk", "place"])
 
-    return texts.select("dk", "body").mapInArrow(run, "anchor long, h long, dk long, place long")
+    return texts.select("dk", "body").mapInArrow(tidy(run), "anchor long, h long, dk long, place long")
 
 
 def _batches(columns: dict) -> list[pa.RecordBatch]:
@@ -253,7 +254,7 @@ def _cut_out(texts: DataFrame, firsts: DataFrame) -> DataFrame:
                     "key": h1.view(np.int64), "key2": h2.view(np.int64), "dk": dk[each], "start": start[each] + nth, "windows": np.ones(len(each), np.int64),
                     "again": again, "piece": pa.nulls(len(each), pa.binary())})
 
-    return joined.mapInArrow(run, "key long, key2 long, dk long, start long, windows long, again boolean, piece binary")
+    return joined.mapInArrow(tidy(run), "key long, key2 long, dk long, start long, windows long, again boolean, piece binary")
 
 
 def _block_repeats(pieces: DataFrame) -> DataFrame:
@@ -294,7 +295,7 @@ def _block_repeats(pieces: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, "dk long, start long, windows long")
+    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "dk long, start long, windows long")
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -308,8 +309,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     judged = released(found.join(least, ["anchor", "h"]).withColumn("first", (F.col("dk") == F.col("least")) & ~again).drop("least", "h"), "judged-pieces")
     later = judged.filter(~F.col("first")).select("dk", start.alias("start"), windows.alias("windows"))
     firsts = judged.filter("first").select("anchor", "dk", "place")
-    hot = released(firsts.groupBy("anchor").agg(F.sum(windows + F.lit(LENGTH)).alias("bytes")).filter(F.col("bytes") > ANCHOR_BYTES).select(
-        "anchor", F.lit(True).alias("is_hot")), "hot-anchors")
+    hot = firsts.groupBy("anchor").agg(F.sum(windows + F.lit(LENGTH)).alias("bytes")).filter(F.col("bytes") > ANCHOR_BYTES)
+    hot = released(few(hot.select("anchor", F.lit(True).alias("is_hot"))), "hot-anchors")
     marked = firsts.join(hot, "anchor", "left").select("anchor", "dk", "place", F.coalesce("is_hot", F.lit(False)).alias("hot"))
     cut = released(_cut_out(texts, marked), "cut-pieces")
     in_blocks = _block_repeats(cut.filter("piece is not null").select("key", "dk", "start", "windows", "piece"))

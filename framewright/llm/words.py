@@ -116,6 +116,22 @@ def windows(values: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np
     return first, total
 
 
+def tidy(run: Callable) -> Callable:
+    """The same ``mapInArrow`` function, which gives Arrow's unused memory back after each batch.
+
+    A worker process outlives its task; without this it keeps the memory of its
+    largest batch while the next stage's workers already run.
+    """
+
+    def tidied(batches):
+        for made in run(batches):
+            yield made
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches, unless its owner has set a bound."""
     for name, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
@@ -149,4 +165,4 @@ def add_columns(docs: DataFrame, make: Callable[[], Callable], fields: str, text
                     arrays.append(value if isinstance(value, pa.Array) else pa.array(value, field.type))
                 yield pa.RecordBatch.from_arrays(arrays, [*names, *want.names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
