@@ -154,7 +154,7 @@ def _features_sql() -> str:
 
     marks = "".join(Y.SETTING_MARKS) + "".join(Y.TINTING_MARKS)
     sym, mark, all_ = chars(Y.SYMBOLS + " "), chars(marks), chars(Y.SYMBOLS + " " + marks + Y.STRESS)
-    return f"""WITH p AS (SELECT doc_id, {_phones_sql(True)} AS t FROM documents),
+    return f"""{_CONTOURS}, p AS (SELECT doc_id, {_phones_sql(True)} AS t FROM documents, contours),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[^{all_}]', '', 'g'), '{Y.STRESS}([{mark}]+)', '\\1{Y.STRESS}', 'g') AS t FROM p),
 k AS (SELECT doc_id, regexp_extract_all(t, '{Y.STRESS}*[{sym}](?:{Y.STRESS}*[{mark}])*') AS parts FROM c),
 u AS (SELECT doc_id, i - 1 AS pos, parts[i] AS part FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM k)),
