@@ -192,12 +192,14 @@ def admix_default_gate(spark, sf):
     return out.select("utt_id", "frame", "from_syn", *digest(F.col("vec")))
 
 
-@query("V8_assemble_frames", f"""WITH {B.FRAMES}, {B.VECTORS}, {B.POOL}
-SELECT a.utt_id, a.frame, {sql_digest('list_concat(a.vec, [f.f0], p.xvector)')}
-FROM va a JOIN frames f USING (utt_id, frame) JOIN pool p ON p.speaker_id = a.utt_id""")
+@query("V8_assemble_frames", f"""WITH {B.FRAMES}, {B.CODES_SQL}, {B.POOL}
+SELECT c.utt_id, c.frame, {sql_digest('list_concat([c0, c1, c2, c3]::DOUBLE[], [f.f0], p.xvector)')}
+FROM codes c JOIN frames f USING (utt_id, frame) JOIN pool p ON p.speaker_id = c.utt_id""")
 def assemble(spark, sf):
+    """Every frame of every recording; the codes of a frame stand for its vector."""
     speaker = B.pool(spark, sf).select(F.col("speaker_id").alias("utt_id"), "xvector")
-    out = M.assemble_frames(B.vectors(spark, sf), B.frames(spark, sf), speaker)
+    vecs = B.codes(spark, sf).select("utt_id", "frame", F.transform("codes", lambda c: c.cast("double")).alias("vec"))
+    out = M.assemble_frames(vecs, B.frames(spark, sf), speaker)
     return out.select("utt_id", "frame", *digest(F.col("input")))
 
 
