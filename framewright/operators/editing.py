@@ -318,17 +318,20 @@ def apply_splices(
     clusters = placed.groupBy("utt_id", "cluster", "f0", "f1").agg(F.reverse(F.array_sort(F.collect_list(
         F.struct("rank", "s", "e", F.col("_r").alias("n"))))).alias("_ops"))
     clusters = clusters.select("utt_id", "cluster", "f0", "f1", (_new_length(k) - (F.col("f1") - F.col("f0"))).alias("_grow"))
-    clusters = running_sum(clusters, "utt_id", F.col("_grow"), "_shift", pos="cluster", inclusive=False, block=block)
-
+    clusters = materialize(
+        running_sum(clusters, "utt_id", F.col("_grow"), "_shift", pos="cluster", inclusive=False, block=block), "splice-shifts")
+
+    # The frames between two clusters all move by what the clusters before them grew,
+    # so clusters and gaps are one small table of ranges that the frames meet once.
+    following = with_lag_lead(clusters, "utt_id", lead={"_next": "f0"}, pos="cluster", block=block).join(lengths, "utt_id")
+    gaps = following.select(
+        "utt_id", F.lit(None).cast("bigint").alias("cluster"), F.col("f1").alias("f0"), F.coalesce("_next", "_n").alias("f1"),
+        (F.col("_shift") + F.col("_grow")).alias("_move"))
+    ranges = clusters.select("utt_id", "cluster", "f0", "f1", F.lit(None).cast("bigint").alias("_move")).unionByName(gaps)
     frames = base.select("utt_id", "frame", F.col("f0").alias("_f0"), "vec")
-    ranged = frames_in_ranges(frames, clusters.select("utt_id", "cluster", "f0", "f1"), how="left")
-
-    # Frames outside every cluster move by what the clusters before them grew.
-    steps = clusters.groupBy("utt_id", F.col("f1").alias("frame")).agg(F.sum("_grow").alias("_step"))
-    moved = running_sum(
-        ranged.join(steps, ["utt_id", "frame"], "left"), "utt_id", F.coalesce("_step", F.lit(0)), "_move", block=block)
-    outside = moved.filter("cluster is null").select(
-        "utt_id", (F.col("frame") + F.col("_move")).alias("frame"), F.col("_f0").alias("f0"), "vec")
+    ranged = frames_in_ranges(frames, materialize(ranges, "splice-ranges"), how="left")
+    outside = ranged.filter("cluster is null").select(
+        "utt_id", (F.col("frame") + F.coalesce("_move", F.lit(0))).alias("frame"), F.col("_f0").alias("f0"), "vec")
 
     def rows(df, kind, frame, f0, vec, s, e, rank):
         return df.select("utt_id", "cluster", F.lit(kind).alias("kind"), frame.cast("bigint").alias("frame"),
