@@ -90,8 +90,12 @@ def linked_members(rows: DataFrame, sizes: DataFrame, compare: Callable, level:
                 continue
             first, similar = compare(members.column("payload").to_pylist())
             if visits.any():
-                label, others = np.arange(n), []
-                pairs = [(int(p), int(q)) for p in np.flatnonzero(visits) for q in np.flatnonzero(similar(int(p)) & ~visits)]
+                label, others, pairs = np.arange(n), [], []
+                for p in np.flatnonzero(visits):  # links that connect, not all pairs
+                    near = np.flatnonzero(similar(int(p)) & ~visits)
+                    old, at = np.unique(label[near], return_index=True)
+                    pairs += [(int(p), int(q)) for q in near[at[old != label[p]]]]
+                    label[np.isin(label, np.append(old, label[p]))] = label[p]
             else:
                 label, others = forest(n, first, similar)
                 pairs = [(i, int(r)) for i, r in enumerate(label) if r != i]
