@@ -74,8 +74,9 @@ def linked_members(rows: DataFrame, sizes: DataFrame, compare: Callable, level:
     ``compare(payloads) -> (first, similar)`` prepares a chunk: the member to start
     from and the test of one member against all. A group beyond a chunk's size is cut
     into chunks; the members that a chunk's first member does not reach visit all
-    chunks of the group, and the first members meet as a smaller group of their own,
-    so that no link is lost and no task holds a whole group.
+    chunks of the group, and the first members meet as a smaller group of their own.
+    Chunks whose first members are still apart after that meet pair by pair, so that
+    no link is lost and no task holds a whole group.
     """
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK_ROWS), F.ceil(F.col("total") / CHUNK_WEIGHT)).cast("long")
     dealt = rows.join(sizes.select("group", chunks.alias("chunks")), "group").withColumn(
@@ -126,7 +127,43 @@ def linked_members(rows: DataFrame, sizes: DataFrame, compare: Callable, level:
     firsts = wide.filter("role = 'first'").select("group", F.col("a").alias("node"), "payload", "weight")
     counted = firsts.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total")).filter("n > 1")
     above = linked_members(firsts, counted, compare, level + 1)
-    return links.unionByName(met.filter("role = 'link'").select("a", "b")).unionByName(above)
+    links = materialize(made.filter("role = 'link' and chunks > 1").select("a", "b").unionByName(
+        met.filter("role = 'link'").select("a", "b")).unionByName(above), "chunk-links")
+    near = dealt.filter("chunks > 1").join(others.select("group", F.col("a").alias("node")).distinct(), ["group", "node"], "left_anti")
+    heads = wide.filter("role = 'first'").select("group", F.col("a").alias("node"), "chunks")
+    heads = heads.withColumn("chunk", F.pmod(F.xxhash64("node", "group", F.lit(level)), F.col("chunks")))
+    return made.filter("role = 'link' and chunks = 1").select("a", "b").unionByName(links).unionByName(_bridges(near, heads, links, compare))
+
+
+def _bridges(near: DataFrame, heads: DataFrame, links: DataFrame, compare: Callable) -> DataFrame:
+    """Links between chunks whose first members (``heads``) the known links leave apart.
+
+    All ``near`` members of a chunk belong to its first one's component, so one link joins
+    a pair of chunks. Every pair of two components meets; there is nothing to repeat.
+    """
+    apart = heads.join(components(links), "node", "left").select("group", "chunk", F.coalesce("root", "node").alias("root"))
+    apart = materialize(few(apart), "chunk-roots")
+    pairs = apart.alias("v").join(apart.alias("h"), F.expr("v.group = h.group and v.root < h.root")).select(
+        "v.group", F.col("v.chunk").alias("visitor"), F.col("h.chunk").alias("host"))
+    ends = F.array(F.struct(F.col("visitor").alias("chunk"), F.lit(True).alias("visits")), F.struct(F.col("host").alias("chunk"), F.lit(False).alias("visits")))
+    pairs = pairs.select("group", F.format_string("%d-%d", "visitor", "host").alias("pair"), F.explode(ends).alias("end")).select("group", "pair", "end.*")
+    pairs = materialize(few(pairs), "chunk-pairs")
+    if pairs.isEmpty():
+        return links.limit(0)
+
+    def run(batches):
+        for members in by_group(batches, 2):
+            visits = members.column("visits").to_numpy()
+            _, similar = compare(members.column("payload").to_pylist())
+            nodes = members.column("node")
+            for p in np.flatnonzero(visits):
+                met = np.flatnonzero(similar(int(p)) & ~visits)
+                if len(met):
+                    yield pa.RecordBatch.from_pydict({"a": [nodes[int(p)].as_py()], "b": [nodes[int(met[0])].as_py()]}, pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+                    break
+
+    meeting = near.join(pairs, ["group", "chunk"]).select("group", "pair", "node", "payload", "visits")
+    return meeting.repartition("group", "pair").sortWithinPartitions("group", "pair").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def few(df: DataFrame) -> DataFrame:

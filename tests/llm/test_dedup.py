@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from framewright.llm import groups, near_dedup, packing, suffix_dedup
@@ -111,6 +112,26 @@ def test_near_duplicate_classes(spark, odd, chunk, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("bridge", [True, False])
+def test_one_bridge_joins_families_over_chunks(spark, bridge, monkeypatch):
+    """Two families of each group, joined by the link of one member near either: chunks start from different families."""
+    monkeypatch.setattr(groups, "CHUNK_ROWS", 6)
+
+    def compare(payloads):
+        at = np.array([int(p) for p in payloads])
+        value, many = np.unique(at, return_counts=True)
+        return int(np.flatnonzero(at == value[np.argmax(many)])[0]), lambda p: abs(at - at[p]) <= 2
+
+    rows = [(g, f"{g}/{k}".encode(), str(x).encode(), 1) for g in range(60) for k, x in enumerate([0] * 10 + [5] * 10 + ([2, 3] if bridge else []))]
+    members = spark.createDataFrame(rows, "group long, node binary, payload binary, weight long")
+    sizes = members.groupBy("group").agg(F.count("node").alias("n"), F.sum("weight").alias("total"))
+    got = groups.components(groups.linked_members(members, sizes, compare)).collect()
+    roots = defaultdict(set)
+    for r in got:
+        roots[bytes(r["node"]).split(b"/")[0]].add(bytes(r["root"]))
+    assert len(got) == len(rows) and Counter(map(len, roots.values())) == {1 if bridge else 2: 60}
+
+
 def test_dart_collisions_estimate_similarity():
     rng = np.random.default_rng(9)
     shared = rng.integers(0, 2**63, 600, dtype=np.uint64)
