@@ -1,7 +1,9 @@
 """Packing: each window of tokens is filled with lexical neighbours of its seed document.
 
-Documents are dealt to shards of about ``SHARD_BYTES`` of text. A shard holds a BM25
-inverted index of its documents over token ids. A seed starts a window; its best
+Documents are dealt to shards of about ``SHARD_BYTES`` of text by their content: a tree
+splits the space of their BM25 vectors along its widest direction, so that neighbours
+meet. A shard holds a BM25 inverted index of its documents over token ids, with the
+document frequencies and mean length of all documents. A seed starts a window; its best
 unused neighbours follow until the window is full. The document that reaches the end
 is cut there, and its rest seeds the next window, so that only a shard's last sequence
 is padded.
@@ -21,8 +23,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .words import add_columns, mix64, tidy
+
 WINDOW, END_ID, SHARD_BYTES = 2048, 1, 6 << 20
-QUERY_TERMS, K1, B = 24, 1.2, 0.75
+K1, B = 1.2, 0.75
+#: Coordinates of a document's vector; documents a shard that place the tree's splits (all documents are dealt by them).
+DIMS, PLACING = 64, 40
 #: Fixed value: how byte-level vocabularies of this kind split a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -49,38 +56,101 @@ def load_tokenizer(path: str):
     return kept[path]
 
 
+class Corpus:
+    """Document frequencies by token id, number and mean length of the documents that BM25 weighs by."""
+
+    def __init__(self, df: np.ndarray, n_docs: int, mean: float):
+        self.idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.mean = mean
+
+    def weights(self, terms, tf, size):
+        return self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.float32(size / self.mean)))
+
+
+class Tree:
+    """Splits of vectors into leaves of about equal bytes, each along its widest direction."""
+
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, leaves: int):
+        self.direction, self.bound, self.below, self.n = [], [], [], 0
+        todo = [(np.arange(len(vectors)), leaves, None)]
+        while todo:
+            rows, many, slot = todo.pop()
+            at = None
+            if many > 1 and len(rows) > 1:
+                x = vectors[rows].astype(np.float64)
+                x -= x.mean(axis=0)
+                direction = np.linalg.eigh(x.T @ x)[1][:, -1].astype(np.float32)
+                along = (vectors[rows] * direction).sum(axis=1)
+                order = np.argsort(along, kind="stable")
+                part = np.cumsum(sizes[rows][order])
+                share = (part / max(1, part[-1]))[:-1]
+                gap = np.diff(along[order])
+                # The widest gap near the middle: copies of a text are not parted.
+                middle = np.abs(share - 0.5) <= 0.2
+                cut = int(np.argmax(np.where(middle, gap, 0))) if gap[middle].any() else int(np.argmax(gap))
+                bound = along[order[cut]]
+                if (along > bound).any():
+                    at, left = len(self.bound), int(np.clip(round(many * share[cut]), 1, many - 1))
+                    self.direction.append(direction)
+                    self.bound.append(bound)
+                    self.below.append([0, 0])
+                    todo += [(rows[along <= bound], left, (at, 0)), (rows[along > bound], many - left, (at, 1))]
+            if at is None:
+                at = ~self.n
+                self.n += 1
+            if slot is not None:
+                self.below[slot[0]][slot[1]] = at
+        self.direction, self.bound = np.array(self.direction, np.float32).reshape(-1, vectors.shape[1]), np.array(self.bound, np.float32)
+        self.below = np.array(self.below, np.int64).reshape(-1, 2)
+
+    def leaf(self, vectors: np.ndarray) -> np.ndarray:
+        at = np.full(len(vectors), 0 if len(self.bound) else -1)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            now = at[inner]
+            at[inner] = self.below[now, ((vectors[inner] * self.direction[now]).sum(axis=1) > self.bound[now]).astype(int)]
+        return ~at
+
+
+def vectors(ids: list[np.ndarray], corpus: Corpus, signs: np.ndarray) -> np.ndarray:
+    """BM25 vectors of length one, projected to DIMS coordinates; zero without tokens."""
+    out = np.zeros((len(ids), DIMS), np.float32)
+    for i, x in enumerate(ids):
+        terms, tf = np.unique(x[:-1], return_counts=True)
+        if len(terms):
+            w = corpus.weights(terms, tf.astype(np.float32), len(x))
+            out[i] = w @ signs[terms] / max(1e-9, float(w @ w) ** 0.5)
+    return out
+
+
+def random_signs(n_terms: int) -> np.ndarray:
+    return (mix64(np.arange(n_terms * DIMS, dtype=np.uint64)) >> np.uint64(63)).astype(np.float32).reshape(-1, DIMS) * 2 - 1
+
+
 class Index:
-    """BM25 over the token ids of one shard's documents."""
+    """BM25 over the token ids of one shard's documents, weighed by ``corpus`` (these documents by default)."""
 
-    def __init__(self, ids: list[np.ndarray]):
+    def __init__(self, ids: list[np.ndarray], corpus: Corpus | None = None):
         found = [np.unique(x[:-1], return_counts=True) for x in ids]
         sizes = np.array([len(x) for x in ids], float)
-        self.own = [t for t, _ in found]
-        terms = np.concatenate(self.own).astype(np.int64)
+        self.own = [t.astype(np.int64) for t, _ in found]
+        terms = np.concatenate(self.own)
         tf = np.concatenate([c for _, c in found]).astype(np.float32)
         doc = np.repeat(np.arange(len(ids)), [len(t) for t in self.own])
-        n_terms = int(terms.max()) + 1 if len(terms) else 1
-        df = np.bincount(terms, minlength=n_terms)
-        self.idf = np.log(1 + (len(ids) - df + 0.5) / (df + 0.5)).astype(np.float32)
-        weight = self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (sizes / sizes.mean()).astype(np.float32)[doc]))
+        df = np.bincount(terms, minlength=1)
+        corpus = corpus or Corpus(df, len(ids), sizes.mean())
+        weight = corpus.weights(terms, tf, sizes[doc])
         order = np.argsort(terms.astype(np.uint32), kind="stable")
         self.doc, self.weight = doc[order], weight[order].astype(np.float32)
         self.first = np.concatenate([[0], np.cumsum(df)])
         self.used = np.zeros(len(ids), bool)
-        # A document asks with its own heaviest terms.
-        start = np.concatenate([[0], np.cumsum([len(t) for t in self.own])])
-        self.asks = []
-        for i, own in enumerate(self.own):
-            w = weight[start[i] : start[i + 1]]
-            self.asks.append(own[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]] if len(own) > QUERY_TERMS else own)
         self.next = 0
 
     def neighbours(self, seed: int):
-        """Unused documents, the best neighbour of ``seed`` first; those that share no asked term last."""
-        scores = np.zeros(len(self.used), np.float32)
-        for term in self.asks[seed]:
-            part = slice(self.first[term], self.first[term + 1])
-            scores[self.doc[part]] += self.weight[part]
+        """Unused documents, the best neighbour of ``seed`` first; those that share no term last."""
+        start = self.first[self.own[seed]]
+        many = self.first[self.own[seed] + 1] - start
+        at = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        scores = np.bincount(self.doc[at], weights=self.weight[at], minlength=len(self.used))
         scores[self.used] = 0
         while True:
             best = int(np.argmax(scores))
@@ -96,9 +166,9 @@ class Index:
         return self.next if self.next < len(self.used) else None
 
 
-def fill(ids: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
+def fill(ids: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece."""
-    index, out, sequence, offset = Index(ids), [], 0, 0
+    index, out, sequence, offset = Index(ids, corpus), [], 0, 0
 
     def place(doc: int) -> bool:
         """Lay a whole document; true if it crossed (or reached) the end of a window."""
@@ -127,22 +197,95 @@ def fill(ids: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, i
     return out
 
 
+def deal(tokens: DataFrame, shard_bytes: int) -> tuple[DataFrame, Corpus]:
+    """(id, ids, shard) by lexical content, and the statistics of all documents."""
+    n_docs, n_tokens, size = (x or 0 for x in tokens.agg(F.count(F.lit(1)), F.sum("n_tokens"), F.sum("n_bytes")).first())
+
+    def count(batches):
+        import pyarrow as pa
+
+        df = np.zeros(0, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                terms = np.unique(np.frombuffer(x, "<u4")[:-1]).astype(np.int64)
+                if len(terms):
+                    df = np.append(df, np.zeros(max(0, int(terms[-1]) + 1 - len(df)), np.int64))
+                    df[terms] += 1
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df[terms])], ["term", "n"])
+
+    # As many rows as the vocabulary at most.
+    found = tokens.select("ids").mapInArrow(tidy(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    terms = found.column("term").to_numpy()
+    df = np.zeros(int(terms.max()) + 1 if len(terms) else 1, np.int64)
+    df[terms] = found.column("n").to_numpy()
+    corpus = Corpus(df, n_docs, n_tokens / max(1, n_docs))
+    n_terms, n_shards = len(df), max(1, -(-size // shard_bytes))
+    salted = tokens.withColumn("salt", F.xxhash64("id", "ids"))
+
+    def project(batches):
+        import pyarrow as pa
+
+        signs = random_signs(n_terms)
+        for batch in batches:
+            at = vectors([np.frombuffer(x, "<u4") for x in batch.column(0).to_pylist()], corpus, signs)
+            yield pa.RecordBatch.from_arrays([pa.array([v.astype(np.float16).tobytes() for v in at], pa.binary()), batch.column(1)], ["vector", "n_bytes"])
+
+    tree = Tree(np.zeros((0, DIMS), np.float32), np.zeros(0), 1)
+    if n_shards > 1:
+        share = int(min(1.0, PLACING * n_shards / n_docs) * (1 << 20))
+        placing = salted.filter(F.pmod("salt", F.lit(1 << 20)) < share).orderBy("salt").select("ids", "n_bytes")
+        got = placing.mapInArrow(tidy(project), "vector binary, n_bytes long").toArrow()
+        at = np.frombuffer(b"".join(got.column("vector").to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
+        tree = Tree(at, got.column("n_bytes").to_numpy().astype(float), n_shards)
+
+    def leaves(batches):
+        import pyarrow as pa
+
+        signs = random_signs(n_terms)
+        for batch in batches:
+            at = tree.leaf(vectors([np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()], corpus, signs))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], [*batch.schema.names, "leaf"])
+
+    if not len(tree.bound):
+        placed = salted.withColumn("leaf", F.lit(0).cast("long"))
+    else:
+        placed = salted.select("id", "ids", "salt", "n_bytes").mapInArrow(tidy(leaves), f"id {tokens.schema['id'].dataType.simpleString()}, ids binary, salt long, n_bytes long, leaf long")
+        placed = materialize(placed, "placed")
+    # A leaf of more than two shards (very many copies of a text) is split by the salt.
+    sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.sum("n_bytes").alias("n")).collect()}
+    parts = [max(1, -(-sizes.get(leaf, 0) // (2 * shard_bytes))) for leaf in range(tree.n)]
+    first = np.concatenate([[0], np.cumsum(parts)]).tolist()
+    table = tokens.sparkSession.createDataFrame([(leaf, first[leaf], n) for leaf, n in enumerate(parts)], "leaf long, first long, parts long")
+    placed = placed.join(F.broadcast(table), "leaf")
+    return placed.select("id", "ids", (F.col("first") + F.pmod("salt", F.col("parts"))).cast("long").alias("shard")), corpus
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text",
          shard_bytes: int = SHARD_BYTES, with_ids: bool = False) -> DataFrame:
     """Pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the token ids)."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    size = source.agg(F.sum(F.octet_length("body") + F.lit(1))).first()[0] or 0
-    n_shards = max(1, -(-size // shard_bytes))
-    dealt = source.withColumn("shard", F.pmod(F.xxhash64("id", "body"), F.lit(n_shards)))
+
+    def make():
+        encode = load_tokenizer(tokenizer).encode_ordinary
+
+        def fn(rows, data, offsets):
+            raw = data.tobytes()
+            ids = [np.array([*encode(raw[a:b].decode("utf-8", "replace")), end_id], "<u4") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return {"ids": [x.tobytes() for x in ids], "n_tokens": [len(x) for x in ids], "n_bytes": np.diff(offsets) + 1}
+
+        return fn
+
+    tokens = materialize(add_columns(source, make, "ids binary, n_tokens long, n_bytes long", "body", ["id"]), "tokens")
+    dealt, corpus = deal(tokens, shard_bytes)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(key, table):
         import pyarrow as pa
 
-        rows = table.select(["id", "body"]).sort_by([("id", "ascending"), ("body", "ascending")])
-        encode = load_tokenizer(tokenizer).encode_ordinary
-        ids = [np.array([*encode(t), end_id], "<u4") for t in rows.column("body").to_pylist()]
-        pieces = np.array(fill(ids, window), np.int64).reshape(-1, 5)
+        rows = table.select(["id", "ids"]).sort_by([("id", "ascending"), ("ids", "ascending")])
+        ids = [np.frombuffer(x, "<u4") for x in rows.column("ids").to_pylist()]
+        pieces = np.array(fill(ids, window, corpus), np.int64).reshape(-1, 5)
         cuts = [ids[d][s : s + n] for d, s, n, _, _ in pieces]
         made = {
             "id": rows.column("id").take(pa.array(pieces[:, 0])), "start": pieces[:, 1], "length": pieces[:, 2],

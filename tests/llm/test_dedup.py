@@ -207,6 +207,24 @@ def test_packing_puts_neighbours_together():
     assert all(d % 8 == 3 for d in first)
 
 
+def test_packing_deals_by_content_and_weighs_by_all_documents(spark):
+    """Near copies scattered over the ids meet in a shard; document frequencies are those of the whole table."""
+    rng = np.random.default_rng(12)
+    bases = [[f"{chr(97 + b)}{x}" for x in rng.integers(0, 500, 100)] for b in range(8)]
+    rows = [(n, " ".join([*bases[n % 8], f"own {n}"])) for n in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(docs, tokenizer_path(), shard_bytes=10_000).collect()
+    check_pieces(got, rows)
+    shards = defaultdict(set)
+    for p in got:
+        shards[p["doc_id"] % 8].add(p["sequence_id"] >> 32)
+    assert len(set().union(*shards.values())) > 4 and sum(map(len, shards.values())) <= 12
+    ids = [np.array([5, 6, 1], "<u4"), np.array([5, 1], "<u4"), np.array([6, 1], "<u4")]
+    index = packing.Index(ids, packing.Corpus(np.array([0, 0, 0, 0, 0, 9000, 3]), 10_000, 3.0))
+    index.used[0] = True
+    assert next(index.neighbours(0)) == 2
+
+
 def test_pipeline_stages(spark, odd):
     docs = odd.select("doc_id", "text", "lang", "source").selectExpr("*", "length(text) as n_chars", "1 as n_words", "true as contaminated")
     for _, stage in corpus_pipeline.STAGES[:-1]:
