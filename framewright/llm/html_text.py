@@ -1,10 +1,11 @@
 """Main text of web pages by scoring the tree of their elements.
 
-Elements that are no article text by their tag, class, id or role are cut off first.
+Elements that are no article text by their tag or role are cut off first, and those with
+such a class or id unless they hold the article or most of the page (their points halve).
 Paragraphs then pass points (one, one per comma, up to three for length) to their
 parent and, thinned, to the ancestors above; a candidate's points shrink by the share
-of its text in links. The best container's enclosing article is taken, or without one
-the container and those siblings that hold a fair share of its points.
+of its text in links. The best container is taken with those siblings that hold a fair
+share of its points; up to an enclosing article or main, all but boxes of links stay.
 
 Defined cases: a null or empty page, or one without any text outside boilerplate, gives
 an empty text; unclosed and stray tags close like in browsers; character references are
@@ -30,23 +31,38 @@ SCOPE = frozenset("html body table td th ul ol dl div section article main aside
 DROPPED = frozenset(("head title script style noscript template nav footer aside form button select textarea iframe object svg canvas dialog menu audio video "
                      "math map datalist").split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: A class or id is boilerplate if all its parts are such words.
 BOILERPLATE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|"
+    r"ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|"
     r"overlay|newsletters?|subscribe|subscription|comments?|commentlist|replies|respond|disqus|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footers?|masthead|"
-    r"social|share|sharing|related|recommend(?:ed|ations?)|widgets?|toolbar|pagination|pager|login|signup|search)(?=$|[-_\s])", re.I)
-HEADER = re.compile(r"(?:^|[-_\s])(?:header|topbar)(?=$|[-_\s])", re.I)
+    r"social|share|sharing|related|recommend(?:ed|ations?)|widgets?|toolbar|pagination|pager|login|signup|search", re.I)
+HEADER = re.compile(r"header|topbar", re.I)
+PLAIN = frozenset("site page box bar block list area container top bottom".split())
+#: Never judged by name.
+TEXT = frozenset("p pre blockquote figcaption h1 h2 h3 h4 h5 h6".split())
+#: An element of this many unlinked characters and this share of the page's is kept whatever its name, where no article or main is.
+LARGE_CHARS, LARGE_SHARE = 250, 0.5
 LINK_BOX = frozenset("div section ul ol dl table".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "drop", "points", "chars", "linked")
+    __slots__ = ("tag", "up", "parts", "drop", "named", "points", "chars", "linked")
 
-    def __init__(self, tag: str, up: Node | None, drop: bool = False):
-        self.tag, self.up, self.parts, self.drop = tag, up, [], drop
+    def __init__(self, tag: str, up: Node | None, drop: bool = False, named: bool = False):
+        self.tag, self.up, self.parts, self.drop, self.named = tag, up, [], drop, named
         self.points, self.chars, self.linked = 0.0, 0, 0
 
 
+def named(names: list[str], words: re.Pattern) -> bool:
+    """Whether a name has such words as parts and no others but plain ones."""
+    for name in names:
+        parts = [x for x in re.split(r"[-_]+", name) if x and x.lower() not in PLAIN]
+        if parts and all(words.fullmatch(x) for x in parts):
+            return True
+    return False
+
+
 class Tree(HTMLParser):
     """Builds the elements; text inside dropped elements is not kept."""
 
@@ -66,15 +82,17 @@ class Tree(HTMLParser):
     def _boilerplate(self, tag: str, attrs: list) -> bool:
         if tag in DROPPED:
             return True
-        named = " ".join(v for k, v in attrs if k in ("class", "id") and v)
-        if tag == "header" or HEADER.search(named):
-            if not self._inside("article", "main"):
-                return True
-        if tag in ("html", "body", "main", "article"):
-            return False
-        return bool(BOILERPLATE.search(named)) or any(
+        if tag == "header" and not self._inside("article", "main"):
+            return True
+        return tag not in ("html", "body", "main", "article") and any(
             k == "hidden" or k == "role" and v and v.lower() in ROLES or k == "aria-hidden" and v == "true" for k, v in attrs)
 
+    def _named(self, tag: str, attrs: list) -> bool:
+        names = [x for k, v in attrs if k in ("class", "id") and v for x in v.split()]
+        if not names or tag in TEXT or tag in ("html", "body", "main", "article"):
+            return False
+        return named(names, BOILERPLATE) or named(names, HEADER) and not self._inside("article", "main")
+
     def _close(self, tags: tuple[str, ...], scope: frozenset) -> None:
         node = self.at
         while node is not None and node.tag not in tags:
@@ -94,7 +112,7 @@ class Tree(HTMLParser):
         if tag in VOID:
             self.at.parts.append(Node(tag, self.at))
             return
-        node = Node(tag, self.at, self.at.drop or self._boilerplate(tag, attrs))
+        node = Node(tag, self.at, self.at.drop or self._boilerplate(tag, attrs), self._named(tag, attrs))
         if not node.drop:
             self.at.parts.append(node)
             self.order.append(node)
@@ -174,34 +192,65 @@ def score(order: list[Node]) -> None:
                 up.points += earned * share
                 up, share = up.up, share / 2 if share == 1.0 else share * 2 / 3
     for node in order:
-        node.points *= 1 - node.linked / max(1, node.chars)
+        node.points *= (1 - node.linked / max(1, node.chars)) * (0.5 if node.named else 1)
+
+
+def prune(order: list[Node]) -> list[Node]:
+    """The nodes without those below boilerplate names; what holds an article, main or most of the text stays."""
+    if not any(node.named for node in order):
+        return order
+    score(order)
+    holds = set()
+    for node in order:
+        if node.tag in ("article", "main"):
+            up = node.up
+            while up is not None and up not in holds:
+                holds.add(up)
+                up = up.up
+    large = max(LARGE_CHARS, LARGE_SHARE * (order[0].chars - order[0].linked))
+    kept = []
+    for node in order:
+        if node.up is not None and node.up.drop:
+            node.drop = True
+        elif node.named and node not in holds and (holds or node.chars - node.linked < large):
+            node.drop = True
+            node.up.parts = [x for x in node.up.parts if x is not node]
+        if not node.drop:
+            kept.append(node)
+    return kept
 
 
 def main_text(page: str) -> str:
     tree = Tree()
     tree.feed(page)
     tree.close()
-    score(tree.order)
-    best = max(tree.order, key=lambda n: n.points)
+    order = prune(tree.order)
+    score(order)
+    best = max(order, key=lambda n: n.points)
     if best.points <= 0:
         return "\n".join(blocks(tree.root))
-    for wanted in ("article", "main"):
-        node = best
-        while node is not None and node.tag != wanted:
-            node = node.up
-        if node is not None:
-            return "\n".join(blocks(node))
-    if best.up is None:
-        return "\n".join(blocks(best))
-    kept = []
-    for part in best.up.parts:
-        if part is best:
-            kept += blocks(best)
-        elif isinstance(part, Node) and part.chars:
-            dense = part.linked / part.chars
-            paragraph = part.tag in PARAGRAPH and dense < 0.25
-            if paragraph or part.points >= max(5.0, 0.2 * best.points):
-                kept += blocks(part)
+    top = best
+    while top is not None and top.tag not in ("article", "main"):
+        top = top.up
+    kept, node, inside = blocks(best), best, top is not None
+    while node.up is not None:
+        inside = inside and node is not top
+        before, after = [], []
+        side = before
+        for part in node.up.parts:
+            if part is node:
+                side = after
+            elif isinstance(part, str):
+                if inside and part.strip():
+                    side.append(" ".join(part.split()))
+            elif part.chars:
+                dense = part.linked / part.chars
+                if dense < 0.25 and (inside or part.tag in PARAGRAPH) or part.points >= max(5.0, 0.2 * best.points):
+                    side += blocks(part)
+        kept = before + kept + after
+        if not inside:
+            break
+        node = node.up
     return "\n".join(kept)
 
 

@@ -139,6 +139,22 @@ def test_main_text(body, want):
     assert html_text.main_text(PAGE.format(body)) == want
 
 
+LINE = "A sentence, with commas, that is long enough to count as the text of a page, which it is. " * 4
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    ('<div class="content has-sidebar"><article><p>Whole, whole text.</p></article></div>', "Whole, whole text."),
+    ("<div class=sidebar><article><p>Whole, whole text.</p></article></div>", "Whole, whole text."),
+    ("<article><p>One, two.</p><section id=related-work><p>Three, four.</p></section><h2 id=search>Five</h2><p id=alerts-and-limits>Six</p></article>",
+     "One, two.\nThree, four.\nFive\nSix"),
+    (f"<div class=related><p>{LINE}</p></div>", LINE.strip()),
+    (f"<div><article><p>{LINE}</p></article><div><p>{LINE}</p><p>End.</p></div></div>", f"{LINE.strip()}\n{LINE.strip()}\nEnd."),
+    ("<article><div><p>One, two, three.</p><p>Four.</p></div><div class=site-comments><p>Away, away.</p></div><div>Tail</div></article>", "One, two, three.\nFour.\nTail"),
+])
+def test_main_text_is_not_lost_by_names(body, want):
+    assert html_text.main_text(PAGE.format(body)) == want
+
+
 def test_extract_edges(spark):
     deep = "<div>" * 3000 + "<p>deep</p>"
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain, text"), (4, "u", "<p>a</p>" * 2), (4, "u", "<p>a</p>" * 2), (5, "u", deep), (6, "u", "<p>x" * 50_000), (7, "u", "<<>&am")]
