@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hidden_markov, host_rules, html_text, language, line_dedup, near_dedup, packing, quality, suffix_dedup
+from . import (
+    decontaminate, dual_tree, exact_dedup, hidden_markov, host_rules, html_text, language, line_dedup, near_dedup, packing, quality,
+    suffix_dedup, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -212,3 +215,49 @@ def op10(spark, sf_dir):
     weights = quality.train(docs, labels, ~held_out("id", 4, 2))
     scored = quality.score(docs, weights, keep=["doc_id"])
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+_OP11 = r"""
+with terms as (
+  select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents
+), wanted as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+), sizes as (select count(*) as nd, sum(len(ws))::bigint as l from terms where len(ws) > 0),
+counts as (select r, doc_id, term, len(ws) as n, count(*) as tf from (select r, doc_id, ws, unnest(ws) as term from terms) group by all),
+weights as (select term, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)::double))::bigint as w from counts, sizes group by term, nd),
+scored as (
+  select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nd) // l)))))::bigint as score
+  from wanted join counts using (term) join weights using (term), sizes group by item_id, r, doc_id
+), ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+@query("op11_dual_tree_search", _OP11)
+def op11(spark, sf_dir):
+    return dual_tree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OP12 = r"""
+with d as (
+  select doc_id, length(coalesce(text, '')) as n_chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) as text_sha256 from documents
+)
+select doc_id, first_value(doc_id) over best as keep_id, count(*) over (partition by text_sha256) as group_size, row_number() over best = 1 as kept, text_sha256
+from d window best as (partition by text_sha256 order by n_chars desc, doc_id)
+"""
+
+
+@query("op12_exact_dedup", _OP12)
+def op12(spark, sf_dir):
+    marked = exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
+    return marked.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows, whitening.fit_whitening(rows))
