@@ -67,6 +67,51 @@ def test_repeating_a_whole_stream_keeps_one_copy(spark, tmp_path):
     assert run(spark, tmp_path, mark="other").count() == 6
 
 
+def test_state_does_not_grow_with_the_history(spark, tmp_path):
+    """50 micro-batches, each ends a recording and begins the next: what a batch reads and keeps stays the same."""
+    for n in range(50):
+        part = [(n, i, float(i)) for i in range(40, 60)] + [(n + 1, i, float(i)) for i in range(40)]
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    expected = spark.createDataFrame([(u, 60 if u else 20) for u in range(51)], "utt_id bigint, n_rows bigint")
+    sizes = []
+
+    def process(rows):
+        sizes.append(rows.count())
+        return rows
+
+    query = ST.stream_anonymize(spark, f"{tmp_path}/in", SCHEMA, f"{tmp_path}/out", f"{tmp_path}/marks", process, expected, files_per_batch=1)
+    query.awaitTermination()
+    assert len(sizes) == 50 and sorted(sizes) == [20] + [60] * 49
+    held = [(p["batchId"], p["stateOperators"][0]) for p in query.recentProgress if p["stateOperators"]]
+    # The state has one mark per finished recording, and pieces and bitmap of the one that waits.
+    assert all(state["numRowsTotal"] <= n + 1 + 4 for n, state in held)
+    assert max(state["numRowsUpdated"] for _, state in held) <= 6
+    out = spark.read.schema(SCHEMA + ", batch_id bigint").parquet(f"{tmp_path}/out/results")
+    assert out.count() == 20 + 49 * 60
+
+
+def test_late_rows_of_finished_recordings_are_ignored(spark, tmp_path):
+    rows(spark, [1, 2]).write.parquet(f"{tmp_path}/in")
+    assert run(spark, tmp_path).count() == 6
+    late = rows(spark, [1, 2]).union(spark.createDataFrame([(2, 7, 1.0), (None, 1, 1.0), (3, None, 1.0), (9, 0, 0.0), (9, 0, 5.0)], SCHEMA))
+    late.write.mode("append").parquet(f"{tmp_path}/in")
+    assert run(spark, tmp_path).count() == 6
+    spark.createDataFrame([(9, 2, 2.0), (9, 1, 1.0), (9, 0, 7.0)], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = run(spark, tmp_path).filter("utt_id = 9").collect()
+    assert len(got) == 3 and {r["f0"] for r in got if r["frame"] == 0} <= {0.0, 10.0}
+
+
+def test_arrays_and_a_recording_outside_the_manifest(spark, tmp_path):
+    schema = "utt_id bigint, frame bigint, vec array<double>, note string"
+    data = [(u, i, [float(i), None], None if i else "n") for u in (1, 42) for i in range(3)] + [(2, 0, None, None), (2, 1, [], ""), (2, 2, [1.0], "x")]
+    for n in range(3):
+        spark.createDataFrame(data[n::3], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    expected = spark.createDataFrame([(u, 3) for u in range(10)], "utt_id bigint, n_rows bigint")
+    ST.stream_anonymize(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/marks", lambda d: d, expected, files_per_batch=1).awaitTermination()
+    got = spark.read.schema(schema + ", batch_id bigint").parquet(f"{tmp_path}/out/results").drop("batch_id").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted((x for x in data if x[0] != 42), key=repr)
+
+
 def test_progress(spark, tmp_path):
     spark.range(4).select(F.col("id").alias("file"), (F.col("id") * 1.0).alias("seconds")).write.parquet(f"{tmp_path}/done")
     stream = spark.readStream.schema("file bigint, seconds double").parquet(f"{tmp_path}/done")
