@@ -125,7 +125,8 @@ def linked_members(rows: DataFrame, sizes: DataFrame, compare: Callable, level:
     hosts = dealt.filter("chunks > 1").join(wide.filter("role = 'other'").select("group").distinct(), "group", "left_semi")
     met = cluster(hosts.withColumn("visits", F.lit(False)).select(*visitors.columns).unionByName(visitors))
     firsts = wide.filter("role = 'first'").select("group", F.col("a").alias("node"), "payload", "weight")
-    counted = firsts.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total")).filter("n > 1")
+    # First members too heavy to share a chunk would not meet above either: their chunks meet in pairs at once.
+    counted = firsts.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total")).filter(f"n > 1 and total * 2 < n * {CHUNK_WEIGHT}")
     above = linked_members(firsts, counted, compare, level + 1)
     links = materialize(made.filter("role = 'link' and chunks > 1").select("a", "b").unionByName(
         met.filter("role = 'link'").select("a", "b")).unionByName(above), "chunk-links")

@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -101,7 +101,7 @@ def throw_darts(doc: np.ndarray, element: np.ndarray, n_docs: int, coordinates:
 
 
 def sketch(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, node, signature, weight) of each document; node and signature are null without words."""
+    """(id, text_key, node, signature, weight) of each document; node and signature are null without words."""
 
     def make():
         words = Words("alnum")
@@ -117,8 +117,13 @@ def sketch(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
         return fn
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text).alias("body"))
-    return add_columns(source, make, "node binary, signature binary, weight long", "body", ["id"])
+    source = docs.select(F.col(id_col).alias("id"), _text_key(text).alias("text_key"), F.col(text).alias("body"))
+    return add_columns(source, make, "node binary, signature binary, weight long", "body", ["id", "text_key"])
+
+
+def _text_key(text: str) -> Column:
+    """What tells rows apart that share an id, or have none."""
+    return F.xxhash64(F.col(text).cast("string"))
 
 
 def _by_signature(payloads: list[bytes]):
@@ -181,8 +186,8 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
 
 def exact_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str, text: str) -> DataFrame:
     """Links of similarity SIMILARITY or more inside the candidate components."""
-    # One text for each node: that of its least id, or of any row if it has no id.
-    wanted = materialize(few(nodes.join(roots, "node").select("node", F.xxhash64("root").alias("group"), "id", "weight")), "candidates")
+    # One text for each node: that of its best row.
+    wanted = materialize(few(nodes.join(roots, "node").select("node", F.xxhash64("root").alias("group"), "best.id", "best.text_key", "weight")), "candidates")
     sizes = wanted.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"))
 
     def make():
@@ -199,41 +204,55 @@ def exact_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str
 
         return fn
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text).alias("body"))
+    source = docs.select(F.col(id_col).alias("id"), _text_key(text).alias("text_key"), F.col(text).alias("body"))
     # The texts move at every size: broadcasting a small side would only pay for small inputs.
-    texts = source.join(wanted.hint("merge"), source["id"].eqNullSafe(wanted["id"])).select("group", "node", "body")
+    same = source["id"].eqNullSafe(wanted["id"]) & (source["text_key"] == wanted["text_key"])
+    texts = source.join(wanted.hint("merge"), same).select("group", "node", "body")
     rows = add_columns(texts, make, "own binary, payload binary, weight long", "body", ["group", "node"]).filter("own = node")
-    return linked_members(rows.drop("own"), sizes, _by_shingles)
+    # Rows that are repeated whole bring one text several times.
+    return linked_members(rows.drop("own").dropDuplicates(["group", "node"]), sizes, _by_shingles)
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: its id and ``class_id``, the smallest id of its class."""
-    kind = docs.schema[id_col].dataType
+def _classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, text_key, node) of every row; and of every node its class: (node, best, class_id).
+
+    ``best`` is the row that stands for the class: least id (none last), then text_key.
+    """
     sketched = materialize(sketch(docs, id_col, text), "sketches")
+    best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_key")).alias("best")
     # Copies meet here, map-side first; nothing below sees more than one row per node.
     nodes = materialize(sketched.filter("node is not null").groupBy("node").agg(
-        F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("signature").alias("signature")), "nodes")
+        best, F.first("weight").alias("weight"), F.first("signature").alias("signature")), "nodes")
     roots = materialize(few(components(candidate_links(nodes))), "candidate-roots")
     classes = components(exact_links(docs, nodes, roots, id_col, text))
     # A node without links is its own component.
-    named = nodes.select("node", F.col("id").alias("least")).join(classes, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    # Written, so that the join below may split the rows of a node with very many copies.
-    final = named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")
-    final = materialize(few(final), "classes")
+    named = nodes.select("node", "best").join(classes, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root"))
+    # Written, so that joins may split the rows of a node with very many copies.
+    final = named.join(named.groupBy("root").agg(F.min("best").alias("top")), "root").select("node", F.col("top").alias("best"), F.col("top.id").alias("class_id"))
+    return sketched.select("id", "text_key", "node"), materialize(few(final), "classes")
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: its id and ``class_id``, the smallest id of its class."""
+    kind = docs.schema[id_col].dataType
+    sketched, final = _classes(docs, id_col, text)
     out = sketched.select("id", "node").join(final, "node", "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).cast(kind).alias("class_id"))
 
 
 def keep_first_of_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the smallest id of their class, once each.
+    """One document of each class: that with the smallest id (of those without an id, any one).
 
-    Rows that share an id and a class stay once. Of documents without an id, whose
-    class has no id at all, one of each text stays.
+    The decision is the row's, not the id's: of rows that share an id, each stays or
+    goes with its own class. Documents without words stay. Rows that share id and
+    text stay once.
     """
-    classes = near_duplicate_classes(docs, id_col, text)
-    first = classes.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(F.col(id_col).alias("first_id")).agg(F.count(F.lit(1)).alias("n"))
-    first = materialize(few(first), "first-ids")
-    kept = docs.join(first, docs[id_col].eqNullSafe(first["first_id"]), "left_semi")
-    if first.filter("n > 1").isEmpty():  # no rows share an id
+    sketched, classes = _classes(docs, id_col, text)
+    first = classes.select("best.id", "best.text_key").distinct().unionByName(sketched.filter("node is null").select("id", "text_key").distinct())
+    copies = sketched.groupBy("id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    first = materialize(few(first.withColumnsRenamed({"id": "first_id", "text_key": "first_key"})), "first-rows")
+    same = docs[id_col].eqNullSafe(first["first_id"]) & (_text_key(text) == first["first_key"])
+    kept = docs.join(first, same, "left_semi")
+    if copies.filter("n > 1").isEmpty():  # no rows share id and text
         return kept
-    return kept.withColumn("_text_key", F.when(F.col(id_col).isNull(), F.xxhash64(text))).dropDuplicates([id_col, "_text_key"]).drop("_text_key")
+    return kept.withColumn("_text_key", _text_key(text)).dropDuplicates([id_col, "_text_key"]).drop("_text_key")

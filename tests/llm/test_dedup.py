@@ -152,6 +152,39 @@ def test_keep_first_of_class(odd, empty):
     assert near_dedup.keep_first_of_class(empty).count() == 0
 
 
+def test_keep_decides_by_row_where_ids_are_shared_or_missing(spark):
+    rng = np.random.default_rng(13)
+    a, b = (" ".join(f"{k}{x}" for x in rng.integers(0, 500, 80)) for k in "ab")
+    cases = [
+        ([(5, a), (5, b)], [(5, a), (5, b)]),
+        ([(3, b), (5, a), (5, b + " x")], [(3, b), (5, a)]),
+        ([(None, a), (None, b + " x"), (3, b), (None, "")], [(None, a), (3, b), (None, "")]),
+        ([(None, a), (None, a), (7, b), (7, b), (8, None), (8, None)], [(None, a), (7, b), (8, None)]),
+    ]
+    for rows, want in cases:
+        got = near_dedup.keep_first_of_class(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert Counter(tuple(r) for r in got.collect()) == Counter(want)
+
+
+def test_documents_heavier_than_a_chunk_meet_at_once(spark, monkeypatch):
+    """Near copies of ten times the bound each: linked without one level of recursion per chunk."""
+    monkeypatch.setattr(groups, "CHUNK_WEIGHT", 60)
+    levels, inner = [], groups.linked_members
+
+    def counting(rows, sizes, compare, level=0):
+        levels.append(level)
+        return inner(rows, sizes, compare, level)
+
+    monkeypatch.setattr(groups, "linked_members", counting)
+    rng, rows = np.random.default_rng(14), []
+    for g in range(3):
+        words = [f"w{x}" for x in rng.integers(0, 10_000, 600)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words[:-2], "other", "end"]))]
+    got = near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == brute_classes(rows)
+    assert max(levels) <= 2
+
+
 def test_components(spark):
     pairs = [(b"a", b"b"), (b"c", b"b"), (b"x", b"y"), (b"d", b"c"), (b"e", b"d"), (b"q", b"q")] + [(b"hub", str(i).encode()) for i in range(30)]
     got = {bytes(r["node"]): bytes(r["root"]) for r in groups.components(spark.createDataFrame(pairs, "a binary, b binary")).collect()}
