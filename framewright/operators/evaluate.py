@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from framewright.functions.text import normalize_words
 from framewright.functions.vectors import cosine
 from framewright.operators.scans import bounded_broadcast, number_rows
+from framewright.session import materialize
 
 SMALL = 64 << 20
 
@@ -75,26 +77,48 @@ def similarity_summary(pairs: DataFrame, by: Sequence[str], a: str = "a", b: str
         F.avg("_s").alias("mean_sim"), F.min("_s").alias("min_sim"), F.count(F.lit(1)).alias("n"))
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, tie: str,
-                      shares: Mapping[str, float]) -> DataFrame:
-    """Linear-interpolated percentiles per key, as {out: share}.
+def _binade(value: Column) -> Column:
+    """A coarse monotone bin of a double: sign and power of two; nan above all, as Spark orders it."""
+    power = F.least(F.greatest(F.floor(F.log2(F.abs(value))), F.lit(-1080)), F.lit(1024)) + F.lit(1100)
+    return F.when(F.isnan(value), F.lit(6000)).when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * power).cast("long")
 
-    Values are ranked across the cluster and only the neighbours of each
-    position are kept, so no group is gathered in one buffer.
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float], bins: int = 256) -> DataFrame:
+    """Linear-interpolated percentiles of the non-null values per key, as {out: share}.
+
+    Exact selection by narrowing: every wanted rank has an interval that holds its value.
+    A pass counts the interval's values by bin, map-side first, and the bin with the
+    rank gives the next interval, from its least to its greatest value. The first bins are
+    powers of two, the next ones equal parts, so a handful of passes ends with
+    intervals of one value. Values are neither sorted nor shuffled; a pass sends a row per
+    key, rank and bin.
     """
     keys = list(keys)
-    ranked = number_rows(df.select(*keys, value, tie), [value, tie], keys, out="_rank")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.join(bounded_broadcast(sizes, F.lit(128), SMALL), keys)
-    outs, keep = [], F.lit(False)
-    for name, share in shares.items():
-        at = (F.col("_n") - 1) * F.lit(float(share))
-        low, high = F.floor(at), F.ceil(at)
-        keep = keep | F.col("_rank").isin(low, high)
-        below = F.max(F.when(F.col("_rank") == low, F.col(value)))
-        above = F.max(F.when(F.col("_rank") == high, F.col(value)))
-        outs.append((below + (above - below) * F.max(at - low)).alias(name))
-    return ranked.filter(keep).groupBy(*keys).agg(*outs)
+    rows = df.select(F.struct(*keys).alias("_key"), F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    at = {name: (F.col("_n") - 1) * F.lit(float(share)) for name, share in shares.items()}
+    ranks = F.array_distinct(F.concat(*[F.array(F.floor(a), F.ceil(a)) for a in at.values()]))
+    sizes = materialize(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "sizes")
+    open_ = sizes.select("_key", F.explode(ranks).alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"))
+    found, cell = [], _binade(F.col("_v"))
+    upto = W.partitionBy("_key", "_rank").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    while True:
+        inside = rows.join(bounded_broadcast(open_, F.lit(256), SMALL), "_key").filter("_v between _lo and _hi")
+        counted = inside.groupBy("_key", "_rank", "_below", cell.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        first = F.col("_below") + F.coalesce(F.sum("_c").over(upto), F.lit(0))
+        state = counted.withColumn("_below", first).filter("_below <= _rank and _rank < _below + _c")
+        state = materialize(state.select("_key", "_rank", "_lo", "_hi", "_below"), "narrowed")
+        found.append(state.filter("_lo = _hi").select("_key", "_rank", F.col("_lo").alias("_value")))
+        open_ = state.filter("_lo < _hi")
+        if open_.isEmpty():
+            break
+        # The least value is in the first part and the greatest in the last: every pass splits.
+        cell = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).cast("long")
+    chosen = reduce(DataFrame.unionByName, found).join(sizes.select("_key", "_n"), "_key")
+    outs = []
+    for name, a in at.items():
+        low, high = (F.max(F.when(F.col("_rank") == end, F.col("_value"))) for end in (F.floor(a), F.ceil(a)))
+        outs.append((low + (high - low) * F.max(a - F.floor(a))).alias(name))
+    return chosen.groupBy("_key").agg(*outs).select("_key.*", *shares)
 
 
 def timing_table(timings: DataFrame) -> DataFrame:
@@ -114,8 +138,8 @@ def timing_table(timings: DataFrame) -> DataFrame:
     stats = warm.groupBy(*keys).agg(
         F.avg("seconds").alias("warm_mean"), F.max("seconds").alias("warm_max"),
         F.when(F.count(heard) == F.count(F.lit(1)), F.sum("seconds") / F.sum(heard)).alias("warm_rtf"))
-    ranks = exact_percentiles(warm, keys, "seconds", "row_id", {"warm_median": 0.5, "warm_p95": 0.95})
-    return counts.drop("_warm").join(stats, keys).join(ranks, keys)
+    ranks = exact_percentiles(warm, keys, "seconds", {"warm_median": 0.5, "warm_p95": 0.95})
+    return counts.drop("_warm").join(stats, keys).join(ranks, keys, "left")
 
 
 def audio_summary(timings: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framewright.session import materialize
+
 BLOCK = 65536
 _BLK, _KEY = "_blk", "_key"
 
@@ -161,51 +163,34 @@ def with_lag_lead(
     return with_neighbours(df, keys, exprs, 1 if lag else 0, 1 if lead else 0, pos, block)
 
 
-def _range_bounds(df: DataFrame, key: Column, parts: int) -> Column:
-    """About ``parts`` split points of ``key`` as one value: coarse points, and the points of each coarse range.
-
-    They come from a fixed number of rows, those with the least hashes, so the
-    same rows always give the same points and no count is needed first.
-    """
-    sample = df.select(key.alias("_key")).orderBy(F.xxhash64("_key")).limit(32 * parts)
-    points = sample.agg(F.array_sort(F.collect_list("_key")).alias("_all")).select(
-        F.expr(f"filter(_all, (x, i) -> i % greatest(size(_all) div {parts}, 1) = 0)").alias("_points"))
-    width = max(1, int(parts ** 0.5))
-    fine = f"transform(sequence(0, size(_points) div {width}), i -> slice(_points, i * {width} + 1, {width}))"
-    return points.select(F.expr(f"named_struct('coarse', filter(_points, (x, i) -> i % {width} = 0), 'fine', {fine})").alias("b")).scalar()
-
-
 def number_rows(df: DataFrame, order, keys=(), out: str = "row_no", parts: int | None = None) -> DataFrame:
     """Dense numbers from 0 in the given (unique, ascending) order, globally or per key.
 
-    Every row computes the number of its range among sampled split points, ranges
-    get offsets from a window over their counts (at most one row per range and
-    key), and rows are numbered inside their range after one shuffle. Nothing is
-    written; ``df`` is read three times and must give the same rows each time.
+    Spark ranges the rows by key and order (split points from samples of all partitions)
+    and sorts each range; a row's place in its range is its number there, plus the sizes of the
+    ranges before. Per key, the key's least number is taken off. The rows are
+    shuffled once and written once, which pins their places; what else is joined has a
+    row per range or per key. ``df`` is read twice.
     """
     keys = _cols(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in ([order] if isinstance(order, (str, Column)) else order)]
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*[F.col(k) for k in keys], *[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    width, bounds = max(1, int(parts ** 0.5)), _range_bounds(df, key, parts)
-    below = F.size(F.filter("_bounds.coarse", lambda x: x <= F.col("_at")))
-    ranged = df.withColumn("_at", key).withColumn("_bounds", bounds).withColumn("_coarse", below)
-    inside = F.size(F.filter(F.get("_bounds.fine", F.col("_coarse") - 1), lambda x: x <= F.col("_at")))
-    ranged = ranged.withColumn("_range", F.when(F.col("_coarse") == 0, 0).otherwise((F.col("_coarse") - 1) * width + inside)).drop(
-        "_coarse", "_bounds")
-    # One struct of the keys is never null itself, so null keys join, and the window and the join share a shuffle.
-    by = ["_keys"] if keys else []
-    if keys:
-        ranged = ranged.withColumn("_keys", F.struct(*[F.col(k) for k in keys]))
-    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    local = F.row_number().over(W.partitionBy(*by, "_range").orderBy("_at")) - F.lit(1)
-    return ranged.withColumn("_local", local).join(offsets, [*by, "_range"]).withColumn(
-        out, F.col("_off") + F.col("_local")).select(*[c for c in df.columns if c != out], out)
+    by = [*[F.col(k) for k in keys], *order]
+    placed = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(placed, "ranges")
+    # The id holds the range above the place (33 bits).
+    ranges = placed.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranges.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))  # one row per range
+    numbered = placed.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_range").withColumn(
+        "_no", F.col("_off") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    names = [c for c in df.columns if c != out]
+    if not keys:
+        return numbered.select(*names, F.col("_no").alias(out))
+    # One struct of the keys is never null itself, so null keys join.
+    numbered = numbered.withColumn(_KEY, F.struct(*[F.col(k) for k in keys]))
+    starts = materialize(numbered.groupBy(_KEY).agg(F.min("_no").alias("_start")), "key-starts")
+    return numbered.join(starts, _KEY).select(*names, (F.col("_no") - F.col("_start")).alias(out))
 
 
 def bounded_broadcast(df: DataFrame, size: Column, limit_bytes: int) -> DataFrame:

