@@ -120,18 +120,32 @@ def transform(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.nda
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | wide[i : i + n].astype(np.uint64)
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.ones(n, bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    rank = np.empty(n, np.uint64)
+    tied = np.arange(n)
     while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        new = np.zeros(n, np.uint64)
-        new[1:] = np.cumsum(ranked[1:] != ranked[:-1])
+        # A row's rank is the first row of its ties, so rows that stand alone are done with.
+        head = np.maximum.accumulate(np.where(new, tied, 0))
+        rank[order[tied]] = head.astype(np.uint64)
         if known >= depth:
             break
-        rank = np.empty(n, np.uint64)
-        rank[order] = new + np.uint64(1)
-        after = np.zeros(n, np.uint64)
-        after[:-known] = rank[known:]
-        key = rank << np.uint64(32) | after
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        tied, head = tied[~alone], head[~alone]
+        if not len(tied):
+            break
+        at = order[tied]
+        after = np.zeros(len(at), np.uint64)
+        inside = at + known < n
+        after[inside] = rank[at[inside] + known] + np.uint64(1)
+        key = head.astype(np.uint64) << np.uint64(32) | after
+        way = np.argsort(key)
+        order[tied], ranked = at[way], key[way]
+        new = np.ones(len(tied), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
         known *= 2
     return order, text[order - 1]
 
@@ -149,15 +163,18 @@ def separated(order: np.ndarray, bwt: np.ndarray, text: np.ndarray, length: int
     first = text[order]
     parted[1:] = first[1:] != first[:-1]
     open_rows = np.flatnonzero(~parted)
-    here, before = source[open_rows], source[open_rows - 1]
+    here, before, done = source[open_rows], source[open_rows - 1], 0
     for _ in range(1, length):
         interval = np.cumsum(parted, dtype=np.int32)
-        split = interval[here] != interval[before]
-        if not split.any():
+        split = np.take(interval, here, mode="clip") != np.take(interval, before, mode="clip")
+        many = np.count_nonzero(split)
+        if many == done:  # rows that are parted already stay in the list for a while
             break
         parted[open_rows[split]] = True
-        stay = ~split
-        open_rows, here, before = open_rows[stay], here[stay], before[stay]
+        done = many
+        if done * 8 > len(split):
+            stay = ~split
+            open_rows, here, before, done = open_rows[stay], here[stay], before[stay], 0
     return parted
 
 
