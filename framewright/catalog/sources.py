@@ -13,6 +13,7 @@ from framewright.catalog.registry import query, r6
 from framewright.operators.pool import summarize_pitch
 from framewright.plans import bindings as B
 from framewright.session import scratch_dir
+from framewright.sources import binary as N
 from framewright.sources import inputs as I
 from framewright.sources import outputs as O
 
@@ -94,6 +95,17 @@ def raw_big(spark, sf):
     return _raw(spark, sf, "big")
 
 
+@query("S4_read_matrix_ranges", f"""SELECT utt, frame, i - 1 AS col, {r6('embedding[i]::DOUBLE')} AS x FROM (
+  SELECT label::VARCHAR AS utt, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding, unnest(range(1, 65)) AS i FROM embeddings)""")
+def read_matrix_ranges(spark, sf):
+    """One big-endian file per label, read by several tasks each."""
+    folder = _folder(spark, "matrices")
+    rows = B.table(spark, sf, "embeddings").select("label", "vec_id", "embedding")
+    N.write_raw_matrices(rows, folder, "label", "vec_id", "embedding", endian="big").write.format("noop").mode("overwrite").save()
+    got = N.read_matrix_ranges(spark, folder, 64, endian="big", pattern="*.ppg", split_bytes=1 << 15)
+    return got.select("utt", "frame", F.posexplode("values").alias("col", "x")).select("utt", "frame", F.col("col").cast("bigint").alias("col"), B.r6(F.col("x")).alias("x"))
+
+
 @query("S5_read_manifests", f"""WITH {B.MANIFEST}
 SELECT 'A_' AS prefix, path, sentence, lang AS language FROM manifest WHERE doc_id % 2 = 0
 UNION ALL SELECT 'B_', path, sentence, lang FROM manifest WHERE doc_id % 2 = 1""")
@@ -199,6 +211,18 @@ def verify_checksums(spark, sf):
     return I.verify_checksums(docs.filter("path % 11 <> 3"), sums).join(sums, "path")
 
 
+@query("S14_digest_files", """SELECT source AS name, sum(strlen(text) + 1)::BIGINT AS length, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest,
+  CASE WHEN source LIKE '%1%' THEN 'mismatch' ELSE 'ok' END AS status FROM documents GROUP BY source""")
+def digest_files(spark, sf):
+    """The files of a folder are hashed in pieces and compared with a manifest that is wrong for some."""
+    folder = _folder(spark, "hashed")
+    docs = B.table(spark, sf, "documents").select("source", "doc_id", "text")
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id").write.partitionBy("source").text(folder)
+    found = N.digest_files(spark, folder, "*.txt", recursive=True).withColumn("name", F.regexp_extract("path", "source=([^/]+)/", 1))
+    sums = found.select("path", F.when(F.col("name").contains("1"), F.lit("0")).otherwise(F.col("digest")).alias("digest"))
+    return found.join(I.verify_checksums(found, sums), "path").select("name", "length", "digest", "status")
+
+
 @query("S15_write_report", """SELECT '| timing ' || user_id || ' | ' || CASE WHEN count(*) > 66 THEN 'PASS' ELSE 'WARN' END || ' | '
   || count(*) || ' rows | first=' || min(event_id) || ', last=' || max(event_id) || ' |' AS line, user_id FROM events GROUP BY user_id""")
 def write_report(spark, sf):

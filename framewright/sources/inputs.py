@@ -169,9 +169,10 @@ def digest(content: Column) -> Column:
 def verify_checksums(files: DataFrame, sums: DataFrame) -> DataFrame:
     """path, status of every manifest entry: ``ok``, ``mismatch`` or ``missing``.
 
-    ``files``: path, content. ``sums``: path, digest.
+    ``files``: path, and digest (``binary.digest_files``, for files of any size) or
+    content. ``sums``: path, digest.
     """
-    found = files.select("path", digest(F.col("content")).alias("_found"))
+    found = files.select("path", (F.col("digest") if "digest" in files.columns else digest(F.col("content"))).alias("_found"))
     status = F.when(F.col("_found").isNull(), "missing").when(
         F.col("_found") == F.col("digest"), "ok").otherwise("mismatch")
     return sums.join(found, "path", "left").select("path", status.alias("status"))
