@@ -155,7 +155,11 @@ def vectors(counts: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, corp
 
 
 def random_signs(n_terms: int) -> np.ndarray:
-    return (mix64(np.arange(n_terms * DIMS, dtype=np.uint64)) >> np.uint64(63)).astype(np.float32).reshape(-1, DIMS) * 2 - 1
+    out = np.empty(n_terms * DIMS, np.float32)
+    for first in range(0, len(out), 1 << 17):  # in pieces, so that no task holds several tables of this size
+        part = np.arange(first, min(len(out), first + (1 << 17)), dtype=np.uint64)
+        out[first : first + len(part)] = (mix64(part) >> np.uint64(63)).astype(np.float32) * 2 - 1
+    return out.reshape(-1, DIMS)
 
 
 class Index:
