@@ -65,23 +65,29 @@ def map_groups(df: DataFrame, keys, order, fn: Callable[[pd.DataFrame], pd.DataF
     keys, order = list(keys), list(order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest: list[pd.DataFrame] = []  # of the group that the last batch left open; joined once
         for batch in batches:
-            if rest is not None:
-                batch = pd.concat([rest, batch], ignore_index=True)
             if not len(batch):
                 continue
             changed = False
             for key in keys:
                 column = batch[key].to_numpy()
                 changed = changed | (column[1:] != column[:-1])
-            cuts = [0, *(int(i) + 1 for i in changed.nonzero()[0])]
-            done = [fn(batch.iloc[a:b]) for a, b in zip(cuts, cuts[1:])]
-            rest = batch.iloc[cuts[-1]:]
+            cuts = [0, *(int(i) + 1 for i in changed.nonzero()[0]), len(batch)]
+            groups = [batch.iloc[a:b] for a, b in zip(cuts, cuts[1:])]
+            done = []
+            if rest and any(rest[-1][key].iloc[-1] != batch[key].iloc[0] for key in keys):
+                done.append(fn(pd.concat(rest, ignore_index=True)))
+                rest = []
+            if len(groups) > 1:
+                done.append(fn(pd.concat([*rest, groups[0]], ignore_index=True)))
+                done += [fn(group) for group in groups[1:-1]]
+                rest = []
+            rest.append(groups[-1])
             if done:
                 yield pd.concat(done, ignore_index=True)
-        if rest is not None and len(rest):
-            yield fn(rest)
+        if rest:
+            yield fn(pd.concat(rest, ignore_index=True))
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 

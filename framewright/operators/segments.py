@@ -57,14 +57,22 @@ def _next_starts(pdf: pd.DataFrame, block: int, min_words: int, min_chars: int)
                          "seg": seg[:home], "nxt": nxt, "leave": leave, "settled": settled})
 
 
-def _visit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entry points reached when hopping from block to block, starting at segment 0."""
-    hop = dict(zip(pdf["seg"], pdf["leave"]))
-    seen, at = [], 0
-    while at in hop:
-        seen.append(at)
-        at = hop[at]
-    return pd.DataFrame({"utt_id": pdf["utt_id"].iloc[0], "entry": seen})
+def _reached(hops: DataFrame) -> DataFrame:
+    """(utt_id, entry): the doors on the way from segment 0, by pointer doubling.
+
+    ``hops``: utt_id, seg, leave of every door. In round k a hop spans 2**k doors and
+    all doors before that distance are marked; each round doubles both, so the
+    rounds grow with the logarithm of the longest way and no task holds a way.
+    """
+    reached = hops.filter("seg = 0").select("utt_id", "seg")
+    doors = hops.select("utt_id", F.col("seg").alias("leave"))
+    hop = materialize(hops.join(doors, ["utt_id", "leave"]).select("utt_id", "seg", "leave"), "hops")
+    while not hop.isEmpty():
+        further = reached.join(hop, ["utt_id", "seg"]).select("utt_id", F.col("leave").alias("seg"))
+        reached = materialize(reached.unionByName(further), "reached")
+        beyond = hop.select("utt_id", F.col("seg").alias("leave"), F.col("leave").alias("_to"))
+        hop = materialize(hop.join(beyond, ["utt_id", "leave"]).select("utt_id", "seg", F.col("_to").alias("leave")), "hops")
+    return reached.withColumnRenamed("seg", "entry")
 
 
 def _starts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -84,9 +92,10 @@ def merge_segments(segs: DataFrame, min_words: int = 30, min_chars: int = 70,
 
     ``segs``: utt_id, seg (dense from 0), start, end, text, words. Where a group
     ends depends only on where it starts, so blocks of segments are solved for
-    every possible start, a short list of hops links the blocks, and only then
-    the real groups are read off. No recording is folded in one piece. Blocks
-    with a group that outgrows the halo are solved again with twice the halo.
+    every possible start, pointer doubling over the hops between blocks finds the
+    doors that are entered, and only then the real groups are read off. No recording is
+    folded or walked in one piece. Blocks with a group that outgrows the halo are
+    solved again with twice the halo.
     """
     sizes = with_totals(
         segs.select("utt_id", "seg", F.size("words").alias("n_words"), F.length("text").alias("n_raw"),
@@ -112,10 +121,7 @@ def merge_segments(segs: DataFrame, min_words: int = 30, min_chars: int = 70,
     jumps = done
     doors = jumps.select("utt_id", F.col("leave").alias("seg")).unionByName(
         jumps.filter("seg = 0").select("utt_id", "seg")).distinct()
-    # Per recording only the doors between blocks, a few rows per block.
-    entries = map_groups(
-        doors.join(jumps.select("utt_id", "seg", "leave"), ["utt_id", "seg"]), ["utt_id"], ["seg"], _visit,
-        "utt_id bigint, entry bigint")
+    entries = _reached(materialize(doors.join(jumps.select("utt_id", "seg", "leave"), ["utt_id", "seg"]), "doors"))
     groups = map_groups(
         jumps.join(entries.withColumn("blk", F.expr(f"entry div {block}")), ["utt_id", "blk"]),
         ["utt_id", "blk"], ["seg"], _starts, "utt_id bigint, first_seg bigint, last_seg bigint")

@@ -42,6 +42,23 @@ def test_merge_matches_the_plain_loop(spark, block, halo):
         assert sorted(got[utt]) == merged([r for r in rows if r[0] == utt], 12, 40)
 
 
+def test_a_way_over_many_blocks_is_found_by_doubling(spark, monkeypatch):
+    """5,000 segments in blocks of 4 with one group of 1,000: about log2 rounds, each doubles the marked doors."""
+    rounds, inner = [], G.materialize
+
+    def counting(df, label):
+        made = inner(df, label)
+        rounds.append(label)
+        return made
+
+    monkeypatch.setattr(G, "materialize", counting)
+    words = lambda seg: [] if 2000 <= seg < 3000 else ["word"] * (1 + seg % 3)
+    rows = [(7, seg, float(seg), seg + 1.0, " ".join(words(seg)), words(seg)) for seg in range(5000)]
+    got = G.merge_segments(spark.createDataFrame(rows, SCHEMA), 6, 5, 64, 16)
+    assert sorted(tuple(r[1:]) for r in got.collect()) == merged(rows, 6, 5)
+    assert 3 <= rounds.count("reached") <= 8
+
+
 def sequence(spark, values, name="code"):
     return spark.createDataFrame([(u, i, v) for u, vs in values.items() for i, v in enumerate(vs)],
                                  f"utt_id bigint, frame bigint, {name} bigint")
