@@ -37,6 +37,12 @@ BOILERPLATE = re.compile(
     r"overlay|newsletters?|subscribe|subscription|comments?|commentlist|replies|respond|disqus|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footers?|masthead|"
     r"social|share|sharing|related|recommend(?:ed|ations?)|widgets?|toolbar|pagination|pager|login|signup|search", re.I)
 HEADER = re.compile(r"header|topbar", re.I)
+#: Reader comments, with any words before; and notices. Neither is kept for its size.
+COMMENTS = re.compile(r"comments?|commentlist|commentary|replies|respond|disqus", re.I)
+NOTICES = re.compile(r"cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|banners?|ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|promotions?", re.I)
+#: Such a word before says something about the page around.
+ABOUT = frozenset("no has have with without open closed show hide".split())
+WRAPPER, NEVER = 1, 2
 PLAIN = frozenset("site page box bar block list area container top bottom".split())
 #: Never judged by name.
 TEXT = frozenset("p pre blockquote figcaption h1 h2 h3 h4 h5 h6".split())
@@ -49,11 +55,20 @@ PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".s
 class Node:
     __slots__ = ("tag", "up", "parts", "drop", "named", "points", "chars", "linked")
 
-    def __init__(self, tag: str, up: Node | None, drop: bool = False, named: bool = False):
+    def __init__(self, tag: str, up: Node | None, drop: bool = False, named: int = 0):
         self.tag, self.up, self.parts, self.drop, self.named = tag, up, [], drop, named
         self.points, self.chars, self.linked = 0.0, 0, 0
 
 
+def about_comments(names: list[str]) -> bool:
+    """Whether a name ends in a word for reader comments (``user-comments``, but not ``has-comments``)."""
+    for name in names:
+        parts = [x.lower() for x in re.split(r"[-_]+", name) if x and x.lower() not in PLAIN]
+        if parts and COMMENTS.fullmatch(parts[-1]) and not ABOUT.intersection(parts):
+            return True
+    return False
+
+
 def named(names: list[str], words: re.Pattern) -> bool:
     """Whether a name has such words as parts and no others but plain ones."""
     for name in names:
@@ -87,11 +102,18 @@ class Tree(HTMLParser):
         return tag not in ("html", "body", "main", "article") and any(
             k == "hidden" or k == "role" and v and v.lower() in ROLES or k == "aria-hidden" and v == "true" for k, v in attrs)
 
-    def _named(self, tag: str, attrs: list) -> bool:
+    def _named(self, tag: str, attrs: list) -> int:
+        """0, WRAPPER (boilerplate unless it holds the article or most of the text) or NEVER (comments and notices)."""
         names = [x for k, v in attrs if k in ("class", "id") and v for x in v.split()]
-        if not names or tag in TEXT or tag in ("html", "body", "main", "article"):
-            return False
-        return named(names, BOILERPLATE) or named(names, HEADER) and not self._inside("article", "main")
+        if not names or tag in TEXT or tag in ("html", "body", "main"):
+            return 0
+        if about_comments(names):
+            return NEVER
+        if tag == "article":
+            return 0
+        if named(names, NOTICES):
+            return NEVER
+        return WRAPPER if named(names, BOILERPLATE) or named(names, HEADER) and not self._inside("article", "main") else 0
 
     def _close(self, tags: tuple[str, ...], scope: frozenset) -> None:
         node = self.at
@@ -196,13 +218,21 @@ def score(order: list[Node]) -> None:
 
 
 def prune(order: list[Node]) -> list[Node]:
-    """The nodes without those below boilerplate names; what holds an article, main or most of the text stays."""
+    """The nodes without those below boilerplate names.
+
+    What holds an article or main that is no comment stays. Where a page has neither,
+    a wrapper with most of the text stays, but never comments and notices.
+    """
     if not any(node.named for node in order):
         return order
     score(order)
-    holds = set()
+    comments, holds = set(), set()
+    for node in order:  # parents come first
+        if node.named == NEVER or node.up in comments:
+            comments.add(node)
     for node in order:
-        if node.tag in ("article", "main"):
+        # An article inside comments is one of them; a main is not, whatever stands around it.
+        if node.tag == "main" or node.tag == "article" and node not in comments:
             up = node.up
             while up is not None and up not in holds:
                 holds.add(up)
@@ -212,7 +242,7 @@ def prune(order: list[Node]) -> list[Node]:
     for node in order:
         if node.up is not None and node.up.drop:
             node.drop = True
-        elif node.named and node not in holds and (holds or node.chars - node.linked < large):
+        elif node.named and node not in holds and (node.named == NEVER or holds or node.chars - node.linked < large):
             node.drop = True
             node.up.parts = [x for x in node.up.parts if x is not node]
         if not node.drop:

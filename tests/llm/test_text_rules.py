@@ -162,3 +162,26 @@ def test_extract_edges(spark):
     got = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()), key=repr)
     assert got[:7] == [(1, "", 0), (2, "", 0), (3, "plain, text", 11), (4, "a\na", 3), (4, "a\na", 3), (5, "deep", 4), (6, "\n".join("x" * 50_000), 99_999)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_comments_and_notices_go_and_the_article_stays():
+    from framewright.llm.html_text import main_text
+
+    para = lambda n, k=1: f"<p>{' '.join(f'word{n}, and more text' for _ in range(6 * k))}.</p>"
+    plain = lambda *parts: "\n".join(" ".join(x.removeprefix("<p>").removesuffix("</p>").split()) for x in parts)
+    article = para("a") + para("b")
+    loud = "".join(para(f"c{n}", 4) for n in range(3))
+    for box in ('div class="comments"', 'section class="comments"', 'div class="user-comments"', 'section class="post-comments"', 'div id="comment-list"', 'ol class="commentlist"',
+                'div class="cookie-notice"', 'div id="gdpr-popup"'):
+        tag = box.split()[0]
+        got = main_text(f'<body><div id="content">{article}</div><{box}>{loud}</{tag}></body>')
+        assert got == plain(para("a"), para("b")), box
+    each = "".join(f'<article class="comment">{para(n, 4)}</article>' for n in range(3))
+    assert main_text(f'<div class="post">{article}</div><section class="comments">{each}</section>') == plain(para("a"), para("b"))
+    each = each.replace(' class="comment"', "")
+    assert main_text(f'<div class="post">{article}</div><section id="comments">{each}</section>') == plain(para("a"), para("b"))
+    # Names of wrappers drop no article, and one that only speaks of comments is no comment.
+    for name in ("has-comments", "with-sidebar", "no-comments", "sidebar", "content has-sidebar"):
+        assert main_text(f'<div class="{name}"><article>{article}</article></div>') == plain(para("a"), para("b")), name
+    assert main_text(f'<div class="sidebar">{article}{loud}</div>').startswith(plain(para("a"), para("b")))
+    assert main_text(f'<article class="post">{article}<div class="comments"><article class="comment">{para("x", 4)}</article></div></article>') == plain(para("a"), para("b"))
