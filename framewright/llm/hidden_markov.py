@@ -7,11 +7,13 @@ buckets and the end), and a class emits its tokens by their counts:
     P(token | state) = emission[state, class] * (c + 1) / (C + V + 1)
 
 with c the token's training count, C and V the count and the number of distinct known
-tokens of its class; an unknown token takes the share that is left. States start from
-Baum-Welch rounds on a bounded sample (``START_DOCS``) and are then trained by ``ROUNDS``
-passes over all training texts, whose expected counts are summed across partitions
-(texts are cut into runs of ``RUN`` tokens for these counts only). A score is the log10
-probability of the whole token sequence by the scaled forward recursion.
+tokens of its class; an unknown token takes the share that is left. The first guess
+comes from the class counts of all training texts. ``SHARES`` Baum-Welch rounds follow, each
+over another share of the texts (together all of them once), then ``ROUNDS`` rounds over
+all. Expected counts are summed across partitions; for these counts only, texts are cut
+into runs of ``RUN`` tokens. A text's first run begins in the start state, which is
+learnt from first runs alone; later runs begin in the stationary state. A score is the
+log10 probability of the whole token sequence by the scaled forward recursion.
 
 The token counts stay a distributed table. Texts are dealt to batches of about
 ``BATCH_BYTES``; each batch asks for its distinct tokens once, and gets their counts
@@ -34,7 +36,7 @@ from ..session import materialize
 from .words import Words, mix64, sliced, small_batches, text_bytes, tidy
 
 STATES, CLASSES, RUN = 6, 4096, 64
-START_DOCS, START_ROUNDS, ROUNDS = 1_500, 12, 2
+SHARES, ROUNDS = 8, 2
 BATCH_BYTES = 6 << 20
 END_HASH = 0x0E0D0E0D0E0D0E0D
 END, PAD = CLASSES, CLASSES + 1
@@ -84,9 +86,9 @@ class Model:
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit)
 
     @staticmethod
-    def uneven(classes: np.ndarray) -> Model:
+    def uneven(class_counts: np.ndarray) -> Model:
         """A first guess: sticky states whose emissions differ by a hashed factor."""
-        share = (np.bincount(classes, minlength=PAD + 1)[: PAD + 1] + 0.1).astype(float)
+        share = class_counts[: PAD + 1] + 0.1
         noise = (mix64(np.arange((PAD + 1) * STATES, dtype=np.uint64)) >> np.uint64(11)).astype(float).reshape(-1, STATES) / 2.0**53
         emit = share[:, None] * (0.25 + noise)
         emit[PAD] = 0
@@ -96,8 +98,14 @@ class Model:
         np.fill_diagonal(move, 0.9 if STATES > 1 else 1.0)
         return Model(np.full(STATES, 1 / STATES), move, emit)
 
-    def expected(self, grid: np.ndarray) -> np.ndarray:
-        """Baum-Welch counts of the runs, laid out as ``from_counts`` takes them."""
+    def stationary(self) -> np.ndarray:
+        state = self.start
+        for _ in range(100):
+            state = state @ self.move
+        return state / state.sum()
+
+    def expected(self, grid: np.ndarray, opens: np.ndarray | None = None) -> np.ndarray:
+        """Baum-Welch counts of the runs, laid out as ``from_counts`` takes them. ``opens``: which runs begin a text (all by default)."""
         n, t = grid.shape
         k = len(self.start)
         out = np.zeros((1 + k + PAD + 1, k))
@@ -106,7 +114,8 @@ class Model:
         emit, move = self.emit.astype(np.float32), self.move.astype(np.float32)
         seen = np.ascontiguousarray(emit[grid.T])
         alpha = np.empty((t + 1, n, k), np.float32)
-        alpha[0] = self.start
+        opens = np.ones(n, bool) if opens is None else opens
+        alpha[0] = np.where(opens[:, None], self.start, self.stationary())
         for i in range(t):
             a = alpha[i] @ move * seen[i]
             alpha[i + 1] = a / np.maximum(a.sum(axis=1, keepdims=True), 1e-30)
@@ -122,7 +131,7 @@ class Model:
             scale = np.maximum((alpha[i] * back).sum(axis=1, keepdims=True), 1e-30)
             moved += (alpha[i] * (real[i][:, None] / scale)).T @ below
             beta = back / np.maximum(back.sum(axis=1, keepdims=True), 1e-30) * k
-        first = alpha[0] * beta
+        first = (alpha[0] * beta)[opens]
         out[0] = (first / np.maximum(first.sum(axis=1, keepdims=True), 1e-30)).sum(axis=0)
         out[1 : 1 + k] = moved * self.move
         flat = grid.T.reshape(-1)
@@ -165,50 +174,54 @@ def _texts(docs: DataFrame, trains: Column, id_col: str, text: str) -> DataFrame
 
 def train(texts: DataFrame) -> Model:
     """Baum-Welch over the training texts (columns id, body, trains)."""
-    spark, learning = texts.sparkSession, texts.filter("trains").select("id", "body")
-    n = learning.count()
-    if not n:
-        return Model.from_counts(np.zeros((1 + STATES + PAD + 1, STATES)))
-    bound = int(min(1.0, START_DOCS / n) * (1 << 31))
-    sample = learning.filter(F.pmod(F.xxhash64("id", F.lit("start")), F.lit(1 << 31)) < bound).withColumn("group", F.lit(0))
-
-    def guess(table):
-        data, offsets = text_bytes(table.sort_by([("id", "ascending"), ("body", "ascending")]).column("body").combine_chunks())
-        h, first = token_hashes(Words("solid"), data, offsets)
-        classes = token_class(h)
-        grid, _ = runs(classes, first)
-        model = Model.uneven(classes)
-        counts = np.zeros((1 + STATES + PAD + 1, STATES))
-        for _ in range(START_ROUNDS):
-            counts = sum(model.expected(part) for part in np.array_split(grid, max(1, len(grid) // 4000)))
-            model = Model.from_counts(counts)
-        return pa.table({"counts": [counts.tobytes()]})
-
+    learning = texts.filter("trains").select("id", "body")
     shape = (1 + STATES + PAD + 1, STATES)
-    found = sample.groupBy("group").applyInArrow(guess, "counts binary").collect()
-    model = Model.from_counts(np.frombuffer(found[0]["counts"]).reshape(shape)) if found else Model.uneven(np.zeros(0, np.int64))
-    for _ in range(ROUNDS):
-        held = spark.sparkContext.broadcast((model.start, model.move, model.emit))
 
-        def count(batches, held=held):
-            words, current, total = Words("solid"), Model(*held.value), np.zeros(shape)
+    def summed(rows: DataFrame, size: tuple, work) -> np.ndarray:
+        """``work(hashes, first tokens)`` of all slices, added up by task, then by 16 tasks, then here."""
+
+        def count(batches):
+            words, total = Words("solid"), np.zeros(size)
             for batch in batches:
                 for _, data, offsets in sliced(batch, "body"):
-                    h, first = token_hashes(words, data, offsets)
-                    grid, _ = runs(token_class(h), first)
-                    for part in np.array_split(grid, max(1, len(grid) // 4000)):
-                        total += current.expected(part)
+                    total += work(*token_hashes(words, data, offsets))
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["counts"])
 
         def add(batches):
-            total = np.zeros(shape)
+            total = np.zeros(size)
             for batch in batches:
                 for raw in batch.column(0).to_pylist():
-                    total += np.frombuffer(raw).reshape(shape)
+                    total += np.frombuffer(raw).reshape(size)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["counts"])
 
-        sums = learning.mapInArrow(tidy(count), "counts binary").repartition(16).mapInArrow(add, "counts binary").collect()
-        model = Model.from_counts(sum(np.frombuffer(r["counts"]).reshape(shape) for r in sums))
+        sums = rows.mapInArrow(tidy(count), "counts binary").repartition(16).mapInArrow(add, "counts binary").collect()
+        return sum((np.frombuffer(r["counts"]).reshape(size) for r in sums), np.zeros(size))
+
+    def round_over(rows: DataFrame, model: Model) -> Model:
+        held = texts.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
+
+        def work(h, first):
+            current, total = Model(*held.value), np.zeros(shape)
+            grid, begin = runs(token_class(h), first)
+            opens = np.zeros(len(grid), bool)
+            opens[begin[:-1]] = True
+            pieces = max(1, len(grid) // 4000)
+            for part, at in zip(np.array_split(grid, pieces), np.array_split(opens, pieces), strict=True):
+                total += current.expected(part, at)
+            return total
+
+        counts = summed(rows, shape, work)
+        return Model.from_counts(counts) if counts.any() else model  # a share may have no texts
+
+    classes = summed(learning, (PAD + 1,), lambda h, first: np.bincount(token_class(h), minlength=PAD + 1))
+    if not classes.any():
+        return Model.from_counts(np.zeros(shape))
+    model = Model.uneven(classes)
+    share = F.pmod(F.xxhash64("id", F.octet_length("body"), F.lit("share")), F.lit(SHARES))
+    for number in range(SHARES):
+        model = round_over(learning.filter(share == number), model)
+    for _ in range(ROUNDS):
+        model = round_over(learning, model)
     return model
 
 

@@ -101,7 +101,9 @@ def train(docs: DataFrame, trains: Column, label: str = "lang", id_col: str = "d
     """The languages, their codewords, bit weights and classifiers. ``trains``: over a column ``id``."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(label).cast("string").alias("y"), F.col(text).cast("string").alias("body")).filter(
         "id is not null and y is not null").filter(trains)
-    found = labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy("y").collect()  # one row per language
+    # A repeated row counts once, for the bound and in the sample; rows of one id are drawn each for itself.
+    labelled = labelled.withColumn("key", F.xxhash64("id", "body"))
+    found = labelled.groupBy("y").agg(F.countDistinct("key").alias("n")).orderBy("y").collect()  # one row per language
     languages = [r["y"] for r in found]
     if not languages:
         return {"languages": []}
@@ -109,13 +111,13 @@ def train(docs: DataFrame, trains: Column, label: str = "lang", id_col: str = "d
     # Each language may fill an equal share of the bound, so that rare ones are learnt too.
     share = {r["y"]: min(1.0, max_train / len(languages) / r["n"]) for r in found}
     bound = F.element_at(F.create_map(*[F.lit(v) for y, s in share.items() for v in (y, int(s * (1 << 31)))]), F.col("y"))
-    taken = labelled.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 31)) < bound)
-    dealt = taken.withColumn("shard", F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)))
+    taken = labelled.filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 31)) < bound).dropDuplicates(["key", "y"])
+    dealt = taken.withColumn("shard", F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards)))
 
     def fit(table):
         import pyarrow as pa
 
-        table = table.select(["id", "y", "body"]).sort_by([("id", "ascending"), ("y", "ascending")])
+        table = table.select(["id", "y", "body", "key"]).sort_by([("id", "ascending"), ("key", "ascending"), ("y", "ascending")])
         grams, rows = Grams(), []
         for batch in table.combine_chunks().to_batches():
             for part, data, offsets in sliced(batch, "body"):

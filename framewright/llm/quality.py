@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .words import Words, add_columns, mix64, sliced
 
 BITS, SCALE = 18, 8.0
@@ -98,17 +99,21 @@ def leader_updates(features: list[tuple[np.ndarray, np.ndarray]], labels: np.nda
 def train(docs: DataFrame, labels: DataFrame, trains: Column, label: str = "quality", id_col: str = "doc_id", text: str = "text",
           max_train: int = MAX_TRAIN, shards: int = SHARDS) -> np.ndarray:
     """Averaged weights (the bias last). ``trains``: which ids may train, over a column ``id``."""
-    usable = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).filter("id is not null and y is not null").filter(trains)
+    usable = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).filter("id is not null and y is not null").filter(trains).distinct()
     bound = F.lit(min(1.0, max_train / max(1, usable.count())) * (1 << 31)).cast("long")
     taken = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 31)) < bound
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("body"))
     rows = texts.filter(trains).filter(taken).join(F.broadcast(usable.filter(taken)), "id")  # max_train rows of 16 bytes
-    dealt = rows.select(F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).alias("shard"), "id", "y", "body")
+    # Repeated rows count once; where many rows share an id, rows are drawn once more.
+    rows = materialize(rows.withColumn("key", F.xxhash64("id", "y", "body")).dropDuplicates(["key"]), "labelled-sample")
+    share = int(min(1.0, max_train / max(1, rows.count())) * (1 << 31))
+    rows = rows.filter(F.pmod(F.xxhash64("key", F.lit("row")), F.lit(1 << 31)) < share) if share < 1 << 31 else rows
+    dealt = rows.select(F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards)).alias("shard"), "id", "y", "body", "key")
 
     def fit(key, batches):
         import pyarrow as pa
 
-        rows = pa.Table.from_batches(batches).combine_chunks().sort_by([("id", "ascending"), ("y", "ascending")])
+        rows = pa.Table.from_batches(batches).combine_chunks().sort_by([("id", "ascending"), ("key", "ascending")])
         make, features = Features(), []
         for batch in rows.combine_chunks().to_batches():
             for part, data, offsets in sliced(batch, "body"):

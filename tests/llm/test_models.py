@@ -1,5 +1,6 @@
 """Trained operators: the quality classifier, language codes and the hidden Markov model."""
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -104,7 +105,7 @@ def test_baum_welch_counts_and_likelihood():
     classes, first = rng.integers(0, 9, 1000), np.array([0, 10, 400, 1000])
     classes[400:] += 9
     grid, start = hidden_markov.runs(classes, first)
-    model, before = hidden_markov.Model.uneven(classes), -math.inf
+    model, before = hidden_markov.Model.uneven(np.bincount(classes, minlength=hidden_markov.PAD + 1)), -math.inf
     for _ in range(5):
         counts = model.expected(grid)
         k = hidden_markov.STATES
@@ -115,6 +116,78 @@ def test_baum_welch_counts_and_likelihood():
         model, before = hidden_markov.Model.from_counts(counts), now
 
 
+def brute_counts(model, run, begin):
+    """Forward-backward over all paths of states, one by one."""
+    k, out = len(model.start), np.zeros((1 + len(model.start) + hidden_markov.PAD + 1, len(model.start)))
+    weights = {}
+    for path in itertools.product(range(k), repeat=len(run) + 1):
+        w = begin[path[0]]
+        for a, b, c in zip(path[:-1], path[1:], run, strict=True):
+            w *= model.move[a, b] * model.emit[c, b]
+        weights[path] = w
+    total = sum(weights.values())
+    for path, w in weights.items():
+        out[0, path[0]] += w / total
+        for a, b, c in zip(path[:-1], path[1:], run, strict=True):
+            out[1 + a, b] += w / total
+            out[1 + k + c, b] += w / total
+    return out
+
+
+def test_expected_counts_equal_plain_forward_backward(monkeypatch):
+    monkeypatch.setattr(hidden_markov, "STATES", 3)
+    model, rng = random_model(3), np.random.default_rng(4)
+    texts = [rng.integers(0, 7, n) for n in (2, 4, 6)]
+    grid, begin = hidden_markov.runs(np.concatenate(texts), np.array([0, 2, 6, 12]), 4)
+    opens = np.zeros(len(grid), bool)
+    opens[begin[:-1]] = True
+    assert opens.tolist() == [True, True, True, False]
+    want = np.zeros((1 + 3 + hidden_markov.PAD + 1, 3))
+    for run, first in zip(grid, opens, strict=True):
+        counts = brute_counts(model, [c for c in run if c != hidden_markov.PAD], model.start if first else model.stationary())
+        if not first:
+            counts[0] = 0
+        want += counts
+    assert np.allclose(model.expected(grid, opens), want, rtol=1e-3, atol=1e-4)
+
+
+def test_decoding_equals_a_plain_loop(spark):
+    rows = [(n, f"{'the cat and dog' if n % 3 else 'el gato y perro'} {n} {'x' * (n % 4)}", "en" if n % 3 else "es") for n in range(120)] + [(500, "123", "fr"), (501, "ciao bella", "it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, F.lit(True))
+    got = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
+    grams = language.Grams()
+    for n, text, _ in rows:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        _, at = grams.of(raw, np.array([0, len(raw)]))
+        losses = []
+        for word in model["code"]:
+            loss = 0.0
+            for b, sign in enumerate(word):
+                margin = sum(float(model["weights"][a, b]) for a in at) * language.SCALE / max(1, len(at)) + float(model["weights"][-1, b])
+                loss += math.log1p(math.exp(-margin * sign)) * model["bit_weight"][b]
+            losses.append(loss)
+        chance = [math.exp(-x) for x in losses]
+        if any(c.isalpha() for c in text):
+            assert got[n]["lang_pred"] == model["languages"][int(np.argmin(losses))] and math.isclose(got[n]["score"], max(chance) / sum(chance), rel_tol=1e-4)
+        else:
+            assert (got[n]["lang_pred"], got[n]["score"]) == ("und", 0.0)
+
+
+def test_samples_hold_where_many_rows_share_an_id(spark):
+    """Equal rows count once; different rows of one id are drawn each for itself, in or out of the sample."""
+    for hot in (1, 7, 12345):
+        equal = [(hot, "the same text in english again", "en")] * 3000
+        other = [(hot, f"text {n} in english", "en") for n in range(500)] + [(n, f"texto {n} en español", "es") for n in range(2000, 2100)]
+        docs = spark.createDataFrame(equal + other, "doc_id long, text string, lang string")
+        model = language.train(docs, F.lit(True), max_train=100)
+        assert model["languages"] == ["en", "es"]
+        assert [r["lang_pred"] for r in language.predict(docs.limit(1), model).collect()] == ["en"]
+        labels = spark.createDataFrame([(hot, 1), (hot, 1)] + [(n, 0) for n in range(2000, 2100)], "doc_id long, quality int")
+        weights = quality.train(docs, labels, F.lit(True), max_train=150)
+        assert np.isfinite(weights).all() and np.abs(weights).sum() > 0
+
+
 def test_hidden_markov_edges(spark, odd, empty):
     got = hidden_markov.score_texts(odd, F.col("id") % 3 != 0).collect()
     texts = {r["doc_id"]: r["text"] for r in odd.collect()}
