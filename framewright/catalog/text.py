@@ -22,9 +22,13 @@ def sql_replace(expr: str, table) -> str:
     return expr
 
 
+#: The blanks of Unicode, written out for the other engine.
+WIDE = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def sql_collapse(expr: str) -> str:
     return (rf"regexp_replace(regexp_replace(regexp_replace({expr}, '~+', '~', 'g'), "
-            rf"'[ \t\n\r\x0b\x0c]+', ' ', 'g'), '\.+', '.', 'g')")
+            rf"'[{WIDE}]+', ' ', 'g'), '\.+', '.', 'g')")
 
 
 @query("T1_normalize_words", """SELECT doc_id, array_to_string(list_filter(string_split(
@@ -48,6 +52,18 @@ def mark_pauses(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", Y.mark_pauses(F.col("text")).alias("marked"))
 
 
+_BLANKED = [(". ", "。\u3000\u3000"), (", ", "，\u00a0 "), (" th", "\u2003\u2009th"), (" on", "\u202f\x1d\u205fon")]
+
+
+@query("T3_mark_pauses_wide_blanks", f"SELECT doc_id, {sql_collapse(sql_replace(sql_replace('text', _BLANKED), Y.PAUSE_MARKS))} AS marked FROM documents")
+def mark_pauses_wide(spark, sf):
+    """Texts whose marks stand beside wide, narrow and non-breaking blanks."""
+    col = F.col("text")
+    for old, new in _BLANKED:
+        col = F.replace(col, F.lit(old), F.lit(new))
+    return B.table(spark, sf, "documents").select("doc_id", Y.mark_pauses(col).alias("marked"))
+
+
 # Letters of the test texts stand in for phones, tones and marks.
 PHONETIC = [("th", "θ"), ("on", "ʊ˩˥˩n"), ("er", "ɚ˥˨"), ("an", "ãn͡"), ("ng", "N"), ("ti", "tʰi"),
             ("ou", "oːu"), ("re", "ˈɹe"), ("le", "ɫe˧˧˩˥"), (". ", "... "), ("st", "st - ")]

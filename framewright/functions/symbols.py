@@ -89,8 +89,12 @@ def aligner_ids() -> dict[str, int]:
     return {**ctc_ids(), **ALIGNER_MARKS}
 
 
+#: Fixed value: what counts as a blank in running text, the wide blanks beside East Asian marks included.
+BLANKS = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+
 def _collapse(col: Column) -> Column:
-    for pattern, mark in (("~+", "~"), (r"[ \t\n\r\x0b\x0c]+", " "), (r"\.+", ".")):
+    for pattern, mark in (("~+", "~"), (f"[{BLANKS}]+", " "), (r"\.+", ".")):
         col = F.regexp_replace(col, pattern, mark)
     return col
 

@@ -9,7 +9,7 @@ from framewright.functions import text as T
 from framewright.operators import corpus as C
 
 SAMPLES = ["", "Wait - what?? (yes)", 'A "quoted" text: one, two; three...', "don't re-do it", "a˥˩˥b˩˥˩˥c˧˧d˥˥˩ Nɚ g",
-           "ˈaːʰ tʃˈˑãn͡ #", "  x  ~~ y~", "naïve ‥ café，。", "˩˥˩˥˩˥˥˩"]
+           "ˈaːʰ tʃˈˑãn͡ #", "  x  ~~ y~", "a\u3000\u3000b\u00a0 c\u2003\u2009\u202f\x1c\x85d\u200be。\u3000「f」", "naïve ‥ café，。", "˩˥˩˥˩˥˥˩"]
 
 
 def values(spark, expr, samples=SAMPLES):
@@ -44,6 +44,10 @@ def test_phone_strings(spark, keep):
     assert values(spark, lambda c: Y.normalize_phones(c, keep)) == want
 
 
+def test_wide_blanks_become_one(spark):
+    assert values(spark, Y.mark_pauses, ["a\u3000\u3000b", "x\u00a0 \u2028y"]) == ["a b", "x y"]
+
+
 def test_contour_counts():
     assert len(Y.tone_contours()) == 30 + 30 + 15 + 10
     assert len(Y.FEATURES) == 64 and len(set(Y.SYMBOLS)) == len(Y.SYMBOLS)
