@@ -107,11 +107,16 @@ def anonymize(
         "f0", S.moved_pitch(F.col("f0"), F.col("_m"), F.col("_s"), F.col("mean"), F.col("std")))
     tuned = materialize(tuned.select(*voice, "frame", "f0"), "voiced-pitch")
     tuned = S.add_noise(S.smooth_voiced(tuned, 32, pitch_share, voice, block), noise, F.col("seed"), voice, block=block)
-    variants = tuned.groupBy("utt_id", "frame").agg(F.collect_list(F.struct("seed", "_g", "f0")).alias("_variants"))
+    # A frame's variants stand in the order of its recording's voices, so a setting finds its own by number.
+    variants = tuned.groupBy("utt_id", "frame").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("seed", "_g", "f0"))), lambda v: v["f0"]).alias("_variants"))
+    numbered = wanted.groupBy("utt_id").agg(F.array_sort(F.collect_set(F.struct("seed", "_g"))).alias("_voices")).select(
+        "utt_id", F.posexplode("_voices").alias("_voice", "_who")).select("utt_id", "_voice", "_who.*")
+    voiced = settings.join(numbered, voice, "left")  # none in original mode
 
     # Everything about a frame but its vectors, then one join with the streams.
-    per_utt = settings.groupBy("utt_id").agg(
-        F.collect_list(F.struct("result", "speaker_mode", "seed", "_g", "ratio")).alias("_settings"))
+    per_utt = voiced.groupBy("utt_id").agg(
+        F.collect_list(F.struct("result", "speaker_mode", "seed", "_voice", "ratio")).alias("_settings"))
     narrow = attach(f0.select("utt_id", "frame", "f0"), per_utt, "utt_id", block=block).join(
         variants, ["utt_id", "frame"], "left")
     both = orig.select("utt_id", "frame", "vec").join(
@@ -123,7 +128,7 @@ def anonymize(
     placed = both.withColumn("_rejected", reject).join(narrow, ["utt_id", "frame"]).select(
         "utt_id", "frame", "f0", "vec", "_syn", "_rejected", "_variants", F.explode("_settings").alias("_a"))
     keep = (rng.uniform(F.coalesce(F.col("_a.seed"), F.lit(0)), F.col("utt_id"), F.col("frame")) > F.col("_a.ratio")) | F.col("_rejected")
-    spoken = F.get(F.filter("_variants", lambda v: (v["seed"] == F.col("_a.seed")) & (v["_g"] == F.col("_a._g"))), 0)["f0"]
+    spoken = F.get("_variants", F.col("_a._voice"))
     frames = placed.select(
         "utt_id", F.col("_a.result").alias("result"), "frame",
         F.when(F.col("_a.speaker_mode") == "original", F.col("f0")).otherwise(spoken).alias("f0"),

@@ -61,3 +61,26 @@ def test_edit_query(spark):
         assert sorted(got[utt]) == list(range(len(x)))
         shown = np.stack([x[:, 0], x[:, 1], x[:, -1], x[:, 1:] @ np.arange(1, x.shape[1])], axis=1)
         np.testing.assert_allclose(np.array([got[utt][i] for i in range(len(x))]), shown, atol=2e-4)
+
+
+def test_many_voices_find_their_pitch_by_number(spark):
+    """500 seeds with and without a gender: every result equals that of a run with its own setting alone."""
+    from framewright.catalog.workflows import _pitch
+    from framewright.plans import workflows as X
+
+    rows = [(u, i, 0.0 if i % 5 == 0 else 90.0 + 3 * i + u, [float(i), u + 0.5], [-float(i), u + 1.5]) for u in (1, 2) for i in range(12)]
+    all_ = spark.createDataFrame(rows, "utt_id bigint, frame bigint, f0 double, orig array<double>, syn array<double>")
+    streams = [all_.select("utt_id", "frame", F.col(c).alias("vec")) for c in ("orig", "syn")]
+    utts = spark.createDataFrame([(1, "a.wav"), (2, "b.wav")], "utt_id bigint, path string")
+    pool, pitch = B.pool(spark, SF).cache(), _pitch(spark, SF).cache()
+
+    def run(seeds, gender=None):
+        grid = X.work_grid(utts, seeds, [0.4], gender, include_original=gender is None)
+        out = X.anonymize(all_.select("utt_id", "frame", "f0"), *streams, pool, pitch, grid, gate=False)[0]
+        return {(r["result"], r["frame"]): (r["f0"], tuple(r["vec"])) for r in out.collect()}
+
+    many = run(list(range(1000, 1500)))
+    assert len(many) == 2 * 12 * 501
+    for seed in (1000, 1234, 1499):
+        alone = run([seed])
+        assert len(alone) == 2 * 12 * 2 and all(many[key] == value for key, value in alone.items())
