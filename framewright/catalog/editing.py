@@ -242,6 +242,37 @@ def tag_entities(spark, sf):
         terms.withColumn("label", F.lit("TERM")))
 
 
+# Phrases of two and three words of the conversations themselves, and single words that overlap them.
+@query("E11_tag_phrases", rf"""WITH RECURSIVE {_W.removeprefix('WITH ')},
+n AS (SELECT utt_id, word_idx, word, regexp_replace(lower(word), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS t FROM words),
+g AS (SELECT a.utt_id, a.word_idx AS first, a.word_idx + k - 1 AS last,
+        CASE k WHEN 1 THEN a.t WHEN 2 THEN a.t || ' ' || b.t ELSE a.t || ' ' || b.t || ' ' || c.t END AS gram, k
+      FROM n a CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) LEFT JOIN n b ON b.utt_id = a.utt_id AND b.word_idx = a.word_idx + 1
+        LEFT JOIN n c ON c.utt_id = a.utt_id AND c.word_idx = a.word_idx + 2),
+terms AS (SELECT DISTINCT gram, k, 'P' || k AS label FROM g WHERE gram IS NOT NULL AND len(string_split(gram, ' ')) = k
+      AND NOT list_contains(string_split(gram, ' '), '') AND ((k = 2 AND first % 11 = 0) OR (k = 3 AND first % 17 = 0) OR (k = 1 AND first % 37 = 5))),
+m AS (SELECT utt_id, first, last, label FROM g JOIN terms USING (gram, k)),
+best AS (SELECT utt_id, first, max(last) AS last FROM m GROUP BY utt_id, first),
+pick AS (
+  SELECT utt_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY first) AS r FROM best) WHERE r = 1
+  UNION ALL SELECT utt_id, first, last FROM (
+    SELECT b.*, row_number() OVER (PARTITION BY b.utt_id ORDER BY b.first) AS r FROM pick p JOIN best b ON b.utt_id = p.utt_id AND b.first > p.last) WHERE r = 1)
+SELECT DISTINCT w.utt_id, w.word_idx, w.word, m.label FROM pick JOIN m USING (utt_id, first, last)
+JOIN words w ON w.utt_id = pick.utt_id AND w.word_idx BETWEEN pick.first AND pick.last""")
+def tag_phrases(spark, sf):
+    words = B.words(spark, sf)
+    clean = F.regexp_replace(F.lower("word"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    at = words.select("utt_id", "word_idx", clean.alias("t"))
+    parts = at.groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "t"))).alias("ws")).select(F.col("ws.t").alias("ts"))
+    terms = None
+    for k, every, rest in ((2, 11, 0), (3, 17, 0), (1, 37, 5)):
+        starts = f"filter(sequence(0, size(ts) - {k}), i -> i % {every} = {rest})"
+        grams = parts.filter(F.size("ts") >= k).select(F.explode(F.expr(f"transform({starts}, i -> slice(ts, i + 1, {k}))")).alias("p"))
+        grams = grams.filter("not array_contains(p, '')").select(F.array_join("p", " ").alias("term"), F.lit(f"P{k}").alias("label")).distinct()
+        terms = grams if terms is None else terms.unionByName(grams)
+    return E.tag_entities(words, dictionary=terms)
+
+
 @query("T11_context_strings", f"""{_W}, {_GROUPS},
 c AS (SELECT g.utt_id, g.group_no, string_agg(w.word, ' ' ORDER BY w.word_idx) FILTER (w.word_idx < g.first) AS pre,
              string_agg(w.word, ' ' ORDER BY w.word_idx) FILTER (w.word_idx > g.last) AS suf

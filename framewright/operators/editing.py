@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators.hooks import map_groups
 from framewright.operators.scans import (
-    BLOCK, attach, bounded_broadcast, number_rows, running_max, running_sum, with_lag_lead)
+    BLOCK, attach, bounded_broadcast, number_rows, running_max, running_sum, scan, with_lag_lead, with_neighbours)
 from framewright.operators.segments import FPS, cut_at_eos, frames_in_ranges
 from framewright.session import materialize
 
@@ -117,9 +117,11 @@ def tag_entities(words: DataFrame, patterns: Sequence[tuple[str, str]] = (),
                  limit_bytes: int = DICTIONARY_LIMIT) -> DataFrame:
     """Word indices with a label, by regular expressions (label, pattern) and a dictionary (term, label).
 
-    Dictionary terms match the lower-cased word without outer punctuation. A
-    dictionary above the limit is first cut down to the terms that occur; the
-    distinct words are found map-side, so a frequent word is one row there.
+    A dictionary term is one word or several with blanks between them. It matches
+    neighbouring lower-cased words without outer punctuation. Of matches that overlap
+    the leftmost counts, of those from one word the longest; all labels of a span that
+    counts are given to each of its words. A dictionary above the limit is first cut
+    down to the terms that occur, found map-side.
     """
     keys = _keys(keys)
     rows = words.select(*keys, "word_idx", "word")
@@ -130,16 +132,64 @@ def tag_entities(words: DataFrame, patterns: Sequence[tuple[str, str]] = (),
         found = rows.select(*keys, "word_idx", "word", F.explode(hits).alias("label"))
     if dictionary is not None:
         term = F.regexp_replace(F.lower("word"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-        rows = rows.withColumn("term", term)
-        table = bounded_broadcast(dictionary, F.octet_length("term") + 64, limit_bytes)
-        if table is dictionary:
-            used = rows.select("term").distinct().join(dictionary, "term")
-            table = bounded_broadcast(used, F.octet_length("term") + 64, limit_bytes)
-        known = rows.join(table, "term").select(*keys, "word_idx", "word", "label")
+        matches = _term_matches(rows.withColumn("term", F.coalesce(term, F.lit(""))), dictionary, keys, limit_bytes)
+        inside = matches.withColumn("word_idx", F.explode(F.sequence("first", "last"))).select(*keys, "word_idx", "label")
+        known = rows.join(inside, [*keys, "word_idx"]).select(*keys, "word_idx", "word", "label")
         found = known if found is None else found.unionByName(known)
     return found.distinct()
 
 
+def _term_matches(rows: DataFrame, dictionary: DataFrame, keys: list[str], limit_bytes: int) -> DataFrame:
+    """keys, first, last, label of the dictionary terms in ``rows`` (keys, word_idx, term), leftmost and longest first."""
+    terms = dictionary.select(F.array_join(F.filter(F.split("term", r"\s+"), lambda x: x != ""), " ").alias("gram"), "label").filter("gram <> ''").distinct()
+    terms = terms.withColumn("k", F.size(F.split("gram", " ")))
+    sizes = sorted(r["k"] for r in terms.select("k").distinct().collect())  # as many as terms have lengths
+    longest = max(sizes, default=1)
+    if longest > 1:
+        # The words from here on; each length is looked up by its own gram, so a common first word pairs with nothing.
+        ahead = with_neighbours(rows, keys, {"_next": lambda w: F.collect_list(F.struct("word_idx", "term")).over(w.rowsBetween(0, longest - 1))},
+                                after=longest - 1, pos="word_idx")
+        spans = ahead.select(*keys, F.col("word_idx").alias("first"), "_next", F.explode(F.array(*[F.lit(k) for k in sizes])).alias("k"))
+        last = F.get("_next", F.col("k") - 1)["word_idx"]
+        spans = spans.filter(last == F.col("first") + F.col("k") - 1).select(
+            *keys, "first", "k", F.array_join(F.slice(F.col("_next.term"), F.lit(1), F.col("k")), " ").alias("gram"))
+    else:
+        spans = rows.select(*keys, F.col("word_idx").alias("first"), F.lit(1).alias("k"), F.col("term").alias("gram"))
+    table = bounded_broadcast(terms, F.octet_length("gram") + 64, limit_bytes)
+    if table is terms:
+        used = spans.select("k", "gram").distinct().join(terms, ["k", "gram"])
+        table = bounded_broadcast(used, F.octet_length("gram") + 64, limit_bytes)
+    matches = spans.join(table, ["k", "gram"]).select(*keys, "first", (F.col("first") + F.col("k") - 1).alias("last"), "label")
+    if longest == 1:
+        return matches
+    matches = materialize(matches, "term-matches")
+    return matches.join(_leftmost(matches.groupBy(*keys, "first").agg(F.max("last").alias("last")), keys), [*keys, "first", "last"])
+
+
+def _leftmost(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Of spans (keys, first, last; one per first) those that a walk from the left takes without overlap.
+
+    Only spans that overlap directly or through others are walked together.
+    """
+    names = [*keys, "first", "last"]
+    placed = scan(spans, keys, maxima={"_far": F.col("last")}, pos="first", inclusive=False)
+    fresh = F.when(F.col("_far").isNull() | (F.col("first") > F.col("_far")), 1).otherwise(0).cast("bigint")
+    placed = materialize(running_sum(placed, keys, fresh, "_cluster", pos="first").select(*names, "_cluster"), "term-clusters")
+    many = placed.groupBy(*keys, "_cluster").agg(F.count(F.lit(1)).alias("_n"))
+    sized = placed.join(many, [*keys, "_cluster"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, free = [], None
+        for i, (first, last) in enumerate(zip(pdf["first"], pdf["last"], strict=True)):
+            if free is None or first > free:
+                taken.append(i)
+                free = last
+        return pdf.iloc[taken][names]
+
+    walked = map_groups(sized.filter("_n > 1").select(*names, "_cluster"), [*keys, "_cluster"], ["first"], walk, placed.select(*names).schema)
+    return sized.filter("_n = 1").select(*names).unionByName(walked)
+
+
 # ---------------------------------------------------------------- crossfades and splices
 
 

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +87,30 @@ def test_dictionary_above_the_limit(spark):
     for limit in (1 << 20, 1):
         got = sorted(r["word_idx"] for r in E.tag_entities(words, dictionary=terms, limit_bytes=limit).collect())
         assert got == [0, 2, 4]
+
+
+def brute_tags(words, terms):
+    clean = lambda w: re.sub(r"^\W+|\W+$", "", w.lower())
+    known, out = {}, set()
+    for term, label in terms:
+        known.setdefault(tuple(term.split()), set()).add(label)
+    for utt in {u for u, *_ in words}:
+        own = [w for u, _, w in sorted(words) if u == utt]
+        at = 0
+        while at < len(own):
+            k = next((k for k in range(5, 0, -1) if tuple(map(clean, own[at : at + k])) in known and at + k <= len(own)), 0)
+            out |= {(utt, at + d, own[at + d], label) for d in range(k) for label in known[tuple(map(clean, own[at : at + k]))]}
+            at += k or 1
+    return out
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 1])
+def test_terms_of_several_words(spark, limit):
+    """Leftmost and longest, chains of overlaps, several labels, block edges, and a dictionary beyond the broadcast limit."""
+    rng = np.random.default_rng(2)
+    words = [(u, i, ["new", "York", "(city)", "of", "the", "Old,", "town."][rng.integers(0, 7)]) for u in range(4) for i in range(200)]
+    terms = [("new york", "PLACE"), ("new york city", "PLACE"), ("new york city", "TOWN"), ("york city of", "X"), ("city of the old town", "LONG"), ("of the", "Y"),
+             ("the old", "Z"), ("town", "ONE"), ("old", "ONE"), ("town new", "V"), ("  the   new ", "BLANKS"), ("never there", "N")]
+    df = spark.createDataFrame(words, "utt_id bigint, word_idx bigint, word string").repartition(3)
+    got = E.tag_entities(df, dictionary=spark.createDataFrame(terms, "term string, label string"), limit_bytes=limit)
+    assert {tuple(r) for r in got.collect()} == brute_tags(words, [(" ".join(t.split()), x) for t, x in terms])
