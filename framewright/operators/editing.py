@@ -71,20 +71,25 @@ def pair_replacements(groups: DataFrame, texts: DataFrame, keys="utt_id") -> Dat
 def context_strings(words: DataFrame, groups: DataFrame, keys="utt_id") -> DataFrame:
     """Text before and after each group.
 
-    Every result holds the whole transcript around its group, so the words of
-    one recording fit a row by definition and are gathered once per recording.
+    The transcript is one string per recording, and every word knows its place in
+    it, so a context is one cut: nothing is joined word by word for each group. A
+    result holds the text around its group by definition. A group beyond the words has all
+    of them before it.
     """
     keys = _keys(keys)
-    texts = words.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]).alias("_all"))
-    rows = groups.join(texts, keys)
-    before = F.array_join(F.slice("_all", F.lit(1), F.col("first").cast("int")), " ")
-    n_after = F.greatest(F.size("_all") - F.col("last").cast("int") - 1, F.lit(0))
-    after = F.array_join(F.slice("_all", (F.col("last") + 2).cast("int"), n_after), " ")
-    return rows.select(
-        *groups.columns,
-        F.when(before != "", F.concat(before, F.lit(" "))).otherwise("").alias("prefix"),
-        F.when(after != "", F.concat(F.lit(" "), after)).otherwise("").alias("suffix"))
+    size = F.coalesce(F.length("word") + 1, F.lit(0)).cast("bigint")  # a missing word leaves no blank
+    placed = running_sum(words.select(*keys, "word_idx", "word"), keys, size, "_end", pos="word_idx")
+    head = placed.select(*keys, F.col("word_idx").alias("first"), (F.col("_end") - size).alias("_start"))
+    tail = placed.select(*keys, F.col("word_idx").alias("last"), "_end")
+    texts = words.groupBy(*keys).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ").alias("_text"))
+    rows = groups.join(head, [*keys, "first"], "left").join(tail, [*keys, "last"], "left").join(texts, keys)
+    whole = F.length("_text")
+    before = F.substring(F.concat("_text", F.lit(" ")), F.lit(1), F.coalesce("_start", F.when(whole > 0, whole + 1).otherwise(0)).cast("int"))
+    after = F.substring("_text", F.coalesce("_end", whole + 1).cast("int"), whole)
+    # An end of 0 means that no word stands before or in the group: all text follows.
+    after = F.when(F.col("_end") > 0, after).when(F.col("_end").isNull() | (whole == 0), "").otherwise(F.concat(F.lit(" "), F.col("_text")))
+    return rows.select(*groups.columns, before.alias("prefix"), after.alias("suffix"))
 
 
 def edit_transcript(words: DataFrame, spans: DataFrame, keys="utt_id") -> DataFrame:

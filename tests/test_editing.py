@@ -114,3 +114,11 @@ def test_terms_of_several_words(spark, limit):
     df = spark.createDataFrame(words, "utt_id bigint, word_idx bigint, word string").repartition(3)
     got = E.tag_entities(df, dictionary=spark.createDataFrame(terms, "term string, label string"), limit_bytes=limit)
     assert {tuple(r) for r in got.collect()} == brute_tags(words, [(" ".join(t.split()), x) for t, x in terms])
+
+
+def test_contexts_are_cut_from_one_text(spark):
+    words = spark.createDataFrame([(0, i, w) for i, w in enumerate(["a", "bc", "", None, "déf", "g"])] + [(1, 0, "x")], "utt_id bigint, word_idx bigint, word string")
+    groups = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 1, 2), (0, 2, 3, 3), (0, 3, 4, 5), (0, 4, 0, 5), (0, 5, 9, 9), (1, 0, 0, 0)], "utt_id bigint, group_no bigint, first bigint, last bigint")
+    got = {(r["utt_id"], r["group_no"]): (r["prefix"], r["suffix"]) for r in E.context_strings(words, groups).collect()}
+    assert got == {(0, 0): ("", " bc  déf g"), (0, 1): ("a ", " déf g"), (0, 2): ("a bc  ", " déf g"), (0, 3): ("a bc  ", ""), (0, 4): ("", ""),
+                   (0, 5): ("a bc  déf g ", ""), (1, 0): ("", "")}
