@@ -54,6 +54,13 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
     target.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate that nothing reads any more."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the scratch folder and read it back.
 

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from framewright.session import remove_table
+
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of a piece that leaves the state at once.
@@ -103,8 +105,8 @@ def stream_anonymize(
     that many distinct positions (integers from 0), however its rows are spread over files and
     micro-batches. Rows that wait are keyed state (``WholeRecordings``) in the
     checkpoint and leave it with their recording, so a batch costs what it brings,
-    not what came before. Complete recordings are written once per batch and
-    processed from there; results are under ``{out}/results``. Each batch replaces its
+    not what came before. Complete recordings are written once per batch, processed
+    from there and deleted; results are under ``{out}/results``. Each batch replaces its
     own ``batch_id`` partitions, so a batch that is repeated after a failure leaves
     one copy.
     """
@@ -118,6 +120,7 @@ def stream_anonymize(
         path = f"{out}/complete/batch_id={batch_id}"
         batch.write.mode("overwrite").parquet(path)
         keep(process(spark.read.schema(batch.schema).parquet(path)), "results", batch_id)
+        remove_table(spark, path)
 
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(in_dir)
     before = spark.conf.get(PROVIDER)

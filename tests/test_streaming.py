@@ -88,6 +88,7 @@ def test_state_does_not_grow_with_the_history(spark, tmp_path):
     assert max(state["numRowsUpdated"] for _, state in held) <= 6
     out = spark.read.schema(SCHEMA + ", batch_id bigint").parquet(f"{tmp_path}/out/results")
     assert out.count() == 20 + 49 * 60
+    assert not list((tmp_path / "out" / "complete").glob("batch_id=*"))
 
 
 def test_late_rows_of_finished_recordings_are_ignored(spark, tmp_path):
